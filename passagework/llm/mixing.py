@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
         .withColumn("weight_from", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", (F.col("goal") - F.col("cap_before")) / F.col("weight_from"))
     )
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(Window.partitionBy())
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(Window.partitionBy())
     per = per.withColumn("at", level)
     return per.select("source_key", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at") * F.col("weight"))).alias("target"))
 
@@ -96,7 +96,7 @@ summed AS (
     coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS cap_before,
     CAST(sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS weight_from FROM capped),
 levels AS (SELECT *, (goal - cap_before) / weight_from AS level FROM summed),
-lowest AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS mark FROM levels),
+lowest AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS mark FROM levels),
 targets AS (SELECT source, source_size, CASE WHEN mark IS NULL THEN cap ELSE least(cap, mark * weight) END AS target FROM lowest),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
