@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import mixing
+from . import bpe, mixing
 
-QUERIES: dict[str, Callable] = {"op1_mix_sources": mixing.op1_mix_sources}
+QUERIES: dict[str, Callable] = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+}
 SQL: dict[str, str] = {**mixing.SQL}
