@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, mixing
+from . import bpe, mixing, secrets
 
 QUERIES: dict[str, Callable] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op7_secret_scan": secrets.op7_secret_scan,
 }
 SQL: dict[str, str] = {**mixing.SQL}
