@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, mixing, secrets
+from . import bpe, mixing, secrets, tokenfile, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_token_file": tokenfile.op3_token_file,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op10_warc": warc.op10_warc,
 }
-SQL: dict[str, str] = {**mixing.SQL}
+SQL: dict[str, str] = {**mixing.SQL, **warc.SQL}
