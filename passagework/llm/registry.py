@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, mixing, secrets, tokenfile, warc
+from . import bpe, capfilters, mixing, secrets, tokenfile, topk, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_token_file": tokenfile.op3_token_file,
+    "op4_near_vectors": capfilters.op4_near_vectors,
+    "op6_top_k": topk.op6_top_k,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op10_warc": warc.op10_warc,
 }
-SQL: dict[str, str] = {**mixing.SQL, **warc.SQL}
+SQL: dict[str, str] = {**mixing.SQL, **warc.SQL, **topk.SQL, **capfilters.SQL}
