@@ -17,53 +17,48 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, table, worker_cache
 from .topk import valid
 
-COSINE, GROUPS, WORDS, HEIGHT, SEED, BLOCK = 0.9, 4, 56, 4.4, 20_240_101, 1024
+COSINE, CODES, GROUPS, LISTED, SEED, BLOCK = 0.9, 4, 4, 15, 20_240_101, 1024
 
 
-def code(dim: int, groups: int = GROUPS, words: int = WORDS, seed: int = SEED) -> list[tuple[slice, np.ndarray]]:
-    """For each coordinate group its slice and its words, scaled so that a word of all groups has length 1."""
-    key = "code", dim, groups, words, seed
+def words_for(n: int, groups: int = GROUPS) -> int:
+    """Words of a coordinate group, so that a code has about 64 directions for each of n vectors."""
+    return max(16, int(np.ceil((64 * max(n, 1)) ** (1 / groups))))
+
+
+def codes(dim: int, words: int, groups: int = GROUPS, n: int = CODES, seed: int = SEED) -> list[tuple[np.ndarray, list]]:
+    """For each code a random rotation, and for each of its coordinate groups the slice and the words."""
+    key = "codes", dim, words, groups, n, seed
     if key not in worker_cache():
-        rng = np.random.default_rng([seed, dim])
+        rng, out = np.random.default_rng([seed, dim, words]), []
         cuts = np.linspace(0, dim, min(groups, dim) + 1).astype(int)
-        out = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            w = rng.standard_normal((words, b - a))
-            out.append((slice(a, b), w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(len(cuts) - 1)))
+        for _ in range(n):
+            turn, parts = np.linalg.qr(rng.standard_normal((dim, dim)))[0], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                w = rng.standard_normal((words, b - a))
+                parts.append((slice(a, b), (w / np.linalg.norm(w, axis=1, keepdims=True)).T))
+            out.append((turn, parts))
         worker_cache()[key] = out
     return worker_cache()[key]
 
 
-def filters_of(unit: np.ndarray, height: float = HEIGHT) -> list[np.ndarray]:
-    """For each unit vector the numbers of all filters whose product with it is at least height / sqrt(dimension).
+def filters_of(unit: np.ndarray, words: int, listed: int = LISTED) -> np.ndarray:
+    """For each unit vector, of each code, the directions above its threshold: that of its listed-th best direction.
 
-    In very few dimensions no direction is that far out; there the threshold is 0.6, and every vector gets at least its
-    single best filter.
+    A direction that ranks below the listed best by its first groups cannot be among them, so the list is decoded group
+    by group without looking at all directions.
     """
-    parts = [unit[:, s] @ w.T for s, w in code(unit.shape[1])]
-    least, out = min(height / np.sqrt(unit.shape[1]), 0.6), []
-    half = max(1, len(parts) // 2)
-
-    def sums(tables: list[np.ndarray]) -> np.ndarray:
-        total = tables[0]
-        for t in tables[1:]:
-            total = (total[:, :, None] + t[:, None, :]).reshape(len(total), -1)
-        return total
-
-    for at in range(0, len(unit), 256):
-        left = sums([p[at : at + 256] for p in parts[:half]])
-        right = sums([p[at : at + 256] for p in parts[half:]]) if len(parts) > 1 else np.zeros((len(left), 1))
-        for a, b in zip(left, right, strict=True):
-            order = np.argsort(-b)
-            sorted_b = b[order]
-            rows = np.flatnonzero(a >= least - sorted_b[0])
-            n = np.searchsorted(-sorted_b, a[rows] - least, side="right")
-            if not n.sum():
-                out.append(np.array([int(a.argmax()) * len(b) + int(order[0])]))
-                continue
-            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append(np.repeat(rows, n) * len(b) + order[pos])
-    return out
+    out = []
+    for c, (turn, parts) in enumerate(codes(unit.shape[1], words)):
+        turned = unit @ turn
+        total, number = np.zeros((len(unit), 1)), np.zeros((len(unit), 1), np.int64)
+        for where, w in parts:
+            total = (total[:, :, None] + (turned[:, where] @ w)[:, None, :]).reshape(len(unit), -1)
+            number = (number[:, :, None] * words + np.arange(words)).reshape(len(unit), -1)
+            if total.shape[1] > listed:
+                best = np.argpartition(-total, listed - 1, axis=1)[:, :listed]
+                total, number = np.take_along_axis(total, best, 1), np.take_along_axis(number, best, 1)
+        out.append(number * CODES + c)
+    return np.concatenate(out, 1)
 
 
 def matrix(column) -> np.ndarray:
@@ -101,14 +96,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     good = rows.filter(valid(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull())
     classes = materialize(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "vector-classes")
 
+    words = words_for(classes.count())
+
     def decode(batches):
         for batch in batches:
             for dim in set(batch.column(1).to_pylist()):
                 pick = np.flatnonzero(batch.column(1).to_numpy() == dim)
                 ids = batch.column(0).to_numpy()[pick]
-                lists = filters_of(unit(matrix(batch.column(2).take(pa.array(pick)))))
-                n = np.array([len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n.sum(), dim), pa.int32()), pa.array(np.concatenate(lists), pa.int64()), pa.array(np.repeat(ids, n), pa.int64())], names=["dim", "filter", "rep"])
+                for at in range(0, len(pick), 512):
+                    lists = filters_of(unit(matrix(batch.column(2).take(pa.array(pick[at : at + 512])))), words)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(lists.size, dim), pa.int32()), pa.array(lists.ravel(), pa.int64()), pa.array(np.repeat(ids[at : at + 512], lists.shape[1]), pa.int64())], names=["dim", "filter", "rep"])
 
     passed = materialize(classes.select("rep", "dim", "v").mapInArrow(decode, "dim int, filter long, rep long"), "filters")
     shared = passed.groupBy("dim", "filter").agg(F.count("*").alias("n")).filter("n > 1")

@@ -97,4 +97,5 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
         seen = got
     else:
         raise RuntimeError("connected components did not settle")
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
