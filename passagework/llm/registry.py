@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, capfilters, mixing, ngramjoin, secrets, tokenfile, topk, warc
+from . import bpe, capfilters, mixing, ngramjoin, quality, secrets, tokenfile, topk, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable] = {
     "op6_top_k": topk.op6_top_k,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_ngram_join": ngramjoin.op8_ngram_join,
+    "op9_quality": quality.op9_quality,
     "op10_warc": warc.op10_warc,
 }
 SQL: dict[str, str] = {**mixing.SQL, **warc.SQL, **topk.SQL, **capfilters.SQL, **ngramjoin.SQL}
