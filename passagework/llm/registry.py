@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, capfilters, mixing, ngramjoin, quality, secrets, tokenfile, topk, warc
+from . import bpe, capfilters, mixing, ngramjoin, quality, secrets, suffixdedup, tokenfile, topk, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_token_file": tokenfile.op3_token_file,
     "op4_near_vectors": capfilters.op4_near_vectors,
+    "op5_suffix_dedup": suffixdedup.op5_suffix_dedup,
     "op6_top_k": topk.op6_top_k,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_ngram_join": ngramjoin.op8_ngram_join,
