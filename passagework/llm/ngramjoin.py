@@ -3,10 +3,12 @@
 Equal shingle sets become one class. Classes meet where they share a token of their prefixes (the least hashes of a set,
 as many as make a common one certain at this similarity), so no link is lost. In such a bucket the classes' token
 bitmaps are the leaves of a signature tree: a node holds the bits and the size range of what is below it, and a walk
-over pairs of nodes drops those whose greatest possible overlap is too small. What is left is verified on whole sets.
+over pairs of nodes drops those whose greatest possible overlap is too small. A bucket yields a spanning forest of its
+candidates, the closest first, so a large group of copies costs as many pairs as it has members.
 
-A bucket first yields a spanning forest of its candidates, so a large group of copies costs as many pairs as it has
-members; a second walk, with the components found so far, yields the pairs that still lie between two components.
+The forests join classes into families; no link leaves a family. A family's whole sets, in pairs of blocks if it is
+large, are then the leaves of a second tree, whose bitmaps have a bit for each token and so are exact; it yields a
+spanning forest of the family's links.
 """
 
 from __future__ import annotations
@@ -108,8 +110,39 @@ def reaches(common, size_a, size_b):
     return (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (size_a + size_b)
 
 
+def walk(size: np.ndarray, bits: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, greatest possible overlap) of the pairs that may be alike enough, by a dual walk of a signature tree.
+
+    Rows come by size. excess: by how much a row's bits are fewer than its tokens; without any, overlaps are exact.
+    """
+    tree, step = [(bits, size, size, excess)], LEAF  # of each level: bits, least and greatest size, greatest excess
+    while len(tree[-1][0]) > LEAF:
+        x, lo, hi, ex = tree[-1]
+        cut = np.arange(0, len(x), step)
+        tree.append((np.bitwise_or.reduceat(x, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(ex, cut)))
+        step = FANOUT
+    i, j = np.triu_indices(len(tree[-1][0]), 0 if len(tree) > 1 else 1)
+    most = np.zeros(0, np.int64)
+    for depth in range(len(tree) - 1, -1, -1):
+        x, lo, hi, ex = tree[depth]
+        fits = (DENOMINATOR * hi[i] >= NUMERATOR * lo[j]) & (DENOMINATOR * hi[j] >= NUMERATOR * lo[i])
+        i, j = i[fits], j[fits]
+        most, run = np.minimum(ex[i], ex[j]), max(1, (1 << 20) // max(1, x.shape[1]))
+        for at in range(0, len(i), run):
+            most[at : at + run] += np.bitwise_count(x[i[at : at + run]] & x[j[at : at + run]]).sum(1, dtype=np.int64)
+        keep = reaches(most, lo[i], lo[j])
+        i, j, most = i[keep], j[keep], most[keep]
+        if depth:
+            fan, below, k = LEAF if depth == 1 else FANOUT, len(tree[depth - 1][0]), np.arange(LEAF if depth == 1 else FANOUT)
+            a = np.broadcast_to((i[:, None] * fan + k)[:, :, None], (len(i), fan, fan)).ravel()
+            c = np.broadcast_to((j[:, None] * fan + k)[:, None, :], (len(i), fan, fan)).ravel()
+            ok = (a < below) & (c < below) & ((a < c) if depth == 1 else (a <= c))
+            i, j = a[ok], c[ok]
+    return i, j, most
+
+
 def candidates(size: np.ndarray, bits: list[bytes]) -> list[tuple[int, int, int]]:
-    """(i, j, greatest possible overlap) of the pairs in a bucket that may be alike enough, by dual walks of signature trees.
+    """(i, j, greatest possible overlap) of the pairs in a bucket that may be alike enough.
 
     Sets that link differ by less than a factor of two in size, so bitmaps are compared at the width of the smaller.
     """
@@ -120,45 +153,31 @@ def candidates(size: np.ndarray, bits: list[bytes]) -> list[tuple[int, int, int]
         if len(rows) < 2 or not (width[rows] == level).any():
             continue
         rows = rows[np.argsort(size[rows], kind="stable")]
-        b = np.stack([fold(np.frombuffer(bits[r], np.uint8), level) for r in rows])
-        pad = -b.shape[1] % 8
-        b = (np.pad(b, ((0, 0), (0, pad))) if pad else np.ascontiguousarray(b)).view(np.uint64)
+        b = np.ascontiguousarray(np.stack([fold(np.frombuffer(bits[r], np.uint8), level) for r in rows])).view(np.uint64)
         s, wide = size[rows].astype(np.int64), width[rows] > level
-        excess = s - np.bitwise_count(b).sum(1).astype(np.int64)
-        tree = [(b, s, s, excess)]  # of each level: bits, least and greatest size, greatest excess
-        step = LEAF
-        while len(tree[-1][0]) > LEAF:
-            x, lo, hi, ex = tree[-1]
-            cut = np.arange(0, len(x), step)
-            tree.append((np.bitwise_or.reduceat(x, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(ex, cut)))
-            step = FANOUT
-        n = len(tree[-1][0])
-        i, j = np.triu_indices(n) if len(tree) > 1 else np.triu_indices(n, 1)
-        for depth in range(len(tree) - 1, -1, -1):
-            x, lo, hi, ex = tree[depth]
-            keep, most = [], []
-            for at in range(0, len(i), 1 << 14):
-                a, c = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                common = np.bitwise_count(x[a] & x[c]).sum(1).astype(np.int64) + np.minimum(ex[a], ex[c])
-                fits = (DENOMINATOR * hi[a] >= NUMERATOR * lo[c]) & (DENOMINATOR * hi[c] >= NUMERATOR * lo[a])
-                keep.append(fits & reaches(common, lo[a], lo[c]))
-                most.append(common)
-            keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-            i, j = i[keep], j[keep]
-            if depth:
-                fan, below = (LEAF if depth == 1 else FANOUT), len(tree[depth - 1][0])
-                k = np.arange(fan)
-                a = np.broadcast_to((i[:, None] * fan + k)[:, :, None], (len(i), fan, fan)).ravel()
-                c = np.broadcast_to((j[:, None] * fan + k)[:, None, :], (len(i), fan, fan)).ravel()
-                ok = (a < below) & (c < below) & ((a < c) if depth == 1 else (a <= c))
-                i, j = a[ok], c[ok]
-            else:
-                most = np.concatenate(most)[keep] if most else np.zeros(0, np.int64)
-                new = ~(wide[i] & wide[j])  # two wide ones meet at their own width
-                out += zip(rows[i[new]].tolist(), rows[j[new]].tolist(), most[new].tolist(), strict=True)
+        i, j, most = walk(s, b, s - np.bitwise_count(b).sum(1, dtype=np.int64))
+        new = ~(wide[i] & wide[j])  # two wide ones meet at their own width
+        out += zip(rows[i[new]].tolist(), rows[j[new]].tolist(), most[new].tolist(), strict=True)
     return out
 
 
+def links(sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(i, j, overlap) of the sets that are alike enough, exactly: a bit for each token that two of them have."""
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    every = np.concatenate([sets[r] for r in order])
+    _, token, times = np.unique(every, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    shared = times[token] > 1
+    wide = -(-max(1, int((times > 1).sum())) // 64) * 64
+    owner = np.repeat(np.arange(len(sets)), size[order])
+    dense = np.zeros((len(sets), wide), bool)
+    dense[owner[shared], place[token[shared]]] = True
+    bits = np.packbits(dense, axis=1, bitorder="little").view(np.uint64)
+    i, j, overlap = walk(size[order], bits, np.zeros(len(sets), np.int64))
+    return list(zip(order[i].tolist(), order[j].tolist(), overlap.tolist(), strict=True))
+
+
 def forest(pairs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs, those of greatest possible overlap first."""
     root, out = list(range(n)), []
@@ -177,24 +196,21 @@ def forest(pairs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def in_buckets(rows: DataFrame, spanning: bool) -> DataFrame:
-    """(a, b) candidate pairs of rows (token, i, j, rep, n, bits, component), bucket by bucket."""
+def forests(rows: DataFrame, key: str, value: str, of_group) -> DataFrame:
+    """(a, b): of_group's forest of each group (key, i, j) of rows (key, i, j, rep, value ...).
 
-    def of_bucket(t: pa.Table, a: int, b: int):
-        ids, size, comp = (t.column(k).to_numpy()[a:b] for k in ("rep", "n", "component"))
-        ids, first = np.unique(ids, return_index=True)
-        size, comp = size[first], comp[first]
-        bits = t.column("bits").slice(a, b - a).take(pa.array(first)).to_pylist()
-        pairs = candidates(size, bits)
-        if spanning:
-            return [(int(ids[i]), int(ids[j])) for i, j in forest(pairs, len(ids))]
-        return [(int(ids[i]), int(ids[j])) for i, j, _ in pairs if comp[i] != comp[j]]
+    of_group gets a table with distinct rep and their places; groups stream through the task one after the other.
+    """
+    columns = [key, "i", "j", "rep", *value.split()]
 
     def flush(t: pa.Table, cut):
         out = set()
         for a, b in zip([0, *cut], [*cut, t.num_rows], strict=True):
             if b - a > 1:
-                out.update(of_bucket(t, a, b))
+                ids, first = np.unique(t.column("rep").to_numpy()[a:b], return_index=True)
+                if len(ids) > 1:
+                    own = t.slice(a, b - a).take(pa.array(first))
+                    out.update((int(ids[i]), int(ids[j])) for i, j in forest(of_group(own), len(ids)))
         if out:
             x, y = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -204,7 +220,7 @@ def in_buckets(rows: DataFrame, spanning: bool) -> DataFrame:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            keys = np.stack([t.column(k).to_numpy() for k in ("token", "i", "j")])
+            keys = np.stack([t.column(k).to_numpy() for k in (key, "i", "j")])
             cut = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()
             if cut:
                 yield from flush(t.slice(0, cut[-1]), cut[:-1])
@@ -212,35 +228,15 @@ def in_buckets(rows: DataFrame, spanning: bool) -> DataFrame:
         if held is not None and held.num_rows:
             yield from flush(held, [])
 
-    keyed = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return keyed.select("token", "i", "j", "rep", "n", "bits", "component").mapInArrow(run, "a long, b long").distinct()
+    keyed = rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    return keyed.select(*columns).mapInArrow(run, "a long, b long").distinct()
 
 
-def dealt(met: DataFrame, classes: DataFrame, block: int) -> DataFrame:
-    """Rows of in_buckets: large buckets are cut into blocks, and each pair of blocks is one."""
-    met = met.withColumn("blocks", F.ceil(F.col("members") / block).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+def in_blocks(members: DataFrame, key: str, count: str, block: int) -> DataFrame:
+    """(key, i, j, rep): a large group is cut into blocks, and each pair of blocks becomes a group."""
+    cut = members.withColumn("blocks", F.ceil(F.col(count) / block).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    met = met.select("token", "rep", "component", F.explode(pairs).alias("p")).select("token", "p.i", "p.j", "rep", "component")
-    return met.join(classes.select("rep", "n", "bits"), "rep")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are alike enough."""
-    one, two = (sets.select(F.col("rep").alias(k), F.col("h").alias(f"h{k}")) for k in ("a", "b"))
-    both = pairs.join(two, "b").join(one, "a")
-
-    def run(batches):
-        for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in (2, 3))
-            ok = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)
-                ok.append(bool(reaches(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))))
-            keep = np.flatnonzero(ok)
-            if len(keep):
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
-
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return cut.select(key, "rep", F.explode(pairs).alias("p")).select(key, "p.i", "p.j", "rep")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -275,21 +271,20 @@ def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     buckets = buckets.groupBy("members", "x1", "x2").agg(F.min("token").alias("token"))  # of buckets with the same members one stays
     met = materialize(tokens.join(buckets.select("token", "members"), "token"), "buckets")
     release_shuffles(spark)
-    first = materialize(in_buckets(dealt(met.withColumn("component", F.col("rep")), classes, block), True), "pairs")
-    release_shuffles(spark)
-    ids = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
-    sets = materialize(whole_sets(docs, ids), "sets")
+    near = in_blocks(met, "token", "members", block).join(classes.select("rep", "n", "bits"), "rep")
+    of_bucket = lambda t: candidates(t.column("n").to_numpy(), t.column("bits").to_pylist())
+    first = materialize(forests(near, "token", "n bits", of_bucket), "pairs")
     release_shuffles(spark)
-    links = materialize(verified(first, sets), "links")
-    found = materialize(connected_components(spark, links), "components")
+    family = materialize(connected_components(spark, first).withColumnsRenamed({"node": "rep", "component": "family"}), "families")
+    sets = materialize(whole_sets(docs, family.select("rep")), "sets")
     release_shuffles(spark)
-    labelled = met.join(ids, "rep", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ones = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    second = materialize(in_buckets(dealt(labelled.join(open_ones, "token", "left_semi"), classes, block), False), "pairs")
+    sized = family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family")
+    whole = in_blocks(sized, "family", "members", block // 2).join(sets, "rep")
+    of_family = lambda t: links([np.frombuffer(h, np.int64) for h in t.column("h").to_pylist()])
+    linked = materialize(forests(whole, "family", "h", of_family), "links")
     release_shuffles(spark)
-    more = materialize(verified(second.join(first, ["a", "b"], "left_anti"), sets), "links")
-    component = materialize(connected_components(spark, links.union(more)), "components")
-    for t in (met, first, second, sets, links, more, found):
+    component = materialize(connected_components(spark, linked), "components")
+    for t in (met, first, family, sets, linked):
         drop_table(t)
     release_shuffles(spark)
     of_class = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("c"))
