@@ -29,12 +29,13 @@ def rolling(days: DataFrame, by: list[str], value: str, width: int) -> Column:
     return F.sum(value).over(Window.partitionBy(*by).orderBy(number).rangeBetween(-(width - 1), 0))
 
 
-def sessions(events: DataFrame, by: list[str], at: str, gap_seconds: int) -> DataFrame:
-    """(by, session, begins, ends, n): events no more than a gap apart."""
-    w = Window.partitionBy(*by).orderBy(at, "event_id")
-    new = F.coalesce((F.unix_micros(at) - F.unix_micros(F.lag(at).over(w)) > gap_seconds * 1_000_000).cast("long"), F.lit(0))
+def sessions(events: DataFrame, by: list[str], at: str, key: str, gap_seconds: int) -> DataFrame:
+    """(by, session, begins, ends, first_event, n): events no more than a gap apart; equal times are ordered by key."""
+    w = Window.partitionBy(*by).orderBy(at, key)
+    moment = F.unix_micros(F.col(at).cast("timestamp"))
+    new = F.coalesce((moment - F.lag(moment).over(w) > gap_seconds * 1_000_000).cast("long"), F.lit(0))
     marked = events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w))
-    return marked.groupBy(*by, "session").agg(F.min(at).alias("begins"), F.max(at).alias("ends"), F.count("*").alias("n"))
+    return marked.groupBy(*by, "session").agg(F.min(at).alias("begins"), F.max(at).alias("ends"), F.min(key).alias("first_event"), F.count("*").alias("n"))
 
 
 def portions(units: DataFrame, by: list[str], order: list[str], weight: str, goal: float) -> Column:
