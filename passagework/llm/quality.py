@@ -152,7 +152,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             out[rows] = np.column_stack([tails.sum(1), tails[:, -1]])
         return pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["expected_grade", "tail_probability"])
 
-    score = F.arrow_udf(run, "expected_grade double, tail_probability double")
+    score = F.arrow_udf(run, "expected_grade double, tail_probability double").asNondeterministic()  # else a filter on it runs it twice
     return docs.withColumn("_score", score("text")).select(*docs.columns, "_score.*")
 
 
