@@ -50,13 +50,17 @@ def fuzzy(left: DataFrame, right: DataFrame, a: Column, b: Column, most: int, ke
     the join is on a part, its number and its shift; each pair comes once."""
     n = most + 1
 
-    cut = lambda name, length, k: (F.floor(length * k / n) + 1, F.floor(length * (k + 1) / n) - F.floor(length * k / n))
+
+    def part(name: Column, length: Column, k: int, shift: Column | int = 0) -> Column:
+        begin, end = F.floor(length * k / n), F.floor(length * (k + 1) / n)
+        return F.struct(length.alias("m"), F.lit(k).alias("k"), F.substring(name, F.greatest(F.lit(1), (begin + 1 + shift).cast("int")).cast("int"), (end - begin).cast("int")).alias("p"))
+
+    def shifted(length: Column, k: int) -> Column:
+        return F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda s: part(a, length, k, s))
+
     lengths = F.sequence(F.greatest(F.lit(0), F.length(a) - most), F.length(a) + most)
-    mine = F.flatten(F.transform(lengths, lambda m: F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda s, k=k: F.struct(m.alias("m"), F.lit(k).alias("k"), F.substring(a, F.greatest(F.lit(1), (cut(a, m, k)[0] + s)).cast("int"), cut(a, m, k)[1].cast("int")).alias("p")))
-        for k in range(n)
-    ]))))
-    theirs = F.array(*[F.struct(F.length(b).alias("m"), F.lit(k).alias("k"), F.substring(b, cut(b, F.length(b), k)[0].cast("int"), cut(b, F.length(b), k)[1].cast("int")).alias("p")) for k in range(n)])
+    mine = F.flatten(F.transform(lengths, lambda m: F.concat(*[shifted(m, k) for k in range(n)])))
+    theirs = F.array(*[part(b, F.length(b), k) for k in range(n)])
     x = left.withColumn("_part", F.explode(F.array_distinct(mine)))
     y = right.withColumn("_part", F.explode(theirs))
     joined = x.join(y, x["_part"] == y["_part"]).withColumn("distance", F.levenshtein(a, b, most)).filter("distance >= 0")
