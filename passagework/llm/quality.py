@@ -16,8 +16,8 @@ from .common import table
 from .ngramjoin import _BLANK, _LOWER
 from .pretokens import chunks, slice_hashes
 
-#: Hashed features, labelled rows that training takes at most, and how many standard errors the mean grade of the rows
-#: with a feature (weighted by its values) must be off the mean of all for the feature to get a weight.
+#: Hashed features, labelled rows that training takes at most, and how many standard errors the share of some grade
+#: or better among the rows with a feature (weighted by its values) must be off that of all for it to get a weight.
 BITS, SAMPLE, LEAST_Z = 18, 5000, 4.5
 ROUNDS, RATE, DECAY = 200, 0.1, 3e-4
 #: Toxic, poor, good: a document stays if the probability of the last is at least TAIL.
@@ -100,8 +100,12 @@ def fit(rows: list, grades: int = GRADES, least_z: float = LEAST_Z, rounds: int
     number, value = (np.concatenate([np.asarray(r[k]) for r in rows]) for k in (1, 2))
     number = number.astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    pull = np.bincount(number, value * (y[row] - y.mean()), minlength=1 << BITS)
-    off = np.abs(pull) / (y.std() * np.sqrt(np.maximum(np.bincount(number, value**2, minlength=1 << BITS), 1e-9)))
+    mass, off = np.maximum(np.bincount(number, value**2, minlength=1 << BITS), 1e-9), np.zeros(1 << BITS)
+    for k in range(1, grades):
+        better = (y >= k).astype(float)
+        if 0 < better.mean() < 1:
+            pull = np.bincount(number, value * (better - better.mean())[row], minlength=1 << BITS)
+            off = np.maximum(off, np.abs(pull) / (better.std() * np.sqrt(mass)))
     keep = (off >= least_z)[number]
     number, value, row = number[keep], value[keep], row[keep]
     used, number = np.unique(number, return_inverse=True)
