@@ -125,7 +125,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    rows = [(i, dt.datetime(2024, 1, 1, 0, 0, i * 10), 1, "view") for i in range(9)]
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i * 10), 1, "view") for i in range(9)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
     df.coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
     assert [tuple(r)[1:] for r in events.daily_counts(spark.read.parquet(str(tmp_path / "e.parquet"))).collect()] == [("view", 9)]
