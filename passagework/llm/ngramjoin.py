@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, drop_table, materialize, release_shuffles, table
 from .pretokens import chunks, slice_hashes
 
-WORDS, NUMERATOR, DENOMINATOR, BLOCK, LEAF, FANOUT = 5, 4, 5, 512, 16, 8
+WORDS, NUMERATOR, DENOMINATOR, BLOCK, FAMILY, LEAF, FANOUT = 5, 4, 5, 2048, 256, 16, 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -239,6 +239,20 @@ def in_blocks(members: DataFrame, key: str, count: str, block: int) -> DataFrame
     return cut.select(key, "rep", F.explode(pairs).alias("p")).select(key, "p.i", "p.j", "rep")
 
 
+def in_bands(met: DataFrame, block: int) -> DataFrame:
+    """(token, rep, n, members) of buckets; those of more than block members are cut by size first.
+
+    Sets that link differ in size by a factor of 1.25 at most, so they lie in the same or in neighbouring bands of that
+    width. A row of a large bucket goes to its own band and to the one above, under a token of its own; a pair meets in
+    the band of the larger. So a frequent passage, which texts of all sizes share, costs two rows a text.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9)
+    large = met.filter(F.col("members") > block).withColumn("band", F.explode(F.array(band, band + 1)))
+    large = large.select(F.xxhash64("token", "band").alias("token"), "rep", "n")
+    sizes = large.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
+    return met.filter(F.col("members") <= block).select("token", "rep", "n", "members").union(large.join(sizes, "token").select("token", "rep", "n", "members"))
+
+
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, h): the sorted hashes of the documents named in ids."""
 
@@ -254,7 +268,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return named.mapInArrow(run, "rep long, h binary").dropDuplicates(["rep"])
 
 
-def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, block: int = BLOCK, family_block: int = FAMILY) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row.
 
     Two documents link at a similarity of 0.8 or more; component_id is the smallest doc_id reachable. Null, empty and
@@ -266,12 +280,12 @@ def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     usable = sketch.filter("n > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
     release_shuffles(spark)
-    tokens = classes.select("rep", F.explode("prefix").alias("token"))
+    tokens = classes.select("rep", "n", F.explode("prefix").alias("token"))
     buckets = tokens.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")).filter("members > 1")
     buckets = buckets.groupBy("members", "x1", "x2").agg(F.min("token").alias("token"))  # of buckets with the same members one stays
-    met = materialize(tokens.join(buckets.select("token", "members"), "token"), "buckets")
+    met = materialize(in_bands(tokens.join(buckets.select("token", "members"), "token"), block), "buckets")
     release_shuffles(spark)
-    near = in_blocks(met, "token", "members", block).join(classes.select("rep", "n", "bits"), "rep")
+    near = in_blocks(met.select("token", "rep", "members"), "token", "members", block).join(classes.select("rep", "n", "bits"), "rep")
     of_bucket = lambda t: candidates(t.column("n").to_numpy(), t.column("bits").to_pylist())
     first = materialize(forests(near, "token", "n bits", of_bucket), "pairs")
     release_shuffles(spark)
@@ -279,7 +293,7 @@ def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sets = materialize(whole_sets(docs, family.select("rep")), "sets")
     release_shuffles(spark)
     sized = family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family")
-    whole = in_blocks(sized, "family", "members", block // 2).join(sets, "rep")
+    whole = in_blocks(sized, "family", "members", family_block).join(sets, "rep")
     of_family = lambda t: links([np.frombuffer(h, np.int64) for h in t.column("h").to_pylist()])
     linked = materialize(forests(whole, "family", "h", of_family), "links")
     release_shuffles(spark)

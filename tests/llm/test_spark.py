@@ -171,7 +171,7 @@ def test_ngram_join(spark):
             texts.append(" ".join(t).upper() if rng.random() < 0.1 else "\t".join(t))
     texts += ["", None, "a b", "A  b"]
     ids = [i * 7 % 1009 for i in range(len(texts))]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.near_copies(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), 32).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.near_copies(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), 8, 8).collect()}
     sets, root = dict(zip(ids, map(shingles, texts), strict=True)), {i: i for i in ids}
 
     def find(x):
@@ -189,7 +189,8 @@ def test_ngram_join(spark):
 
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "x"), (3, None, None), (4, "u", ""), (None, "u", "y"), (5, "u", "z é")], "page_id long, url string, html string")
-    rows = {r.page_id: r for r in warc.read_warc(warc.write_warc(pages, path := new_path(spark, "w")), split=64).collect()}
+    path = new_path(spark, "w")
+    rows = {r.page_id: r for r in warc.read_warc(warc.write_warc(pages, path), split=64).collect()}
     assert (rows[1].record_type, rows[1].refers_to, rows[1].payload_bytes) == ("revisit", 2, 1)
     assert rows[2].record_type == "response" and rows[3].refers_to == 4 and rows[None].record_type == "response"
     assert bytes(rows[5].payload).decode() == "z é" and rows[5].payload_digest == warc.sha1_base32("z é".encode())
