@@ -25,7 +25,7 @@ TOKEN, TOKEN_LEAST = "[A-Za-z0-9+/_=-]", 20
 #: Log-likelihood ratio a character from which a token counts as random, and over the whole token.
 PER_CHARACTER, IN_ALL = 0.75, 20.0
 #: Bounds of the training sample: documents whose words serve as ordinary identifiers, and random strings.
-SAMPLE_DOCS, RANDOM_STRINGS, SMOOTHING = 400, 3000, 0.5
+SAMPLE_DOCS, RANDOM_STRINGS, SMOOTHING, BACK_OFF = 400, 3000, 0.5, 20.0
 
 
 def bigrams(labelled: DataFrame) -> DataFrame:
@@ -52,14 +52,15 @@ def train(labelled: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
     What reaches the driver is at most two counts for each pair of the alphabet.
     """
     size = len(ALPHABET)
-    counts = {kind: [[smoothing] * size for _ in range(size)] for kind in (True, False)}
+    counts = {kind: [[0] * size for _ in range(size)] for kind in (True, False)}
     for kind, pair, n in bigrams(labelled).filter(F.col("pair").rlike(f"^{TOKEN}{TOKEN}$")).collect():
         counts[kind][ALPHABET.index(pair[0])][ALPHABET.index(pair[1])] += n
-    out = []
-    for a in range(size):
-        one, other = sum(counts[True][a]), sum(counts[False][a])
-        out += [math.log(counts[True][a][b] / one) - math.log(counts[False][a][b] / other) for b in range(size)]
-    return out
+    chance = {}
+    for kind, rows in counts.items():  # a pair's chance backs off to that of its second character
+        single = [smoothing + sum(row[b] for row in rows) for b in range(size)]
+        single = [x / sum(single) for x in single]
+        chance[kind] = [[(n + BACK_OFF * p) / (sum(row) + BACK_OFF) for n, p in zip(row, single, strict=True)] for row in rows]
+    return [math.log(chance[True][a][b] / chance[False][a][b]) for a in range(size) for b in range(size)]
 
 
 def ratio(text: Column, model: list[float]) -> Column:

@@ -142,7 +142,9 @@ def test_secrets(spark):
     texts = {i: "".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for i in range(400)}
     texts[1000] = "the key is fK9xQ2mVb7Lz0RtYw3HsJd8P and Thisisanordinarylongidentifiername stays"
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    model = secrets.train(secrets.labelled_strings(df))
+    names = ["identifier", "ordinary", "names", "thisis", "long", "reader", "Counter", "table", "value", "column", "another", "longer"]
+    prose = spark.createDataFrame([(" ".join(rng.choice(names) + rng.choice(names) for _ in range(50)),) for _ in range(40)], "text string")
+    model = secrets.train(secrets.labelled_strings(prose))
     found = secrets.find_secrets(df, model)
     for r in found.collect():
         t = texts[r.doc_id]
