@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, drop_table, materialize, release_shuffles, table
-from .pretokens import chunks, slice_hashes
+from .pretokens import chunks, slice_hashes, slices
 
 WORDS, NUMERATOR, DENOMINATOR, BLOCK, FAMILY, LEAF, FANOUT = 5, 4, 5, 2048, 256, 16, 8
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,9 +79,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n, h1, h2, prefix, bits) of each document: size and hash of its set, prefix tokens, bitmap."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b)):
             texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
-            for rows in chunks(texts):
+            for rows in chunks(texts, 1 << 20):
                 h, ends = shingle_sets([texts[i] for i in rows])
                 u = h.view(np.uint64)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(u + k))]) for k in (_ODD[0], _ODD[1])]
@@ -257,9 +257,9 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, h): the sorted hashes of the documents named in ids."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b)):
             texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
-            for rows in chunks(texts):
+            for rows in chunks(texts, 1 << 20):
                 h, ends = shingle_sets([texts[i] for i in rows])
                 sets = [h[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], names=["rep", "h"])

@@ -205,6 +205,13 @@ def chunks(values, most: int = 1 << 22):
         yield run
 
 
+def slices(batch, rows: int = 1000):
+    """An Arrow batch or array in pieces of so many rows, so that a task's Python objects stay few."""
+    n = batch.num_rows if hasattr(batch, "num_rows") else len(batch)
+    for at in range(0, n, rows):
+        yield batch.slice(at, rows)
+
+
 class TwoGenerations(dict):
     """A bounded cache: when it is full, what was used since the last time stays."""
 

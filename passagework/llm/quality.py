@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .ngramjoin import _BLANK, _LOWER
-from .pretokens import chunks, slice_hashes
+from .pretokens import chunks, slice_hashes, slices
 
 #: Hashed features, labelled rows that training takes at most, and how many standard errors the share of some grade
 #: or better among the rows with a feature (weighted by its values) must be off that of all for it to get a weight.
@@ -23,6 +23,9 @@ ROUNDS, RATE, DECAY = 200, 0.1, 3e-4
 #: Toxic, poor, good: a document stays if the probability of the last is at least TAIL.
 GRADES, TAIL = 3, 0.35
 
+#: Bytes of text that a task works on at once.
+CHUNK = 1 << 20
+
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _SIGN = ~_LETTER & ~_BLANK
@@ -63,9 +66,9 @@ def rows_of(docs: DataFrame, extra: str) -> DataFrame:
     """Features of texts as arrays, beside the columns named in extra."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b)):
             texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
-            for rows in chunks(texts):
+            for rows in chunks(texts, CHUNK):
                 row, number, value = features([texts[i] for i in rows])
                 cuts = pa.array(np.searchsorted(row, np.arange(len(rows) + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(number, pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(value, pa.float64()))]
@@ -147,13 +150,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     held = spark.sparkContext.broadcast((model.weights.astype(np.float64), model.cuts))
 
     def run(texts: pa.Array) -> pa.Array:
-        own = Model(*held.value)
-        texts = [b"" if t is None else t.encode() for t in texts.to_pylist()]
-        out = np.zeros((len(texts), 2))
-        for rows in chunks(texts):
-            row, number, value = features([texts[i] for i in rows])
-            tails = own.tails(np.bincount(row, value * own.weights[number], minlength=len(rows)))
-            out[rows] = np.column_stack([tails.sum(1), tails[:, -1]])
+        own, done = Model(*held.value), [np.zeros((0, 2))]
+        for part in slices(texts):
+            some = [b"" if t is None else t.encode() for t in part.to_pylist()]
+            out = np.zeros((len(some), 2))
+            for rows in chunks(some, CHUNK):
+                row, number, value = features([some[i] for i in rows])
+                tails = own.tails(np.bincount(row, value * own.weights[number], minlength=len(rows)))
+                out[rows] = np.column_stack([tails.sum(1), tails[:, -1]])
+            done.append(out)
+        out = np.concatenate(done)
         return pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["expected_grade", "tail_probability"])
 
     score = F.arrow_udf(run, "expected_grade double, tail_probability double").asNondeterministic()  # else a filter on it runs it twice
