@@ -14,8 +14,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def as_stream(table: DataFrame) -> DataFrame:
     """A Parquet table's files as a stream."""
-    paths = sorted({f.rpartition("/")[0] if not f.endswith(".parquet") or "/part-" in f else f for f in table.inputFiles()})
-    return table.sparkSession.readStream.schema(table.schema).parquet(paths[0]).withColumn("ts", F.col("ts").cast("timestamp"))
+    file = table.inputFiles()[0]
+    folder, _, name = file.rpartition("/")
+    reader = table.sparkSession.readStream.schema(table.schema)
+    if not folder.endswith(".parquet"):  # a table of one file beside others: a stream reads the folder, and of it this file
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(stream: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
