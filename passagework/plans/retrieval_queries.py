@@ -198,9 +198,9 @@ def grounding_violations(t):
 def evidence_list(t):
     """For each query its evidence in order, near-equal texts once, under caps and a budget of characters."""
     s = t("documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "text"))
-    tok = s.select("doc_id", "pos", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    sized = s.select("doc_id", "pos", F.length("text").alias("length"), verify.letters_key(F.col("text")).alias("key"), F.array_distinct(T.tokens(F.col("text"))).alias("ts"))
+    tok = sized.select("doc_id", "pos", "length", "key", F.explode("ts").alias("token"))
     q = t("benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    c = q.join(tok, "token").groupBy("item_id", "doc_id", "pos", "text").agg(F.count("*").alias("score"))
-    top = retrieve.best(c, "item_id", [F.desc("score"), F.col("doc_id"), F.col("pos")], 48)
-    return verify.within_budget(top, "item_id", "rank", "text", "doc_id", budget=1200, per_source=2)
-
+    c = q.join(tok, "token").groupBy("item_id", "doc_id", "pos", "length", "key").agg(F.count("*").alias("score"))
+    best = verify.evidence(c, "item_id", "score", "doc_id", "pos", budget=1200, per_source=2)
+    return best.join(s, ["doc_id", "pos"]).select("item_id", "doc_id", "pos", "text", "score", "rank")

@@ -133,3 +133,22 @@ def test_stream(spark, tmp_path):
     q = limited.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.allowed for r in spark.table("limited").orderBy("event_id").collect()] == [True] * 3 + [False] * 3 + [True] * 3
+
+def test_evidence_is_the_greedy_choice_from_all_rows(spark):
+    import random
+
+    random.seed(4)
+    rows = [("q", d, 0, 9, 20, "same") for d in range(300)] + [("q", d % 40, 1 + d, 8, 90, f"long{d}") for d in range(200)] + [("q", 500 + d, 0, 7, random.randint(12, 40), f"k{d % 150}") for d in range(250)]
+    rows += [("r", 1, d, 5, 15, f"x{d}") for d in range(120)] + [("r", 2, 0, 1, 15, "y"), ("s", 1, 0, 1, 5000, "z")]
+    df = spark.createDataFrame(rows, "q string, d long, pos int, score long, length int, key string")
+    got = sorted((r.q, r["rank"], r.d, r.pos) for r in verify.evidence(df, "q", "score", "d", "pos", 600, 2, step=30).collect())
+    want = []
+    for q in "qrs":
+        left, seen, used = 600, set(), {}
+        for rank, (_, d, pos, _, n, key) in enumerate(sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1], r[2])), 1):
+            if key not in seen and used.get(d, 0) < 2 and n <= left:
+                seen.add(key)
+                used[d] = used.get(d, 0) + 1
+                left -= n
+                want.append((q, rank, d, pos))
+    assert got == sorted(want) and len({x for x in want if x[0] == "q"}) > 5
