@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
 
-def ancestors(nodes: DataFrame, most: int) -> DataFrame:
-    """(id, ancestor, depth): every node with itself and all nodes above it, up to so many levels; parents that are no
-    nodes end a path. A recursive query, so cycles end at the bound as well."""
-    nodes.select("id", "parent").createOrReplaceTempView("_tree_nodes")
-    found = nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up (id, ancestor, depth) MAX RECURSION LEVEL {most + 2} AS (
-          SELECT id, id, 0 FROM _tree_nodes
-          UNION ALL
-          SELECT up.id, n.parent, up.depth + 1 FROM up JOIN _tree_nodes n ON n.id = up.ancestor
-          WHERE n.parent IS NOT NULL AND up.depth < {most})
-        SELECT * FROM up""")
-    return found.join(nodes.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor", "depth")
+
+def ancestors(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, ancestor, depth): every node with itself and all nodes above it, up to so many levels or all of them; parents
+    that are no nodes end a path. Cycles end at the bound; without one they are an error.
+
+    Pointers are doubled: each round joins the table of steps of 2**k levels with itself, so there are as many rounds as
+    the depth has binary digits, and the paths are put together from these tables.
+    """
+    ids = nodes.select("id").filter("id is not null")
+    up = kept(nodes.select("id", F.col("parent").alias("to")).filter("id is not null").join(ids.select(F.col("id").alias("to")).distinct(), "to", "left_semi").select("id", "to"), "steps")
+    n, steps = ids.count(), []
+    while not up.isEmpty() and (most is None or 1 << len(steps) <= most):
+        if 1 << len(steps) > n:  # no path without a cycle is that long
+            raise ValueError("the parents form a cycle")
+        steps.append(up)
+        up = kept(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to")), "steps")
+    found = ids.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    for k, step in enumerate(steps):
+        far = step.join(found.select(F.col("id").alias("to"), "ancestor", (F.col("depth") + F.lit(1 << k)).alias("depth")), "to").select("id", "ancestor", "depth")
+        found = kept(found.union(far), "paths")
+    return found if most is None else found.filter(F.col("depth") <= most)

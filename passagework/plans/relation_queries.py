@@ -93,7 +93,7 @@ _TREE = "nodes AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partke
 def subtree_sizes(t):
     """Sizes and heights of all subtrees."""
     nodes = t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3)).alias("parent"))
-    up = tree.ancestors(nodes.withColumn("parent", F.when(F.col("parent") > 0, F.col("parent"))), 20)
+    up = tree.ancestors(nodes.withColumn("parent", F.when(F.col("parent") > 0, F.col("parent"))))
     return up.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("size"), F.max("depth").cast("int").alias("height"))
 
 
@@ -101,7 +101,7 @@ def subtree_sizes(t):
 def ancestor_path(t):
     """The path from the root."""
     nodes = t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 3, F.floor(F.col("p_partkey") / 3)).when(F.col("p_partkey").isin(3), F.lit(1)).alias("parent"))
-    up = tree.ancestors(nodes, 20).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "ancestor"))).alias("p"))
+    up = tree.ancestors(nodes).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "ancestor"))).alias("p"))
     return up.select("id", F.array_join(F.transform("p", lambda x: x.ancestor.cast("string")), "/").alias("path"))
 
 

@@ -152,3 +152,13 @@ def test_evidence_is_the_greedy_choice_from_all_rows(spark):
                 left -= n
                 want.append((q, rank, d, pos))
     assert got == sorted(want) and len({x for x in want if x[0] == "q"}) > 5
+
+
+def test_deep_and_wide_trees(spark):
+    deep = spark.range(1, 71).select("id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"))
+    assert tree.ancestors(deep).count() == 70 * 71 // 2
+    wide = spark.range(1, 200_001).select("id", F.when(F.col("id") > 1, F.greatest(F.lit(1), F.floor(F.col("id") / 3))).alias("parent"))
+    found = tree.ancestors(wide)
+    assert found.count() > 1_000_000 and found.filter("ancestor = 1").count() == 200_000
+    with pytest.raises(ValueError, match="cycle"):
+        tree.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "id int, parent int"))
