@@ -117,8 +117,10 @@ def quote_exact(t):
 
 @query("quote_near")
 def quote_near(t):
-    """Longest common subsequence of each benchmark text with its candidates, and a verdict."""
-    return verify.verdicts(t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text"), "item_id", "doc_id")
+    """Longest common subsequence of each benchmark text with all documents, and a verdict; without a shared
+    word it is notfound."""
+    found = verify.verdicts(t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text"), "item_id", "doc_id")
+    return t("benchmark").select("item_id").distinct().join(found, "item_id", "left").fillna({"matched": 0, "similarity": 0.0, "verdict": "notfound"})
 
 
 @query("fuzzy_names", "SELECT s_name, c_name, CAST(levenshtein(s_name, c_name) AS INT) AS distance FROM (SELECT DISTINCT replace(s_name, 'Supplier', 'Customer') AS s_name FROM supplier) JOIN (SELECT DISTINCT c_name FROM customer) ON levenshtein(s_name, c_name) <= 1")

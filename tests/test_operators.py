@@ -162,3 +162,22 @@ def test_deep_and_wide_trees(spark):
     assert found.count() > 1_000_000 and found.filter("ancestor = 1").count() == 200_000
     with pytest.raises(ValueError, match="cycle"):
         tree.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "id int, parent int"))
+
+
+def test_closest_of_all_documents(spark):
+    import random
+
+    random.seed(6)
+    vocabulary = [f"w{i}" for i in range(30)]
+    quotes = {i: [random.choice(vocabulary) for _ in range(n)] for i, n in enumerate((1, 3, 8, 12, 64, 65, 20, 20))}
+    texts = {i: [random.choice(vocabulary) for _ in range(random.randint(0, 200))] for i in range(120)}
+    texts |= {1000 + i: vocabulary[::-1] * 3 for i in range(60)}  # all words, in another order
+    texts[5000] = [*quotes[6][:9], "zz", *quotes[6][9:]]
+    texts[5001] = ["a", *quotes[7], "b"]
+    q = spark.createDataFrame([(k, " ".join(w)) for k, w in quotes.items()] + [(99, "unseen")], "q int, text string")
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()] + [(-1, None)], "d int, text string")
+    got = {r.q: (r.matched, r.d) for r in verify.closest(q, d, "q", "d", block_words=100).collect()}
+    want = {k: max(((verify._lcs(w, x), -i) for i, x in texts.items())) for k, w in quotes.items()}
+    assert got == {k: (n, -i) for k, (n, i) in want.items()}
+    found = {r.q: (r.d, r.verdict) for r in verify.verdicts(q, d, "q", "d").collect()}
+    assert found[6] == (5000, "near") and found[7] == (5001, "exact")
