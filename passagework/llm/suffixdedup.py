@@ -9,7 +9,8 @@ costs one row for each task that meets it.
 The slices that are left are sorted block by block in the tasks. In a block, the suffixes at the places of a difference
 cover modulo PERIOD get ranks by doubling: by their first PERIOD bytes, then by pairs of ranks, until a rank stands for
 DEPTH bytes. Two suffixes of a bucket are compared by at most PERIOD bytes at either end and one look at the ranks at
-the distance where both meet the cover, however long their common prefix is; memory is bounded by the block.
+the distance where both meet the cover, however long their common prefix is. Anchors with more slices than a block holds
+are left out of this: their windows are rows with a digest, which are counted; memory is bounded by the block.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .pretokens import chunks, slice_hashes
 
 LEAST, GRAM, PERIOD, LONGEST = 400, 128, 57, 512
 BLOCK_BYTES = 1 << 21
+#: Slices of one anchor from which its windows are counted by digest instead of sorted in one block.
+MOST_SLICES = 2048
 
 
 def cover(period: int = PERIOD) -> np.ndarray:
@@ -186,7 +189,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[first, 0], reach[np.append(first[1:] - 1, len(spans) - 1)]])
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, most_slices: int = MOST_SLICES) -> DataFrame:
     """(doc_id, begin, stop): byte ranges of runs of windows that occur elsewhere, as a table; ranges may overlap.
 
     docs: (doc_id, text) with distinct doc_id.
@@ -210,8 +213,9 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     release_shuffles(spark)
     settled = runs.join(kinds.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", F.col("first").alias("begin"), (F.col("last") + least).alias("stop"))
     # slices that several runs have are known to repeat; they stay as company for the others of their anchor
-    open_ones = kinds.filter("slices > 1 or periodic").select("anchor", (F.col("n") > 1).alias("known"), "one.*")
-    wanted = open_ones.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "known", "first", "last")).alias("runs"))
+    open_ones = kinds.filter("slices > 1 or periodic").select("anchor", "slices", (F.col("n") > 1).alias("known"), "one.*")
+    open_ones = open_ones.withColumn("many", F.col("slices") > most_slices).drop("slices")
+    wanted = open_ones.filter("not many").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "known", "first", "last")).alias("runs"))
     held = wanted.join(docs, "doc_id").select("doc_id", "text", "runs")
 
     def cut(batches):
@@ -256,10 +260,24 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "begin", "stop"])
 
+    def digests(batches):
+        for batch in batches:
+            for doc_id, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.encode()
+                for r in own:
+                    at = range(r["first"], r["last"] + 1)
+                    found = [hashlib.blake2b(data[a : a + least], digest_size=16).digest() for a in at]
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["anchor"]] * n, pa.int64()), pa.array([1 + r["known"]] * n, pa.int32()), pa.array([doc_id] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(found, pa.binary())], names=["anchor", "weight", "doc_id", "begin", "digest"])
+
     partly = materialize(dealt.mapInArrow(sort, SPAN), "spans")
     release_shuffles(spark)
-    all_spans = materialize(settled.union(partly), "spans")
-    for t in (runs, kinds, partly):
+    crowded = open_ones.filter("many").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "known", "first", "last")).alias("runs"))
+    windows = materialize(crowded.join(docs, "doc_id").select("doc_id", "text", "runs").mapInArrow(digests, "anchor long, weight int, doc_id long, begin long, digest binary"), "windows")
+    twice = windows.groupBy("anchor", "digest").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor", "digest")
+    counted = windows.filter("weight = 1").join(twice, ["anchor", "digest"], "left_semi").select("doc_id", "begin", (F.col("begin") + least).alias("stop"))
+    all_spans = materialize(settled.union(partly).union(counted), "spans")
+    for t in (runs, kinds, partly, windows):
         drop_table(t)
     release_shuffles(spark)
     return all_spans
@@ -269,14 +287,14 @@ NAMES = ["anchor", "known", "doc_id", "first", "slice"]
 KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = LEAST, most_slices: int = MOST_SLICES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row: kept has the bytes that no repeated window covers.
 
     Null and empty texts have no bytes; texts shorter than a window lose nothing. doc_id must be distinct (of rows that
     share one the first found is judged); rows without one are left as they are. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    spans = repeated_spans(rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least)), least)
+    spans = repeated_spans(rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least)), least, most_slices)
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
     def remove(batches):

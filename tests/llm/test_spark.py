@@ -227,3 +227,14 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_digest_of_no_secrets():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_suffix_dedup_of_a_crowded_anchor(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = word(430)
+    texts = {i: word(rng.randint(0, 300)) + shared + word(rng.randint(0, 300)) for i in range(300)}
+    texts |= {500: texts[3], 501: "ab" * 900, 502: "ab" * 450 + word(50), 503: word(700)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixdedup.without_repeats(docs, most_slices=20).collect()}
+    assert got == brute_repeats({k: x.encode() for k, x in texts.items()})
