@@ -35,13 +35,15 @@ def bigrams(labelled: DataFrame) -> DataFrame:
 
 
 def labelled_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
-    """(text, random): random strings in three alphabets, and words of the sample_docs documents of least hash."""
+    """(text, random): random strings in three alphabets, and words of the sample_docs distinct texts of least hash."""
     spark = docs.sparkSession
     seed = F.sha2(F.concat(F.lit("secret:"), F.col("id").cast("string")).cast("binary"), 256)
     coded = F.translate(F.base64(F.unhex(seed)), "=", "")
     made = F.when(F.col("id") % 3 == 0, F.substring(seed, 1, 40)).when(F.col("id") % 3 == 1, coded).otherwise(F.upper(F.translate(coded, "+/", "QZ")))
     positive = spark.range(random_strings).select(made.alias("text"), F.lit(True).alias("random"))
-    some = docs.select("text", F.xxhash64("text").alias("h")).filter("text is not null").orderBy("h", "text").limit(sample_docs)
+    texts = docs.select("text", F.xxhash64("text").alias("h")).filter("text <> ''")
+    least = texts.select("h").distinct().orderBy("h").limit(sample_docs)  # copies count once; the texts themselves stay where they are
+    some = texts.join(F.broadcast(least), "h", "left_semi").distinct().orderBy("h", "text").limit(sample_docs)
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN + "{4,19}"), F.lit(0))).alias("text"))
     return positive.union(words.select("text", F.lit(False)))
 

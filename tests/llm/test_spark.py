@@ -238,3 +238,11 @@ def test_suffix_dedup_of_a_crowded_anchor(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixdedup.without_repeats(docs, most_slices=20).collect()}
     assert got == brute_repeats({k: x.encode() for k, x in texts.items()})
+
+
+def test_copies_count_once_in_the_sample_of_identifiers(spark):
+    once = spark.createDataFrame([(f"ident{i:04d}",) for i in range(60)], "text string")
+    low = once.orderBy(F.xxhash64("text")).first().text
+    many = once.union(spark.createDataFrame([(low,)] * 100 + [("",)] * 100 + [(None,)], "text string"))
+    words = lambda d: sorted(r.text for r in secrets.labelled_strings(d, 20, 5).filter("not random").collect())
+    assert len(words(many)) == 20 and words(many) == words(once)
