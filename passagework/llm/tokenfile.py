@@ -9,6 +9,7 @@ id in the shard, number of ids). A retried task writes under another name; only
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ MANIFEST = "shard int, path string, n_tokens long, n_docs long"
 
 
 def encoder(path: str):
-    """The tokenizer of a file and its cache of pieces."""
+    """The tokenizer of a file, its cache of pieces, and a pattern of its added tokens, or None."""
     cache = worker_cache()
     if ("tokenizer", path) not in cache:
         import os
@@ -34,19 +35,22 @@ def encoder(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        cache["tokenizer", path] = tokenizer, TwoGenerations(400_000)
+        added = sorted({t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()})
+        marks = re.compile(b"|".join(map(re.escape, added))) if added else None
+        cache["tokenizer", path] = tokenizer, TwoGenerations(400_000), marks
     return cache["tokenizer", path]
 
 
 def token_ids(texts: list[bytes], path: str, dtype):
     """For runs of texts: (row numbers, all their ids end to end, number of ids per text).
 
-    The library encodes each distinct piece between the split's boundaries once; merges never cross them.
+    The library encodes each distinct piece between the split's boundaries once; merges never cross them. A text that
+    holds an added token, such as an end mark, is encoded by the library as a whole.
     """
-    tokenizer, known = encoder(path)
+    tokenizer, known, marks = encoder(path)
     for run in chunks(texts):
-        distinct, index, per_text = pieces([texts[i] for i in run])
+        marked = {k: texts[i] for k, i in enumerate(run) if marks and marks.search(texts[i])}
+        distinct, index, per_text = pieces([b"" if k in marked else texts[i] for k, i in enumerate(run)])
         entries = [known[p] for p in distinct]
         new = [i for i, e in enumerate(entries) if e is None]
         for at in range(0, len(new), 4096):
@@ -59,8 +63,14 @@ def token_ids(texts: list[bytes], path: str, dtype):
         n = sizes[index]
         ends = np.cumsum(n)
         ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(offset[index] - (ends - n), n)]
-        marks = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-        yield run, ids, np.diff(marks)
+        ends_of = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
+        counts = np.diff(ends_of)
+        if marked:
+            parts = np.split(ids, ends_of[1:-1])
+            for k, text in marked.items():
+                parts[k] = np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype)
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        yield run, ids, counts
 
 
 def write_sequences(docs: DataFrame, out: str, tokenizer_path: str, length: int = LENGTH, end: int = END, vocabulary: int = 50_257) -> DataFrame:

@@ -246,3 +246,19 @@ def test_copies_count_once_in_the_sample_of_identifiers(spark):
     many = once.union(spark.createDataFrame([(low,)] * 100 + [("",)] * 100 + [(None,)], "text string"))
     words = lambda d: sorted(r.text for r in secrets.labelled_strings(d, 20, 5).filter("not random").collect())
     assert len(words(many)) == 20 and words(many) == words(once)
+
+
+def test_token_file_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["plain text", "one<|endoftext|>two", "<|endoftext|>", " a <|endoftext|> \n<|endoftext|><|endoftext|>é", "", "<|endoftext|", "x" * 40]
+    docs = table(spark, [(i, x, "a") for i, x in enumerate(texts)])
+    rows = sorted(tokenfile.read_documents(tokenfile.write_sequences(docs, new_path(spark, "t"), path, length=16)).collect())
+    at = 0
+    for i, r in enumerate(rows):
+        ids = [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert rows[2].n_tokens == 2
