@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, worker_cache
-from .pretokens import TwoGenerations, chunks, pieces
+from .pretokens import TwoGenerations, pieces, text_runs
 
 SHORT = 64
 
@@ -35,7 +35,7 @@ class PairTable:
                 if a is not None and b is not None:
                     found[a << 32 | b] = rank
         keys = np.array(sorted(found), np.int64)
-        self.bits = 22
+        self.bits = max(10, (2 * len(keys)).bit_length())
         self.key = np.full(1 << self.bits, -1, np.int64)
         self.rank = np.zeros(1 << self.bits, np.int32)
         left, ranked = keys, np.array([found[k] for k in keys.tolist()], np.int32)
@@ -150,8 +150,8 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def encoded(texts: list[bytes], path: str) -> Iterator[tuple[list[int], list, np.ndarray]]:
-    """For runs of texts: (row numbers, entry of each piece in order, number of pieces per text).
+def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+    """For runs of texts: (number of the first, entry of each distinct piece, entry's number of each piece, number of pieces per text).
 
     An entry is (ids, decimal ids joined by commas, the bytes that the ids stand for).
     """
@@ -160,13 +160,15 @@ def encoded(texts: list[bytes], path: str) -> Iterator[tuple[list[int], list, np
         ranks = load_ranks(path)
         cache["ranks", path] = ranks, {i: t for t, i in ranks.items()}, TwoGenerations(), PairTable(ranks)
     ranks, tokens, known, pairs = cache["ranks", path]
-    for run in chunks(texts):
-        distinct, index, per_text = pieces([texts[i] for i in run])
+    for at, texts in text_runs(column):
+        distinct, index, per_text = pieces(texts)
         entries = [known[p] for p in distinct]
         new = [i for i, e in enumerate(entries) if e is None]
         for i, ids in zip(new, merge_all([distinct[i] for i in new], ranks, pairs), strict=True):
-            entries[i] = known.put(distinct[i], (ids, ",".join(map(str, ids)).encode(), b"".join([tokens[t] for t in ids])))
-        yield run, entries, index, per_text
+            back = b"".join([tokens[t] for t in ids])
+            entry = ids, ",".join(map(str, ids)).encode(), distinct[i] if back == distinct[i] else back
+            entries[i] = known.put(distinct[i], entry, 400 + 45 * len(ids) + len(back))
+        yield at, entries, index, per_text
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -174,21 +176,21 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
 
     token_bytes gives the tokens' offsets in the text, in order. Null and empty texts have no tokens; texts of any
     length are encoded whole; rows are independent, so repeated rows give repeated results. Other columns are ignored.
+    Kept columns must not be called ids or token_bytes.
     """
 
     def run(batches):
         for batch in batches:
-            texts = [b"" if t is None else t.encode() for t in batch.column(len(keep)).to_pylist()]
-            tokens = None
-            ids_out, lens_out = [None] * len(texts), [None] * len(texts)
-            for rows, entries, index, per_text in encoded(texts, path):
+            for first, entries, index, per_text in encoded(batch.column(len(keep)), path):
                 tokens = worker_cache()["ranks", path][1]
-                at = 0
-                for r, n in zip(rows, per_text.tolist(), strict=True):
+                at, ids_out, lens_out = 0, [], []
+                for n in per_text.tolist():
                     ids = [i for k in index[at : at + n].tolist() for i in entries[k][0]]
-                    ids_out[r], lens_out[r] = ids, [len(tokens[i]) for i in ids]
+                    ids_out.append(ids)
+                    lens_out.append([len(tokens[i]) for i in ids])
                     at += n
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids_out, pa.list_(pa.int32())), pa.array(lens_out, pa.list_(pa.int32()))], names=[*keep, "ids", "token_bytes"])
+                own = [c.slice(first, len(per_text)) for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(ids_out, pa.list_(pa.int32())), pa.array(lens_out, pa.list_(pa.int32()))], names=[*keep, "ids", "token_bytes"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, ids array<int>, token_bytes array<int>")
@@ -211,24 +213,27 @@ def decode(tokens: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each whole text, decodes its ids, and returns digests of both."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each whole text, decodes its ids, and returns digests of both.
+
+    Null and empty texts have no tokens and the digests of nothing. Rows are independent: repeated rows give repeated
+    results, and a null doc_id stays null. Other columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches):
         for batch in batches:
-            texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
-            n_out, ids_out, text_out = [0] * len(texts), [""] * len(texts), [""] * len(texts)
-            for rows, entries, index, per_text in encoded(texts, path):
+            for first, entries, index, per_text in encoded(batch.column(1), path):
                 counts = np.array([len(e[0]) for e in entries], np.int64)
                 sums = np.concatenate([[0], np.cumsum(counts[index])]) if len(entries) else np.zeros(1, np.int64)
+                ends = np.cumsum(per_text)
                 decimal, back = [e[1] for e in entries], [e[2] for e in entries]
-                at = 0
-                for r, n in zip(rows, per_text.tolist(), strict=True):
-                    own = index[at : at + n].tolist()
-                    n_out[r] = int(sums[at + n] - sums[at])
-                    ids_out[r] = hashlib.sha256(b",".join([decimal[k] for k in own])).hexdigest()
-                    text_out[r] = hashlib.sha256(b"".join([back[k] for k in own])).hexdigest()
-                    at += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_out, pa.int64()), pa.array(ids_out), pa.array(text_out)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at, ids_out, text_out = 0, [], []
+                for stop in ends.tolist():
+                    own = index[at:stop].tolist()
+                    ids_out.append(hashlib.sha256(b",".join([decimal[k] for k in own])).hexdigest())
+                    text_out.append(hashlib.sha256(b"".join([back[k] for k in own])).hexdigest())
+                    at = stop
+                n_out = pa.array(sums[ends] - sums[ends - per_text], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(per_text)), n_out, pa.array(ids_out, pa.string()), pa.array(text_out, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -7,7 +7,7 @@ import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +55,21 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def beside(df: DataFrame, **values: Column) -> DataFrame:
+    """(row, and the values): a table's columns in one, so that no name of theirs clashes with what is put beside them."""
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *(v.alias(k) for k, v in values.items()))
+
+
+def dealt(work: DataFrame, most: int = 20_000) -> DataFrame:
+    """Rows that each stand for a piece of work, dealt evenly to a stated number of tasks.
+
+    Such rows are small, so adaptive execution would gather them in one task if the number were left to it. There are as
+    many tasks as rows, but no more than most; a task then takes several.
+    """
+    n = max(1, min(most, work.count()))
+    return work.repartition(n)
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     return sys.__dict__.setdefault("_passagework_cache", {})

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, beside, materialize, table
 
 WEIGHTS, SHARE, MOST, SEED, DIGITS = (3, 1, 2), 1.5, 2.0, "mix-1", 3
 
@@ -77,10 +77,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; a document taken in part comes whole, one taken not at all goes."""
-    times = mix_sources(docs).groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).alias("_times"))
-    joined = docs.alias("d").join(times.withColumnRenamed("doc_id", "_id").alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t._id")))
-    return joined.filter("_times > 0").select("d.*", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_epoch")).drop("_epoch")
+    """Documents as often as the mix takes them; a document taken in part comes whole, one taken not at all goes.
+
+    Rows that share a doc_id come as often as the one of them that the mix takes most.
+    """
+    times = mix_sources(docs).groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("times"))
+    joined = beside(docs, id=F.col("doc_id")).join(times, F.col("id").eqNullSafe(F.col("doc_id")))
+    return joined.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 SQL = {

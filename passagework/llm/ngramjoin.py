@@ -13,15 +13,19 @@ spanning forest of the family's links.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, drop_table, materialize, release_shuffles, table
-from .pretokens import chunks, slice_hashes, slices
+from .pretokens import distinct, text_runs
 
 WORDS, NUMERATOR, DENOMINATOR, BLOCK, FAMILY, LEAF, FANOUT = 5, 4, 5, 2048, 256, 16, 8
+#: Bits of an exact bitmap of the sets in a block.
+MOST_BITS = 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -35,13 +39,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic digest of each word data[begin:end]; equal words are told apart by their bytes first."""
+    some, index = distinct(data, begin, end)
+    raw, a, b = data.tobytes(), begin[some].tolist(), end[some].tolist()
+    found = b"".join([hashlib.blake2b(raw[i:j], digest_size=8).digest() for i, j in zip(a, b, strict=True)])
+    return np.frombuffer(found, np.uint64)[index]
+
+
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all texts' distinct shingles, sorted within each text, where each text's end): a text of fewer words is one shingle."""
     data = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
     blank = _BLANK[data]
     edge = np.flatnonzero(np.diff(blank.astype(np.int8), prepend=1, append=1))
     begin, end = edge[::2], edge[1::2]
-    w = slice_hashes(data, begin, end)
+    w = word_digests(data, begin, end)
     stops = np.cumsum([len(t) + 1 for t in texts])
     owner = np.searchsorted(stops, begin, side="right")
     per = np.bincount(owner, minlength=len(texts))
@@ -75,24 +87,28 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def set_digests(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell each set: two sums of mixed shingle hashes."""
+    starts = np.concatenate([[0], ends[:-1]])
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h.view(np.uint64) + k))]) for k in (_ODD[0], _ODD[1])]
+    return tuple((s[ends] - s[starts]).view(np.int64) for s in sums)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n, h1, h2, prefix, bits) of each document: size and hash of its set, prefix tokens, bitmap."""
 
     def run(batches):
-        for batch in (s for b in batches for s in slices(b)):
-            texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
-            for rows in chunks(texts, 1 << 20):
-                h, ends = shingle_sets([texts[i] for i in rows])
-                u = h.view(np.uint64)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(u + k))]) for k in (_ODD[0], _ODD[1])]
+        for batch in batches:
+            for first, texts in text_runs(batch.column(1)):
+                h, ends = shingle_sets(texts)
+                h1, h2 = set_digests(h, ends)
                 starts = np.concatenate([[0], ends[:-1]])
-                h1, h2 = ((s[ends] - s[starts]).view(np.int64) for s in sums)
                 n = ends - starts
                 p = np.array([prefix_size(k) for k in n.tolist()], np.int64)
                 at = np.repeat(starts - (np.cumsum(p) - p), p) + np.arange(p.sum())
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]), pa.int32()), pa.array(h[at]))
                 bits = [bitmap(h[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(n, pa.int32()), pa.array(h1), pa.array(h2), prefix, pa.array(bits, pa.binary())], names=["doc_id", "n", "h1", "h2", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int32()), pa.array(h1), pa.array(h2), prefix, pa.array(bits, pa.binary())], names=["doc_id", "n", "h1", "h2", "prefix", "bits"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, h1 long, h2 long, prefix array<long>, bits binary")
 
@@ -161,21 +177,33 @@ def candidates(size: np.ndarray, bits: list[bytes]) -> list[tuple[int, int, int]
     return out
 
 
-def links(sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """(i, j, overlap) of the sets that are alike enough, exactly: a bit for each token that two of them have."""
+def links(sets: list[np.ndarray], most_bits: int = MOST_BITS) -> list[tuple[int, int, int]]:
+    """(i, j, overlap) of the sets that are alike enough, exactly: a bit for each token that two of them have.
+
+    If that takes more than most_bits, several tokens share a bit; the pairs that are left are then counted one by one.
+    """
     size = np.array([len(x) for x in sets], np.int64)
     order = np.argsort(size, kind="stable")
     every = np.concatenate([sets[r] for r in order])
     _, token, times = np.unique(every, return_inverse=True, return_counts=True)
     place = np.cumsum(times > 1) - 1
     shared = times[token] > 1
-    wide = -(-max(1, int((times > 1).sum())) // 64) * 64
-    owner = np.repeat(np.arange(len(sets)), size[order])
-    dense = np.zeros((len(sets), wide), bool)
-    dense[owner[shared], place[token[shared]]] = True
-    bits = np.packbits(dense, axis=1, bitorder="little").view(np.uint64)
-    i, j, overlap = walk(size[order], bits, np.zeros(len(sets), np.int64))
-    return list(zip(order[i].tolist(), order[j].tolist(), overlap.tolist(), strict=True))
+    needed = int((times > 1).sum())
+    wide = -(-max(1, min(most_bits, needed)) // 64) * 64
+    owner = np.repeat(np.arange(len(sets)), size[order])[shared]
+    bit = place[token[shared]] % wide
+    bits = np.zeros((len(sets), wide // 64), np.uint64)
+    np.bitwise_or.at(bits, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    if needed <= wide:
+        i, j, overlap = walk(size[order], bits, np.zeros(len(sets), np.int64))
+        return list(zip(order[i].tolist(), order[j].tolist(), overlap.tolist(), strict=True))
+    held = np.bincount(owner, minlength=len(sets)) - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    out = []
+    for i, j in zip(*(order[x].tolist() for x in walk(size[order], bits, held)[:2]), strict=True):
+        overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if reaches(overlap, len(sets[i]), len(sets[j])):
+            out.append((i, j, overlap))
+    return out
 
 
 def forest(pairs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
@@ -253,32 +281,36 @@ def in_bands(met: DataFrame, block: int) -> DataFrame:
     return met.filter(F.col("members") <= block).select("token", "rep", "n", "members").union(large.join(sizes, "token").select("token", "rep", "n", "members"))
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, h): the sorted hashes of the documents named in ids."""
+def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, h): the sorted hashes of classes (rep, doc, n, h1, h2), from a document of that doc_id and that set."""
 
     def run(batches):
-        for batch in (s for b in batches for s in slices(b)):
-            texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
-            for rows in chunks(texts, 1 << 20):
-                h, ends = shingle_sets([texts[i] for i in rows])
-                sets = [h[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], names=["rep", "h"])
+        for batch in batches:
+            for first, texts in text_runs(batch.column(1)):
+                h, ends = shingle_sets(texts)
+                rep, h1, h2 = (batch.column(k).slice(first, len(texts)).to_numpy() for k in (0, 2, 3))
+                own = set_digests(h, ends)
+                right = np.flatnonzero((own[0] == h1) & (own[1] == h2))
+                sets = [h[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]])[right].tolist(), ends[right].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rep[right]), pa.array(sets, pa.binary())], names=["rep", "h"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi")
-    return named.mapInArrow(run, "rep long, h binary").dropDuplicates(["rep"])
+    named = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(classes.select("doc", "rep", "h1", "h2"), "doc")
+    return named.select("rep", "text", "h1", "h2").mapInArrow(run, "rep long, h binary").dropDuplicates(["rep"])
 
 
 def near_copies(docs: DataFrame, block: int = BLOCK, family_block: int = FAMILY) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row.
 
     Two documents link at a similarity of 0.8 or more; component_id is the smallest doc_id reachable. Null, empty and
-    blank texts have no shingles and link with nothing; rows with a null doc_id have a null component. Repeated rows are
-    copies of each other; rows that share a doc_id must share the text. Other columns are ignored.
+    blank texts have no shingles and link with nothing; rows with a null doc_id have a null component and link with
+    nothing. Repeated rows are copies of each other; of rows that share a doc_id each is judged by its own text. Other
+    columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     sketch = materialize(sketches(docs), "sketches")
     usable = sketch.filter("n > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
+    grouped = usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes = materialize(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a number holds once it is written
     release_shuffles(spark)
     tokens = classes.select("rep", "n", F.explode("prefix").alias("token"))
     buckets = tokens.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")).filter("members > 1")
@@ -290,18 +322,20 @@ def near_copies(docs: DataFrame, block: int = BLOCK, family_block: int = FAMILY)
     first = materialize(forests(near, "token", "n bits", of_bucket), "pairs")
     release_shuffles(spark)
     family = materialize(connected_components(spark, first).withColumnsRenamed({"node": "rep", "component": "family"}), "families")
-    sets = materialize(whole_sets(docs, family.select("rep")), "sets")
+    sets = materialize(whole_sets(docs, classes.join(family.select("rep"), "rep", "left_semi")), "sets")
     release_shuffles(spark)
     sized = family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family")
     whole = in_blocks(sized, "family", "members", family_block).join(sets, "rep")
     of_family = lambda t: links([np.frombuffer(h, np.int64) for h in t.column("h").to_pylist()])
     linked = materialize(forests(whole, "family", "h", of_family), "links")
     release_shuffles(spark)
-    component = materialize(connected_components(spark, linked), "components")
+    member = connected_components(spark, linked).withColumnRenamed("node", "rep").join(classes.select("rep", "doc"), "rep")
+    component = materialize(member.select("rep", "component", "doc"), "components")
     for t in (met, first, family, sets, linked):
         drop_table(t)
     release_shuffles(spark)
-    of_class = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("c"))
+    least = component.groupBy("component").agg(F.min("doc").alias("c"))
+    of_class = classes.join(component.select("rep", "component").join(least, "component"), "rep", "left").select("h1", "h2", "n", F.coalesce("c", "doc").alias("c"))
     out = sketch.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
 
@@ -311,7 +345,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id; rows without doc_id stay."""
+    """One document of each group of near copies, that of the smallest doc_id; rows without doc_id stay.
+
+    Of rows that share a doc_id all go if any of them does, else all stay.
+    """
     gone = near_copies(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

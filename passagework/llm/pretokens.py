@@ -10,8 +10,11 @@ and a second sweep marks where pieces start.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import worker_cache
 
@@ -133,6 +136,8 @@ def starts_of(cps: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Powers that a worker keeps between calls; longer runs of values get theirs anew.
+KEPT_POWERS = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,23 +150,56 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         for powers in have:
             powers[0] = 1
             np.cumprod(powers, out=powers)
-        if size <= 1 << 24:
+        if size <= KEPT_POWERS + 1:
             cache["powers"] = have
     return have[0][:n], have[1][:n]
 
 
 def slice_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each values[begin:end]."""
+    """A 64-bit hash of each values[begin:end]. Different slices can share one, so it only sorts; distinct() compares."""
     n = len(values)
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * down[:n], out=sums[1:])
+    held = values.astype(np.uint64)
+    held += np.uint64(1)
+    held *= down[:n]
+    np.cumsum(held, out=sums[1:])
     h = (sums[end] - sums[begin]) * up[begin]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= (end - begin).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(32))
 
 
+def distinct(values: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes=slice_hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(a slice of each kind, kind of every slice) of values[begin:end], exactly.
+
+    Slices of one hash are compared value by value with the first of them; those that differ from it become kinds of
+    their own by their content.
+    """
+    _, some, index = np.unique(hashes(values, begin, end), return_index=True, return_inverse=True)
+    size, lead = end - begin, some[index]
+    same = size == size[lead]
+    shift = np.where(same, begin[lead] - begin, 0)
+    ends = np.cumsum(size)
+    if len(begin) and (begin[1:] == end[:-1]).all():  # slices without gaps: their values are one run
+        at = np.arange(begin[0], end[-1])
+    else:
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+    off = np.flatnonzero(values[at] != values[at + np.repeat(shift, size)])
+    same[np.searchsorted(ends, off, side="right")] = False
+    odd = np.flatnonzero(~same)
+    if len(odd):
+        kinds, more = {}, some.tolist()
+        for i in odd.tolist():
+            key = values[begin[i] : end[i]].tobytes()
+            if key not in kinds:
+                kinds[key] = len(more)
+                more.append(i)
+            index[i] = kinds[key]
+        some = np.array(more)
+    return some, index
+
+
 def pieces(texts: list[bytes]):
     """Distinct pieces of the texts, and per text the number of each of its pieces.
 
@@ -178,7 +216,7 @@ def pieces(texts: list[bytes]):
     end = np.append(begin[1:], len(cps))
     if not len(begin):
         return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    _, some, index = np.unique(slice_hashes(cps, begin, end), return_index=True, return_inverse=True)
+    some, index = distinct(cps, begin, end)
     utf8 = joined.encode()
     if len(utf8) == len(cps):
         a, b = begin[some], end[some]
@@ -186,45 +224,47 @@ def pieces(texts: list[bytes]):
         at = np.zeros(len(cps) + 1, np.int64)
         np.cumsum(1 + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000).astype(np.int64), out=at[1:])
         a, b = at[begin[some]], at[end[some]]
-    distinct = [utf8[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    kinds = [utf8[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
     per_text = np.searchsorted(begin, ends) - np.searchsorted(begin, ends - lengths)
-    return distinct, index, per_text
+    return kinds, index, per_text
+
 
+#: Bytes of text that a task works on at once.
+CHUNK = 1 << 20
 
-def chunks(values, most: int = 1 << 22):
-    """Runs of row numbers whose texts have about so many bytes together; a longer text is a run of its own."""
-    run, size = [], 0
-    for i, v in enumerate(values):
-        n = len(v)
-        if run and size + n > most:
-            yield run
-            run, size = [], 0
-        run.append(i)
-        size += n
-    if run:
-        yield run
 
+def text_runs(column: pa.Array, most: int = CHUNK, rows: int = 2000) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first row, texts as bytes) of runs of rows, cut so that a task's Python objects stay few.
 
-def slices(batch, rows: int = 1000):
-    """An Arrow batch or array in pieces of so many rows, so that a task's Python objects stay few."""
-    n = batch.num_rows if hasattr(batch, "num_rows") else len(batch)
-    for at in range(0, n, rows):
-        yield batch.slice(at, rows)
+    A run has at most so many bytes and rows; a longer text is a run of its own. Null counts as empty.
+    """
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, n = 0, len(column)
+    while at < n:
+        stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right"))
+        stop = min(max(stop, at + 1), at + rows, n)
+        yield at, [t or b"" for t in column.slice(at, stop - at).cast(pa.binary()).to_pylist()]
+        at = stop
 
 
 class TwoGenerations(dict):
-    """A bounded cache: when it is full, what was used since the last time stays."""
+    """A cache bounded by the size of its values: when it is full, what was used since the last time stays."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 24 << 20):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.size, self.old = most, 0, {}
 
     def __missing__(self, key):
         return None if (v := self.old.get(key)) is None else self.put(key, v)
 
-    def put(self, key, value):
-        if len(self) >= self.most:
-            self.old = dict(self)
+    def put(self, key: bytes, value, size: int | None = None):
+        """size: about how many bytes the value takes; a value of over a thousandth of all is not kept."""
+        size = 300 + 12 * len(key) if size is None else size
+        if size > self.most // 1000:
+            return value
+        if self.size + size > self.most:
+            self.old, self.size = dict(self), 0
             self.clear()
+        self.size += size
         self[key] = value
         return value

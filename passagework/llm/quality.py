@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import beside, table
 from .ngramjoin import _BLANK, _LOWER
-from .pretokens import chunks, slice_hashes, slices
+from .pretokens import slice_hashes, text_runs
 
 #: Hashed features, labelled rows that training takes at most, and how many standard errors the share of some grade
 #: or better among the rows with a feature (weighted by its values) must be off that of all for it to get a weight.
@@ -22,9 +22,7 @@ BITS, SAMPLE, LEAST_Z = 18, 5000, 4.5
 ROUNDS, RATE, DECAY = 200, 0.1, 3e-4
 #: Toxic, poor, good: a document stays if the probability of the last is at least TAIL.
 GRADES, TAIL = 3, 0.35
-
-#: Bytes of text that a task works on at once.
-CHUNK = 1 << 20
+SCORES = ["expected_grade", "tail_probability"]
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -66,13 +64,12 @@ def rows_of(docs: DataFrame, extra: str) -> DataFrame:
     """Features of texts as arrays, beside the columns named in extra."""
 
     def run(batches):
-        for batch in (s for b in batches for s in slices(b)):
-            texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
-            for rows in chunks(texts, CHUNK):
-                row, number, value = features([texts[i] for i in rows])
-                cuts = pa.array(np.searchsorted(row, np.arange(len(rows) + 1)), pa.int32())
+        for batch in batches:
+            for first, texts in text_runs(batch.column(1)):
+                row, number, value = features(texts)
+                cuts = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(number, pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(value, pa.float64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *lists], names=["grade", "number", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *lists], names=["grade", "number", "value"])
 
     return docs.select(F.col(extra).cast("int").alias("grade"), "text").mapInArrow(run, "grade int, number array<long>, value array<double>")
 
@@ -145,31 +142,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, and expected_grade and tail_probability (of the best grade). Null text counts as empty, and has no features."""
+    """docs, and expected_grade and tail_probability (of the best grade), which replace columns of these names.
+
+    Null text counts as empty, and has no features.
+    """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((model.weights.astype(np.float64), model.cuts))
 
     def run(texts: pa.Array) -> pa.Array:
         own, done = Model(*held.value), [np.zeros((0, 2))]
-        for part in slices(texts):
-            some = [b"" if t is None else t.encode() for t in part.to_pylist()]
-            out = np.zeros((len(some), 2))
-            for rows in chunks(some, CHUNK):
-                row, number, value = features([some[i] for i in rows])
-                tails = own.tails(np.bincount(row, value * own.weights[number], minlength=len(rows)))
-                out[rows] = np.column_stack([tails.sum(1), tails[:, -1]])
-            done.append(out)
+        for _, some in text_runs(texts):
+            row, number, value = features(some)
+            tails = own.tails(np.bincount(row, value * own.weights[number], minlength=len(some)))
+            done.append(np.column_stack([tails.sum(1), tails[:, -1]]))
         out = np.concatenate(done)
-        return pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["expected_grade", "tail_probability"])
+        return pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=SCORES)
 
     score = F.arrow_udf(run, "expected_grade double, tail_probability double").asNondeterministic()  # else a filter on it runs it twice
-    return docs.withColumn("_score", score("text")).select(*docs.columns, "_score.*")
+    return beside(docs.drop(*SCORES), score=score("text")).select("row.*", "score.*")
 
 
 def select(docs: DataFrame, labels: DataFrame, tail: float = TAIL, sample: int = SAMPLE) -> DataFrame:
     """The documents whose probability of the best grade is at least tail, with expected_grade and tail_probability.
 
-    Empty and null texts have no features and are judged by the thresholds alone. Rows are independent.
+    Empty and null texts have no features and are judged by the thresholds alone. Rows are independent; an empty table
+    gives an empty result. Columns of docs that are called expected_grade or tail_probability are replaced.
     """
     return scored(docs, train(docs, labels, sample)).filter(F.col("tail_probability") >= tail)
 
@@ -180,5 +177,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
-    return select(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
+    """Documents that the classifier keeps, with all their columns."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return scored(beside(docs, text=F.col("text")), model).filter(F.col("tail_probability") >= TAIL).select("row.*")

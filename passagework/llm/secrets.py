@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import beside, table
 
 #: The base rules, as the contract states them: kind, pattern, what a text must have at all.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,6 +24,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOKEN, TOKEN_LEAST = "[A-Za-z0-9+/_=-]", 20
 #: Log-likelihood ratio a character from which a token counts as random, and over the whole token.
 PER_CHARACTER, IN_ALL = 0.75, 20.0
+#: Values that running() folds, and characters that cut() scans, at once.
+BLOCK, TEXT_BLOCK = 128, 4096
 #: Bounds of the training sample: documents whose words serve as ordinary identifiers, and random strings.
 SAMPLE_DOCS, RANDOM_STRINGS, SMOOTHING, BACK_OFF = 400, 3000, 0.5, 20.0
 
@@ -65,12 +67,35 @@ def train(labelled: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
     return [math.log(chance[True][a][b] / chance[False][a][b]) for a in range(size) for b in range(size)]
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _folded(values: Column, join) -> Column:
+    step = lambda acc, x: F.struct(join(acc["last"], x).alias("last"), F.concat(acc["all"], F.array(join(acc["last"], x))).alias("all"))
+    return F.aggregate(values, F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
+
+
+def running(values: Column, join) -> Column:
+    """Results of an associative join of each value of array<int> with all before it; the first is joined with 0.
+
+    Blocks are folded by themselves and then raised by what is before them, so that long arrays take little more than
+    linear time.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: _folded(F.slice(values, k * BLOCK + 1, BLOCK), join))
+    before = lambda own: _folded(F.transform(own, lambda b: F.element_at(b, -1)), join)
+    raised = lambda own: let(before(own), lambda tops: F.flatten(F.transform(own, lambda b, k: F.transform(b, lambda x: join(F.coalesce(F.get(tops, k - 1), F.lit(0)), x)))))
+    return F.when(F.size(values) > 0, let(blocks, raised)).otherwise(F.array().cast("array<int>"))
+
+
 def ratio(text: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of each character pair of a string, summed."""
     held = F.split(F.lit(" ".join(f"{x:.6f}" for x in model)), " ").cast("array<double>")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1)))
-    step = lambda acc, i: acc + F.element_at(held, ((place(i) - 1) * len(ALPHABET) + place(i + 1)).cast("int"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(text) - 1), F.lit(0.0), step)
+    places = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
+    pair = lambda a, b: F.element_at(held, (a - 1) * len(ALPHABET) + b)
+    pairs = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), pair)
+    return F.aggregate(let(places, pairs), F.lit(0.0), lambda acc, x: acc + x)
 
 
 SPANS = "array<struct<start:int,kind:int,end:int,word:string>>"
@@ -80,37 +105,54 @@ def matches(text: Column, pattern: str, kind: int, when: Column, word_group: int
     """Spans of all matches of a pattern, left to right, in code points: what lies between them is what split leaves."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     word = found if word_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(word_group))
-    between = F.split(text, pattern, -1)
-    sized = F.zip_with(F.zip_with(found, word, lambda m, w: F.struct(F.length(m).alias("n"), w.alias("w"))), F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), m.n.alias("n"), m.w.alias("w")))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("spans"))
-    step = lambda acc, x: F.struct(
-        (acc.pos + x.gap + x.n).alias("pos"),
-        F.concat(acc.spans, F.array(F.struct((acc.pos + x.gap).alias("start"), F.lit(kind).alias("kind"), (acc.pos + x.gap + x.n).alias("end"), x.w.alias("word")))).alias("spans"),
-    )
-    return F.when(when, F.aggregate(sized, start, step, lambda acc: acc.spans)).otherwise(F.array().cast(SPANS))
 
+    def spans(x: Column) -> Column:
+        steps = F.zip_with(x["found"], F.slice(x["between"], F.lit(1), F.size(x["found"])), lambda m, gap: F.length(gap) + F.length(m))
+        span = lambda ends: lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), F.get(x["word"], i).alias("word"))
+        return let(running(steps, lambda a, b: a + b), lambda ends: F.transform(x["found"], span(ends)))
 
-NAMES = ("assign", "access", "hex", "random")
+    parts = F.struct(found.alias("found"), word.alias("word"), F.split(text, pattern, -1).alias("between"))
+    return F.when(when, let(parts, spans)).otherwise(F.array().cast(SPANS))
 
 
-def find_secrets(docs: DataFrame, model: list[float], per_character: float = PER_CHARACTER, in_all: float = IN_ALL) -> DataFrame:
-    """docs and a column secrets: array of (start, kind, end, word), by start, then kind; kind is a place in NAMES.
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span: of the spans that begin before a token's end, none ends after its start."""
+    of_token = F.transform(tokens, lambda t: F.struct(t["end"].alias("at"), F.lit(0).alias("is_base"), F.lit(0).alias("reach"), t.alias("span")))
+    of_base = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("is_base"), b["end"].alias("reach"), b.alias("span")))
 
-    Null and empty texts have no secrets. A random token that overlaps a base match is left out. Texts of any length are
-    scanned whole; rows are independent.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    def free(events: Column) -> Column:
+        reach = running(F.transform(events, lambda e: e["reach"]), F.greatest)
+        alone = lambda seen: F.filter(events, lambda e, i: (e["is_base"] == 0) & (F.get(seen, i) <= e["span"]["start"]))
+        return F.transform(let(reach, alone), lambda e: e["span"])
+
+    return F.when(F.size(base) == 0, tokens).otherwise(let(F.array_sort(F.concat(of_token, of_base)), free))
+
+
+NAMES = ("assign", "access", "hex", "random")
+
+
+def secrets_in(text: Column, model: list[float], per_character: float = PER_CHARACTER, in_all: float = IN_ALL) -> Column:
+    """Array of (start, kind, end, word), by start, then kind; kind is a place in NAMES. Null and empty texts have none."""
+    text = F.coalesce(text, F.lit(""))
     base = F.concat(
         F.filter(matches(text, ASSIGN, 0, text.rlike(r"(?i:passw|secret|token|api_?key)"), 2), lambda s: F.length(s.word) >= ASSIGN_LEAST),
         F.filter(matches(text, ACCESS, 1, text.contains("AKIA")), lambda s: s.end - s.start >= ACCESS_LEAST),
         matches(text, HEX.replace("+", f"{{{HEX_LEAST},}}"), 2, text.rlike(HEX.replace("+", f"{{{HEX_LEAST}}}"))),
     )
     tokens = matches(text, f"{TOKEN}{{{TOKEN_LEAST},}}", 3, text.rlike(f"{TOKEN}{{{TOKEN_LEAST}}}"))
-    out = docs.withColumn("_base", base).withColumn("_tokens", tokens)
-    free = F.filter(F.col("_tokens"), lambda t: ~F.exists(F.col("_base"), lambda b: (b.start < t.end) & (t.start < b.end)))
-    scored = F.transform(free, lambda t: F.struct(t.alias("t"), ratio(t.word, model).alias("r")))
-    high = F.filter(scored, lambda s: (s.r >= in_all) & (s.r >= per_character * (F.length(s.t.word) - 1)))
-    return out.withColumn("secrets", F.array_sort(F.concat("_base", F.transform(high, lambda s: s.t)))).drop("_base", "_tokens")
+    high = lambda t: let(ratio(t["word"], model), lambda r: (r >= in_all) & (r >= per_character * (F.length(t["word"]) - 1)))
+    return let(F.struct(base.alias("base"), tokens.alias("tokens")), lambda x: F.array_sort(F.concat(x["base"], F.filter(apart(x["tokens"], x["base"]), high))))
+
+
+def find_secrets(docs: DataFrame, model: list[float], per_character: float = PER_CHARACTER, in_all: float = IN_ALL) -> DataFrame:
+    """docs and a column secrets, see secrets_in; docs must not have a column of that name.
+
+    A random token that overlaps a base match is left out. Texts of any length are scanned whole, in time that follows
+    their length; rows are independent, so repeated rows have repeated results. An empty table gives an empty result.
+    """
+    if "secrets" in [c.lower() for c in docs.columns]:
+        raise ValueError("docs has a column secrets already")
+    return docs.withColumn("secrets", secrets_in(F.col("text"), model, per_character, in_all))
 
 
 def listed(spans: Column) -> Column:
@@ -119,19 +161,36 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
+def cut(blocks: Column, begin: Column, end: Column) -> Column:
+    """The characters from begin up to end of a text that was cut into blocks of TEXT_BLOCK characters."""
+    first = F.floor(begin / TEXT_BLOCK).cast("int")
+    own = F.slice(blocks, first + 1, F.greatest(F.lit(0), F.floor((end - 1) / TEXT_BLOCK).cast("int") - first + 1))
+
+    def part(x: Column, i: Column) -> Column:
+        at = (first + i) * TEXT_BLOCK
+        return F.substring(x, F.greatest(begin - at, F.lit(0)) + 1, F.greatest(F.lit(0), F.least(end - at, F.lit(TEXT_BLOCK)) - F.greatest(begin - at, F.lit(0))))
+
+    return F.array_join(F.transform(own, part), "")
+
+
+def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
+    """A text with each run of overlapping secrets replaced by a mark."""
+
+    def clean(x: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(x["reach"], i - 1), F.lit(0))
+        kept = F.transform(x["secrets"], lambda s, i: F.when((i == 0) | (s["start"] >= before(i)), F.concat(cut(x["blocks"], before(i), s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), cut(x["blocks"], F.element_at(x["reach"], -1), x["length"]))
+
+    parts = F.struct(secrets.alias("secrets"), running(F.transform(secrets, lambda s: s["end"]), F.greatest).alias("reach"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0)).alias("blocks"), F.length(text).alias("length"))
+    return F.when(F.size(secrets) > 0, let(parts, clean)).otherwise(text)
+
+
 def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Texts with each run of secrets replaced by a mark, n_chars counted anew; the column secrets goes."""
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc.pos, s.end).alias("pos"),
-        F.when(s.start >= acc.pos, F.concat(acc.out, F.substring(text, acc.pos + 1, s.start - acc.pos), F.lit(mark))).otherwise(acc.out).alias("out"),
-    )
-    clean = F.aggregate(F.col("secrets"), start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.pos + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("secrets") > 0, clean).otherwise(text))
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(out.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("secrets")
+    """Texts of find_secrets' result with each run of secrets replaced by a mark, n_chars counted anew; the column secrets goes."""
+    changed = F.size("secrets") > 0
+    out = beside(found, clean=redacted(F.col("text"), F.col("secrets"), mark), changed=changed)
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("changed"), F.length("clean")).otherwise(F.col("row.n_chars")) if "n_chars" in found.columns else None}
+    return out.select(*(new.get(c, F.col("row")[c]).cast(found.schema[c].dataType).alias(c) for c in found.columns if c != "secrets"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,5 +205,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark."""
-    return redact(find_secrets(docs, train(labelled_strings(docs)))).select(*docs.columns)
+    """All documents, with their secrets replaced by a mark and n_chars counted anew; other columns stay as they are."""
+    model = train(labelled_strings(docs))
+    rows = beside(docs, text=F.col("text"))
+    clean = beside(find_secrets(rows, model), clean=redacted(F.col("text"), F.col("secrets")), changed=F.size("secrets") > 0)
+    own = F.col("row")["row"]
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("changed"), F.length("clean")).otherwise(own["n_chars"]) if "n_chars" in docs.columns else None}
+    return clean.select(*(new.get(c, own[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

@@ -19,17 +19,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_table, materialize, release_shuffles, table
 from .ngramjoin import _mix
-from .pretokens import chunks, slice_hashes
+from .pretokens import slice_hashes, text_runs
 
 LEAST, GRAM, PERIOD, LONGEST = 400, 128, 57, 512
 BLOCK_BYTES = 1 << 21
 #: Slices of one anchor from which its windows are counted by digest instead of sorted in one block.
-MOST_SLICES = 2048
+MOST_SLICES = 512
+#: Bytes of slices that go to a task together.
+TASK_BYTES = 8 << 20
 
 
 def cover(period: int = PERIOD) -> np.ndarray:
@@ -175,7 +177,7 @@ def repeats(buckets: np.ndarray, slices: list[bytes], least: int = LEAST, period
     return np.split(repeated, cuts)
 
 
-SPAN = "doc_id long, begin long, stop long"
+SPAN = "key binary, begin long, stop long"
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -189,48 +191,51 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[first, 0], reach[np.append(first[1:] - 1, len(spans) - 1)]])
 
 
+def row_key() -> Column:
+    """What tells a row (doc_id, text) from others: 128 bits of a digest of both. Rows that share it are alike in both."""
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    return F.unhex(F.substring(F.sha2(named.cast("binary"), 256), 1, 32))
+
+
 def repeated_spans(docs: DataFrame, least: int = LEAST, most_slices: int = MOST_SLICES) -> DataFrame:
-    """(doc_id, begin, stop): byte ranges of runs of windows that occur elsewhere, as a table; ranges may overlap.
+    """(key, begin, stop): byte ranges of runs of windows that occur elsewhere, as a table; ranges may overlap and repeat.
 
-    docs: (doc_id, text) with distinct doc_id.
+    docs: (key, text). Rows that share a key must share the text; each counts as an occurrence of it.
     """
     spark = docs.sparkSession
 
     def find(batches):
         for batch in batches:
-            texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for rows in chunks(texts):
-                own = [texts[i] for i in rows]
+            for first_row, own in text_runs(batch.column(1)):
                 text, first, last, low, periodic = anchors(own, least)
-                digest = [hashlib.blake2b(own[t][a : b + least], digest_size=16).digest() for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(rows)[text]] if len(text) else [], pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(low.view(np.int64)), pa.array(digest, pa.binary()), pa.array(periodic)], names=["doc_id", "first", "last", "anchor", "digest", "periodic"])
+                if len(text):
+                    digest = [hashlib.blake2b(own[t][a : b + least], digest_size=16).digest() for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
+                    keys = batch.column(0).take(pa.array(first_row + text))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(low.view(np.int64)), pa.array(digest, pa.binary()), pa.array(periodic)], names=["key", "first", "last", "anchor", "digest", "periodic"])
 
-    runs = materialize(docs.mapInArrow(find, "doc_id long, first long, last long, anchor long, digest binary, periodic boolean"), "anchors")
-    slices = runs.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.max("periodic").alias("periodic"), F.min(F.struct("doc_id", "first", "last")).alias("one"))
+    runs = materialize(docs.mapInArrow(find, "key binary, first long, last long, anchor long, digest binary, periodic boolean"), "anchors")
+    slices = runs.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.max("periodic").alias("periodic"), F.min(F.struct("key", "first", "last")).alias("one"))
     busy = slices.groupBy("anchor").agg(F.count("*").alias("slices"), F.sum("n").alias("runs"), F.max("periodic").alias("any")).filter("runs > 1 or any")
     kinds = materialize(slices.join(busy, "anchor").select("anchor", "digest", "n", "slices", "periodic", "one"), "slices")
     release_shuffles(spark)
-    settled = runs.join(kinds.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", F.col("first").alias("begin"), (F.col("last") + least).alias("stop"))
+    settled = runs.join(kinds.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("key", F.col("first").alias("begin"), (F.col("last") + least).alias("stop"))
     # slices that several runs have are known to repeat; they stay as company for the others of their anchor
-    open_ones = kinds.filter("slices > 1 or periodic").select("anchor", "slices", (F.col("n") > 1).alias("known"), "one.*")
-    open_ones = open_ones.withColumn("many", F.col("slices") > most_slices).drop("slices")
-    wanted = open_ones.filter("not many").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "known", "first", "last")).alias("runs"))
-    held = wanted.join(docs, "doc_id").select("doc_id", "text", "runs")
+    open_ones = kinds.filter("slices > 1 or periodic").select("anchor", (F.col("slices") > most_slices).alias("many"), (F.col("n") > 1).alias("known"), "one.*")
+    to_sort = open_ones.filter("not many").agg(F.sum(F.col("last") - F.col("first") + least)).first()[0] or 0
+    wanted = open_ones.filter("not many").groupBy("key").agg(F.collect_list(F.struct("anchor", "known", "first", "last")).alias("runs"))
+    held = wanted.join(docs, "key").select("key", "text", "runs")
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for doc_id, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                out += [(r["anchor"], r["known"], doc_id, r["first"], data[r["first"] : r["last"] + least]) for r in own]
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), KINDS, strict=True)], names=NAMES)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), KINDS, strict=True)], names=NAMES)
-
-    dealt = held.mapInArrow(cut, "anchor long, known boolean, doc_id long, first long, slice binary").repartition("anchor").sortWithinPartitions("anchor")
+            for at, texts in text_runs(batch.column(1), rows=200):
+                out = []
+                for key, data, own in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, batch.column(2).slice(at, len(texts)).to_pylist(), strict=True):
+                    out += [(r["anchor"], r["known"], key, r["first"], data[r["first"] : r["last"] + least]) for r in own]
+                for some in range(0, len(out), 10_000):
+                    columns = zip(*out[some : some + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, KINDS, strict=True)], names=NAMES)
+
+    dealt = held.mapInArrow(cut, "anchor long, known boolean, key binary, first long, slice binary").repartition(max(1, to_sort // TASK_BYTES), "anchor").sortWithinPartitions("anchor")
 
     def sort(batches):
         held_rows, size = None, 0
@@ -253,29 +258,29 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, most_slices: int = MOST_
         keys, known = t.column("anchor").to_numpy(), t.column("known").to_pylist()
         found = repeats(keys, t.column("slice").to_pylist(), least)
         out = []
-        for doc_id, first, k, hit in zip(t.column("doc_id").to_pylist(), t.column("first").to_pylist(), known, found, strict=True):
+        for key, first, k, hit in zip(t.column("key").to_pylist(), t.column("first").to_pylist(), known, found, strict=True):
             if not k and hit.any():
                 edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-                out += [(doc_id, first + int(a), first + int(b) - 1 + least) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                out += [(key, first + int(a), first + int(b) - 1 + least) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "begin", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["key", "begin", "stop"])
 
     def digests(batches):
         for batch in batches:
-            for doc_id, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                for r in own:
-                    at = range(r["first"], r["last"] + 1)
-                    found = [hashlib.blake2b(data[a : a + least], digest_size=16).digest() for a in at]
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["anchor"]] * n, pa.int64()), pa.array([1 + r["known"]] * n, pa.int32()), pa.array([doc_id] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(found, pa.binary())], names=["anchor", "weight", "doc_id", "begin", "digest"])
+            for row, texts in text_runs(batch.column(1), rows=200):
+                for key, data, own in zip(batch.column(0).slice(row, len(texts)).to_pylist(), texts, batch.column(2).slice(row, len(texts)).to_pylist(), strict=True):
+                    for r in own:
+                        at = range(r["first"], r["last"] + 1)
+                        found = [hashlib.blake2b(data[a : a + least], digest_size=16).digest() for a in at]
+                        n = len(at)
+                        yield pa.RecordBatch.from_arrays([pa.array([r["anchor"]] * n, pa.int64()), pa.array([1 + r["known"]] * n, pa.int32()), pa.array([key] * n, pa.binary()), pa.array(at, pa.int64()), pa.array(found, pa.binary())], names=["anchor", "weight", "key", "begin", "digest"])
 
     partly = materialize(dealt.mapInArrow(sort, SPAN), "spans")
     release_shuffles(spark)
-    crowded = open_ones.filter("many").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "known", "first", "last")).alias("runs"))
-    windows = materialize(crowded.join(docs, "doc_id").select("doc_id", "text", "runs").mapInArrow(digests, "anchor long, weight int, doc_id long, begin long, digest binary"), "windows")
+    crowded = open_ones.filter("many").groupBy("key").agg(F.collect_list(F.struct("anchor", "known", "first", "last")).alias("runs"))
+    windows = materialize(crowded.join(docs, "key").select("key", "text", "runs").mapInArrow(digests, "anchor long, weight int, key binary, begin long, digest binary"), "windows")
     twice = windows.groupBy("anchor", "digest").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor", "digest")
-    counted = windows.filter("weight = 1").join(twice, ["anchor", "digest"], "left_semi").select("doc_id", "begin", (F.col("begin") + least).alias("stop"))
+    counted = windows.filter("weight = 1").join(twice, ["anchor", "digest"], "left_semi").select("key", "begin", (F.col("begin") + least).alias("stop"))
     all_spans = materialize(settled.union(partly).union(counted), "spans")
     for t in (runs, kinds, partly, windows):
         drop_table(t)
@@ -283,34 +288,35 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, most_slices: int = MOST_
     return all_spans
 
 
-NAMES = ["anchor", "known", "doc_id", "first", "slice"]
-KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+NAMES = ["anchor", "known", "key", "first", "slice"]
+KINDS = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary()]
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, most_slices: int = MOST_SLICES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row: kept has the bytes that no repeated window covers.
 
-    Null and empty texts have no bytes; texts shorter than a window lose nothing. doc_id must be distinct (of rows that
-    share one the first found is judged); rows without one are left as they are. Other columns are ignored.
+    Null and empty texts have no bytes; texts shorter than a window lose nothing. Every row is judged by itself, also
+    those without doc_id or with one that others have; rows alike in both columns are copies of each other. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    spans = repeated_spans(rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least)), least, most_slices)
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", row_key())
+    spans = repeated_spans(rows.filter(F.octet_length("text") >= least).select("key", "text"), least, most_slices)
+    per_row = spans.groupBy("key").agg(F.collect_set(F.struct("begin", "stop")).alias("spans"))
 
     def remove(batches):
         for batch in batches:
-            out = []
-            for doc_id, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, kept = (text or "").encode(), None
-                ranges = merged(np.array([(s["begin"], s["stop"]) for s in own or []], np.int64).reshape(-1, 2)).tolist()
-                if ranges:
-                    places = [0, *(x for r in ranges for x in r), len(data)]
-                    kept = b"".join([data[a:b] for a, b in zip(places[::2], places[1::2], strict=True)])
-                out.append((doc_id, len(data), sum(b - a for a, b in ranges), len(ranges), data if kept is None else kept))
-            if out:
+            for at, texts in text_runs(batch.column(1)):
+                out = []
+                for doc_id, data, own in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, batch.column(2).slice(at, len(texts)).to_pylist(), strict=True):
+                    kept = data
+                    ranges = merged(np.array([(s["begin"], s["stop"]) for s in own or []], np.int64).reshape(-1, 2)).tolist()
+                    if ranges:
+                        places = [0, *(x for r in ranges for x in r), len(data)]
+                        kept = b"".join([data[a:b] for a, b in zip(places[::2], places[1::2], strict=True)])
+                    out.append((doc_id, len(data), sum(b - a for a, b in ranges), len(ranges), kept))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), [*[pa.int64()] * 4, pa.binary()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.join(per_row, "key", "left").select("doc_id", "text", "spans").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, table, worker_cache
+from .common import dealt, materialize, new_path, table, worker_cache
 from .files import attempt_name, filesystem
-from .pretokens import TwoGenerations, chunks, pieces
+from .pretokens import TwoGenerations, pieces, text_runs
 
 LENGTH, ROWS, END = 2048, 256, 0
+#: Documents in a batch of the index, and documents that are read back at once.
+INDEXED, DOCS = 4096, 4096
 MANIFEST = "shard int, path string, n_tokens long, n_docs long"
 
 
@@ -37,20 +39,20 @@ def encoder(path: str):
         tokenizer = Tokenizer.from_file(path)
         added = sorted({t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()})
         marks = re.compile(b"|".join(map(re.escape, added))) if added else None
-        cache["tokenizer", path] = tokenizer, TwoGenerations(400_000), marks
+        cache["tokenizer", path] = tokenizer, TwoGenerations(), marks
     return cache["tokenizer", path]
 
 
-def token_ids(texts: list[bytes], path: str, dtype):
-    """For runs of texts: (row numbers, all their ids end to end, number of ids per text).
+def token_ids(column: pa.Array, path: str, dtype):
+    """For runs of texts: (number of the first, all their ids end to end, number of ids per text).
 
     The library encodes each distinct piece between the split's boundaries once; merges never cross them. A text that
     holds an added token, such as an end mark, is encoded by the library as a whole.
     """
     tokenizer, known, marks = encoder(path)
-    for run in chunks(texts):
-        marked = {k: texts[i] for k, i in enumerate(run) if marks and marks.search(texts[i])}
-        distinct, index, per_text = pieces([b"" if k in marked else texts[i] for k, i in enumerate(run)])
+    for first, texts in text_runs(column):
+        marked = {k: x for k, x in enumerate(texts) if marks and marks.search(x)}
+        distinct, index, per_text = pieces([b"" if k in marked else x for k, x in enumerate(texts)])
         entries = [known[p] for p in distinct]
         new = [i for i, e in enumerate(entries) if e is None]
         for at in range(0, len(new), 4096):
@@ -70,7 +72,7 @@ def token_ids(texts: list[bytes], path: str, dtype):
             for k, text in marked.items():
                 parts[k] = np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype)
             ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
-        yield run, ids, counts
+        yield first, ids, counts
 
 
 def write_sequences(docs: DataFrame, out: str, tokenizer_path: str, length: int = LENGTH, end: int = END, vocabulary: int = 50_257) -> DataFrame:
@@ -108,14 +110,12 @@ def write_sequences(docs: DataFrame, out: str, tokenizer_path: str, length: int
                 held, size = ([] if last else [data[full:]]), 0 if last else len(data) - full
 
             for batch in batches:
-                texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
-                keys = batch.column(0).to_pylist()
-                for run, ids, counts in token_ids(texts, tokenizer_path, dtype):
+                for first, ids, counts in token_ids(batch.column(1), tokenizer_path, dtype):
                     marked = np.insert(ids, np.cumsum(counts), end)
                     held.append(marked)
                     size += len(marked)
-                    for r, c in zip(run, counts.tolist(), strict=True):
-                        index.append((keys[r], total, c + 1))
+                    for key, c in zip(batch.column(0).slice(first, len(counts)).to_pylist(), counts.tolist(), strict=True):
+                        index.append((key, total, c + 1))
                         total += c + 1
                     if size >= length * ROWS:
                         flush(False)
@@ -124,7 +124,7 @@ def write_sequences(docs: DataFrame, out: str, tokenizer_path: str, length: int
             cols = list(zip(*index, strict=True)) or [(), (), ()]
             t = pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "start", "n_tokens"), cols, strict=True)})
             with pa.ipc.new_file(s, t.schema) as w:
-                w.write_table(t, 65_536)
+                w.write_table(t, INDEXED)
         if index:
             yield pa.RecordBatch.from_pylist([{"shard": n, "path": f"{out}/{name}", "n_tokens": total, "n_docs": len(index)}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
@@ -166,23 +166,30 @@ class Shard:
         return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.uint16)])
 
 
-def read_documents(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; start counts the ids of all before it."""
+def read_documents(manifest: DataFrame, docs_per_task: int = DOCS) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; start counts the ids of all before it.
+
+    A task reads a stretch of a shard's index and the sequences that it names, so a shard can be read by many tasks.
+    """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    stretches = placed.select("path", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(docs_per_task).cast("long"))).alias("at"))
 
     def read(batches):
         for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard(path)
-                for k in range(shard.index.num_record_batches):
-                    docs = shard.index.get_batch(k)
+            for path, base, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shard, left = Shard(path), docs_per_task
+                for k in range(at // INDEXED, shard.index.num_record_batches):
+                    skip = max(0, at - k * INDEXED)
+                    docs = shard.index.get_batch(k).slice(skip, left)
+                    left -= docs.num_rows
                     crc = [zlib.crc32(shard.ids(s, n).astype("<u4").tobytes()) for s, n in zip(docs.column(1).to_pylist(), docs.column(2).to_pylist(), strict=True)]
                     start = pa.array(docs.column(1).to_numpy(zero_copy_only=False) + base, pa.int64())
                     yield pa.RecordBatch.from_arrays([docs.column(0), start, docs.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    if not left:
+                        break
 
-    spread = placed.select("path", "base", "shard").repartition(F.col("shard")).select("path", "base")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt(stretches).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

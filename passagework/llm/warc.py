@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, table
+from .common import dealt, materialize, new_path, table
 from .files import attempt_name, filesystem
 
 MAGIC, DATE, LEAST = b"\x1f\x8b\x08", "2024-01-01T00:00:00Z", 0
@@ -193,7 +193,6 @@ def read_warc(archives: DataFrame, split: int = SPLIT, payload: bool = True) ->
     payload that column is null. Bytes that are no record are skipped; an empty list gives an empty table.
     """
     ranges = archives.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("begin"))
-    ranges = ranges.repartition(F.col("path"), F.col("begin"))
 
     def read(batches):
         for batch in batches:
@@ -213,7 +212,7 @@ def read_warc(archives: DataFrame, split: int = SPLIT, payload: bool = True) ->
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=FIELDS)
 
-    return ranges.mapInArrow(read, COLUMNS)
+    return dealt(ranges).mapInArrow(read, COLUMNS)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from passagework.llm import bpe, capfilters, pretokens, quality, suffixdedup, topk, warc
+from passagework.llm import bpe, capfilters, ngramjoin, pretokens, quality, suffixdedup, topk, warc
 
 SOME = ["'", "'s", "'re", "'ll", " ", "  ", "\n", "\t", "a", "re", "ll", "1", "23", "é", "中", "!", "%%", "\x1c", "😀", "A", "''", " '", "\r\n"]
 
@@ -26,9 +27,9 @@ def test_bpe_equals_tiktoken_and_decodes():
     path = bpe.vocabulary_path()
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     all_texts = texts(2000)
-    for rows, entries, index, per in bpe.encoded([t.encode() for t in all_texts], path):
+    for first, entries, index, per in bpe.encoded(pa.array(all_texts), path):
         at = 0
-        for r, n in zip(rows, per.tolist(), strict=True):
+        for r, n in enumerate(per.tolist(), first):
             mine = [entries[k] for k in index[at : at + n]]
             at += n
             assert [i for e in mine for i in e[0]] == own.encode_ordinary(all_texts[r])
@@ -43,16 +44,16 @@ def test_long_piece_equals_short_way(monkeypatch):
 
 
 def test_token_ids_equal_the_library():
-    pytest.importorskip("tokenizers")
+    Tokenizer = pytest.importorskip("tokenizers").Tokenizer
     from passagework.llm import tokenfile
 
     path = bpe.vocabulary_path("byte_bpe_50k.json")
     all_texts = texts(300, 3)
     got = {}
-    for rows, ids, counts in tokenfile.token_ids([t.encode() for t in all_texts], path, np.uint16):
-        for r, part in zip(rows, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+    for first, ids, counts in tokenfile.token_ids(pa.array(all_texts), path, np.uint16):
+        for r, part in enumerate(np.split(ids, np.cumsum(counts)[:-1]), first):
             got[r] = part.tolist()
-    want = tokenfile.encoder(path)[0].encode_batch(all_texts, add_special_tokens=False)
+    want = Tokenizer.from_file(path).encode_batch(all_texts, add_special_tokens=False)
     assert [got[i] for i in range(len(all_texts))] == [e.ids for e in want]
 
 
@@ -116,3 +117,30 @@ def test_ordinal_regression_learns_and_survives_one_grade():
 
 def test_starts_of_empty():
     assert len(pretokens.starts_of(np.zeros(0, np.uint32), np.zeros(0, bool))) == 0
+
+
+def test_distinct_slices_by_content():
+    values = np.frombuffer(b"abcabdabcxab", np.uint8)
+    begin, end = np.array([0, 3, 6, 9, 10]), np.array([3, 6, 9, 10, 12])
+    for hashes in (pretokens.slice_hashes, lambda v, a, b: np.zeros(len(a), np.uint64)):
+        some, index = pretokens.distinct(values, begin, end, hashes)
+        assert [values[begin[some[k]] : end[some[k]]].tobytes() for k in index] == [b"abc", b"abd", b"abc", b"x", b"ab"]
+        assert len(some) >= 4
+    begin, end = np.array([0, 4, 6]), np.array([2, 5, 8])
+    some, index = pretokens.distinct(values, begin, end, lambda v, a, b: np.zeros(len(a), np.uint64))
+    assert [values[begin[some[k]] : end[some[k]]].tobytes() for k in index] == [b"ab", b"b", b"ab"]
+
+
+def test_links_with_shared_bits_equal_exact_ones():
+    rng = np.random.default_rng(4)
+    base = [rng.choice(1 << 40, 400, replace=False) for _ in range(6)]
+    sets = [np.unique(np.concatenate([b[: 400 - k], rng.integers(0, 1 << 40, k)])) for b in base for k in (0, 10, 30, 60, 200)]
+    key = lambda x: sorted((min(i, j), max(i, j), n) for i, j, n in x)
+    assert key(ngramjoin.links(sets)) == key(ngramjoin.links(sets, 128))
+
+
+def test_a_cache_is_bounded_by_size():
+    cache = pretokens.TwoGenerations(100_000)
+    for i in range(5000):
+        cache.put(b"%d" % i, i, 90)
+    assert len(cache) + len(cache.old) <= 2 * 100_000 // 90 and cache[b"4999"] == 4999

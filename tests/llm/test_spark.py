@@ -32,7 +32,7 @@ def test_odd_tables(spark, rows):
     assert bpe.digests(docs, bpe.vocabulary_path()).count() == n
     assert secrets.find_secrets(docs, secrets.train(secrets.labelled_strings(docs))).count() == n
     assert ngramjoin.near_copies(docs).count() == n
-    assert suffixdedup.without_repeats(docs.dropDuplicates(["doc_id"])).count() == len({r[0] for r in rows})
+    assert suffixdedup.without_repeats(docs).count() == n
     labels = spark.createDataFrame([(4, 1, 0), (None, 0, 1), (6, None, None)], "doc_id long, quality int, toxic int")
     assert quality.select(docs, labels).count() == n  # one grade only: nothing is rejected
     files = tokenfile.write_sequences(docs, new_path(spark, "t"), bpe.vocabulary_path("byte_bpe_50k.json"), length=16)
@@ -262,3 +262,88 @@ def test_token_file_with_added_tokens(spark):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert rows[2].n_tokens == 2
+
+
+def test_suffix_dedup_judges_every_row(spark):
+    word = lambda seed, n: "".join(random.Random(seed).choice("abcdefgh ") for _ in range(n))
+    shared = word(1, 500)
+    rows = [(1, word(2, 300)), (1, word(3, 900) + shared), (None, shared + word(4, 100)), (None, word(5, 700)), (7, word(6, 450)), (7, word(6, 450)), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, begin int")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixdedup.without_repeats(docs).collect()), key=str)
+    want = brute_repeats({k: (t or "").encode() for k, (_, t) in enumerate(rows)})
+    assert got == sorted(((i, *want[k]) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) & 1] for i in range(n))
+
+
+def test_pieces_whose_hashes_collide_stay_apart(spark):
+    texts = [thue_morse(4096), thue_morse(4096, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    back = {r.doc_id: r.decoded_sha256 for r in bpe.digests(docs.coalesce(1), bpe.vocabulary_path()).collect()}
+    assert back == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {r.component_id for r in ngramjoin.near_copies(docs).collect()} == {0, 1}
+
+
+def test_secrets_in_long_texts(spark):
+    """Time follows the length: many spans, and one token of a megabyte."""
+    rng = random.Random(8)
+    model = [1.0] * len(secrets.ALPHABET) ** 2
+    hexes = " ".join("%016x" % rng.getrandbits(64) for _ in range(60_000))
+    blob = "".join(rng.choice(secrets.ALPHABET) for _ in range(1 << 20))
+    docs = spark.createDataFrame([(1, "é " + hexes), (2, blob), (3, "é" * 5000 + " fK9xQ2mVb7Lz0RtYw3HsJd8P " + "z " * 3000)], "doc_id long, text string")
+    found = secrets.find_secrets(docs, model)
+    rows = {r.doc_id: r for r in found.select("doc_id", F.size("secrets").alias("n"), F.element_at("secrets", -1).alias("last")).collect()}
+    assert (rows[1].n, rows[1].last.start, rows[1].last.end) == (60_000, 2 + 17 * 59_999, 2 + len(hexes))
+    assert rows[2].n >= 1 and rows[3].n == 1 and rows[3].last.start == 5001
+    clean = {r.doc_id: r.text for r in secrets.redact(found).collect()}
+    assert clean[1] == "é " + " ".join(["[SECRET]"] * 60_000)
+    assert clean[3] == "é" * 5000 + " [SECRET] " + "z " * 3000
+
+
+def test_random_tokens_beside_base_spans(spark):
+    model = [1.0] * len(secrets.ALPHABET) ** 2
+    text = "secret=abcdefghijklmnop0123 x ABCDEFGHIJKLMNOPQRSTUVW 0123456789abcdef0123 ZZABCDEFGHIJKLMNOPQRSTUVW_0123456789abcdef"
+    spans = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().secrets
+    assert [(s.kind, text[s.start : s.end]) for s in spans] == [(0, text[:27]), (3, "ABCDEFGHIJKLMNOPQRSTUVW"), (2, "0123456789abcdef0123"), (2, "0123456789abcdef")]
+
+
+def test_markov_precision_and_recall(spark):
+    rng = random.Random(9)
+    words = ["user", "account", "value", "build", "index", "parse", "token", "stream", "default", "handler", "config", "reader", "column", "section", "window", "filter"]
+    prose = [(" ".join(rng.choice(words) + rng.choice(words) for _ in range(60)),) for _ in range(80)]
+    model = secrets.train(secrets.labelled_strings(spark.createDataFrame(prose, "text string")))
+    join = lambda: rng.choice(["_".join, "-".join, lambda x: "".join(w.title() for w in x)])(rng.choice(words) for _ in range(4))
+    names = [(0, x) for x in (join() for _ in range(300)) if len(x) >= 20]
+    made = [(1, "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))) for _ in range(300)]
+    got = secrets.find_secrets(spark.createDataFrame(names + made, "kind int, text string"), model).groupBy("kind").agg(F.avg((F.size("secrets") > 0).cast("int")).alias("share"))
+    share = {r.kind: r.share for r in got.collect()}
+    assert share[1] >= 0.95 and share[0] <= 0.05
+
+
+CLASH = "row string, secrets string, tail_probability double, expected_grade double, times int, id long, _times int, clean string, changed boolean, key string, rep long"
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"one two three four five {i} token = \"24be64439e3e49cf46b2d7c90f3602a3\"", "en", f"s{i % 3}", 9, "r", "s", 0.1, 0.2, 3, 4, 5, "c", True, "k", 6) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + CLASH)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = out.first()
+        assert got[5:] == tuple(rows[0][5:]), name
+    for one in (docs.limit(0),):
+        assert all(stage(spark, one, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
+    with pytest.raises(ValueError):
+        secrets.find_secrets(docs, [0.0] * len(secrets.ALPHABET) ** 2)
+
+
+def test_near_copies_of_rows_that_share_an_id(spark):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, word("a", 50)), (1, word("b", 50)), (2, word("a", 50) + " x"), (3, word("b", 50) + " y"), (4, word("c", 9))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 46, 1), (1, 46, 1), (2, 47, 1), (3, 47, 1), (4, 5, 4)]
