@@ -2,13 +2,17 @@
 
 A filter is a direction; a vector passes it if it lies in the cap around it. Directions are the words of a random
 product code: one random unit vector in each of a few coordinate groups, so a vector's list of all filters above the
-threshold is decoded from a few short tables of partial products. Vectors meet in the filters that both pass; a filter's
+threshold is decoded from a few short tables of partial products. The threshold is one height for all vectors, or a
+vector's own LISTED-th best direction where fewer lie above that height; with more vectors there are more codes, so
+that near pairs keep meeting. Vectors meet in the filters that both pass; a filter's
 vectors are compared in blocks, and each block yields a spanning set of its links, not all of them. Links then give
 components, and inside a component every pair is compared in blocks to count links.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +22,24 @@ from .common import connected_components, materialize, table, worker_cache
 from .topk import valid
 
 COSINE, CODES, GROUPS, LISTED, SEED, BLOCK = 0.9, 4, 4, 15, 20_240_101, 1024
+#: Directions that a code has for each vector, and how many of them a random vector has above the common height.
+DIRECTIONS, ABOVE = 64, 8
 
 
 def words_for(n: int, groups: int = GROUPS) -> int:
-    """Words of a coordinate group, so that a code has about 64 directions for each of n vectors."""
-    return max(16, int(np.ceil((64 * max(n, 1)) ** (1 / groups))))
+    """Words of a coordinate group, so that a code has about DIRECTIONS directions for each of n vectors."""
+    return max(16, int(np.ceil((DIRECTIONS * max(n, 1)) ** (1 / groups))))
+
+
+def codes_for(n: int) -> int:
+    """Codes that keep the share of pairs at the least cosine that meet above 0.95 for n vectors; see the tests."""
+    return max(CODES, int(np.ceil(np.log2(max(n, 1)) / 2.5 - 3)))
+
+
+def height_for(dim: int, words: int, groups: int = GROUPS) -> float:
+    """The common threshold: products of a random unit vector are about normal, so a tail of that has ABOVE directions."""
+    used = min(groups, dim)
+    return float(NormalDist().inv_cdf(1 - min(0.5, ABOVE / words**used)) * np.sqrt(used / dim))
 
 
 def codes(dim: int, words: int, groups: int = GROUPS, n: int = CODES, seed: int = SEED) -> list[tuple[np.ndarray, list]]:
@@ -41,24 +58,38 @@ def codes(dim: int, words: int, groups: int = GROUPS, n: int = CODES, seed: int
     return worker_cache()[key]
 
 
-def filters_of(unit: np.ndarray, words: int, listed: int = LISTED) -> np.ndarray:
-    """For each unit vector, of each code, the directions above its threshold: that of its listed-th best direction.
+def filters_of(unit: np.ndarray, words: int, n_codes: int = CODES, listed: int = LISTED) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter): all directions above a unit vector's threshold, of each code.
 
-    A direction that ranks below the listed best by its first groups cannot be among them, so the list is decoded group
-    by group without looking at all directions.
+    The best directions come group by group: one that ranks below the listed best by its first groups cannot be among
+    them. Where they all lie above the common height, all others above it are decoded too; a direction is given up as
+    soon as the best words of the groups left cannot lift it that high.
     """
-    out = []
-    for c, (turn, parts) in enumerate(codes(unit.shape[1], words)):
+    rows, out, height = [], [], height_for(unit.shape[1], words)
+    for c, (turn, parts) in enumerate(codes(unit.shape[1], words, n=n_codes)):
         turned = unit @ turn
+        products = [turned[:, where] @ w for where, w in parts]
         total, number = np.zeros((len(unit), 1)), np.zeros((len(unit), 1), np.int64)
-        for where, w in parts:
-            total = (total[:, :, None] + (turned[:, where] @ w)[:, None, :]).reshape(len(unit), -1)
+        for p in products:
+            total = (total[:, :, None] + p[:, None, :]).reshape(len(unit), -1)
             number = (number[:, :, None] * words + np.arange(words)).reshape(len(unit), -1)
             if total.shape[1] > listed:
                 best = np.argpartition(-total, listed - 1, axis=1)[:, :listed]
                 total, number = np.take_along_axis(total, best, 1), np.take_along_axis(number, best, 1)
-        out.append(number * CODES + c)
-    return np.concatenate(out, 1)
+        more = total.min(1) >= height
+        few = np.flatnonzero(~more)
+        rows.append(np.repeat(few, number.shape[1]))
+        out.append(number[few].ravel() * n_codes + c)
+        row = np.flatnonzero(more)
+        total, number = np.zeros(len(row)), np.zeros(len(row), np.int64)
+        rest = np.cumsum([p.max(1) for p in products][::-1], axis=0)[::-1]
+        for g, p in enumerate(products):
+            lift = rest[g + 1][row] if g + 1 < len(products) else 0.0
+            at, word = np.nonzero(total[:, None] + p[row] + np.asarray(lift).reshape(-1, 1) >= height)
+            row, total, number = row[at], total[at] + p[row[at], word], number[at] * words + word
+        rows.append(row)
+        out.append(number * n_codes + c)
+    return np.concatenate(rows), np.concatenate(out)
 
 
 def matrix(column) -> np.ndarray:
@@ -96,7 +127,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     good = rows.filter(valid(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull())
     classes = materialize(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "vector-classes")
 
-    words = words_for(classes.count())
+    n_classes = classes.count()
+    words, n_codes = words_for(n_classes), codes_for(n_classes)
 
     def decode(batches):
         for batch in batches:
@@ -104,8 +136,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
                 pick = np.flatnonzero(batch.column(1).to_numpy() == dim)
                 ids = batch.column(0).to_numpy()[pick]
                 for at in range(0, len(pick), 512):
-                    lists = filters_of(unit(matrix(batch.column(2).take(pa.array(pick[at : at + 512])))), words)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(lists.size, dim), pa.int32()), pa.array(lists.ravel(), pa.int64()), pa.array(np.repeat(ids[at : at + 512], lists.shape[1]), pa.int64())], names=["dim", "filter", "rep"])
+                    row, number = filters_of(unit(matrix(batch.column(2).take(pa.array(pick[at : at + 512])))), words, n_codes)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dim), pa.int32()), pa.array(number, pa.int64()), pa.array(ids[at : at + 512][row], pa.int64())], names=["dim", "filter", "rep"])
 
     passed = materialize(classes.select("rep", "dim", "v").mapInArrow(decode, "dim int, filter long, rep long"), "filters")
     shared = passed.groupBy("dim", "filter").agg(F.count("*").alias("n")).filter("n > 1")

@@ -91,15 +91,30 @@ def test_cover_tree_search_equals_brute_force():
         assert ids[np.lexsort((ids, -s[i]))[:5]].tolist() == found[row == i].tolist()
 
 
-def test_cap_filters_recall():
+@pytest.mark.parametrize("n", [1_000, 1_000_000, 1_000_000_000])
+def test_cap_filters_recall(n):
+    """Of pairs at cosine 0.9 exactly, with the codes that so many vectors get."""
     rng = np.random.default_rng(1)
     x = capfilters.unit(rng.standard_normal((200, 64)))
     y = rng.standard_normal((200, 64))
     y = capfilters.unit(y - (y * x).sum(1, keepdims=True) * x)
     near = 0.9 * x + np.sqrt(0.19) * y
-    words = capfilters.words_for(10_000)
-    a, b = capfilters.filters_of(x, words), capfilters.filters_of(near, words)
-    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.99
+    words, n_codes = capfilters.words_for(n), capfilters.codes_for(n)
+    a, b = (set(zip(*(c.tolist() for c in capfilters.filters_of(v, words, n_codes)), strict=True)) for v in (x, near))
+    met = {row for row, _ in a & b}
+    assert len(met) >= 0.95 * 200
+
+
+def test_filters_are_all_above_the_threshold():
+    rng = np.random.default_rng(2)
+    u = capfilters.unit(rng.standard_normal((50, 8)))
+    row, number = capfilters.filters_of(u, 4, 1, 5)
+    (turn, parts), height, full = capfilters.codes(8, 4, n=1)[0], capfilters.height_for(8, 4), np.zeros((50, 1))
+    for where, w in parts:
+        full = (full[:, :, None] + ((u @ turn)[:, where] @ w)[:, None, :]).reshape(50, -1)
+    for i in range(50):
+        least = min(height, np.sort(full[i])[-5])
+        assert set(number[row == i].tolist()) == set(np.flatnonzero(full[i] >= least - 1e-12).tolist())
 
 
 def test_ordinal_regression_learns_and_survives_one_grade():
