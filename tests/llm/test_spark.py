@@ -347,3 +347,27 @@ def test_near_copies_of_rows_that_share_an_id(spark):
     rows = [(1, word("a", 50)), (1, word("b", 50)), (2, word("a", 50) + " x"), (3, word("b", 50) + " y"), (4, word("c", 9))]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 46, 1), (1, 46, 1), (2, 47, 1), (3, 47, 1), (4, 5, 4)]
+
+
+def test_top_k_over_many_cells(spark):
+    rng = np.random.default_rng(6)
+    centre = 20 * rng.standard_normal((6, 8))
+    points = np.concatenate([centre[i % 6] + 0.1 * rng.standard_normal(8) for i in range(600)]).reshape(600, 8)
+    points[100:160] = points[7]  # copies: ties
+    rows = [(i, v.tolist()) for i, v in enumerate(points)] + [(700, [1.0, 2.0]), (750, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit(1), "v": F.lit("x"), "cell": F.lit(2), "floor": F.lit(0.5)})
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 10 == 0, per_block=50, per_query_block=16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    m = np.floor(256 * points.astype(np.float32).astype(float))
+    for q in range(0, 600, 10):
+        s = (m @ m[q]).astype(int)
+        best = sorted((-s[i], i) for i in range(600) if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(best)]
+    assert got[700] == [(1, 750, 256 * 256 * 6)] and topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_near_vectors_of_an_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1, 2.0), (2, [1.0, 0.01], 1, 2.0)], "vec_id long, embedding array<float>, rep int, v double")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in capfilters.near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1)]
+    assert capfilters.near_duplicates(df.limit(0)).count() == 0
