@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import words
+
 
 def segments(starts: DataFrame, by: list[str], start: str, end: str = "end") -> DataFrame:
     """A segment ends one before the next of its kind begins; the last has no end."""
@@ -46,22 +48,40 @@ def neighbours(df: DataFrame, by: list[str], order: str, columns: list[str], rea
 
 
 def fuzzy(left: DataFrame, right: DataFrame, a: Column, b: Column, most: int, keep: list[Column]) -> DataFrame:
-    """Pairs of names within an edit distance. Names that close share one of most + 1 parts at almost the same place, so
-    the join is on a part, its number and its shift; each pair comes once."""
-    n = most + 1
-
-
-    def part(name: Column, length: Column, k: int, shift: Column | int = 0) -> Column:
-        begin, end = F.floor(length * k / n), F.floor(length * (k + 1) / n)
-        return F.struct(length.alias("m"), F.lit(k).alias("k"), F.substring(name, F.greatest(F.lit(1), (begin + 1 + shift).cast("int")).cast("int"), (end - begin).cast("int")).alias("p"))
-
-    def shifted(length: Column, k: int) -> Column:
-        return F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda s: part(a, length, k, s))
-
-    lengths = F.sequence(F.greatest(F.lit(0), F.length(a) - most), F.length(a) + most)
-    mine = F.flatten(F.transform(lengths, lambda m: F.concat(*[shifted(m, k) for k in range(n)])))
-    theirs = F.array(*[part(b, F.length(b), k) for k in range(n)])
-    x = left.withColumn("_part", F.explode(F.array_distinct(mine)))
-    y = right.withColumn("_part", F.explode(theirs))
-    joined = x.join(y, x["_part"] == y["_part"]).withColumn("distance", F.levenshtein(a, b, most)).filter("distance >= 0")
-    return joined.select(*keep, "distance").distinct()
+    """Pairs of names within an edit distance. Two such names become equal when each loses at most so many letters, so
+    the join is on what is left of a name without any letters up to that many; each pair comes once.
+
+    A name of n letters has about n ** most / most! keys; meant for words and names, and for one or two edits.
+    """
+
+    def keys(name: Column) -> Column:
+        drop = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        out = F.array(name)
+        for _ in range(most):
+            out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, drop))))
+        return out
+
+    x, y = left.withColumn("_part", F.explode(keys(a))), right.withColumn("_part", F.explode(keys(b)))
+    joined = x.join(y, "_part").select(*keep, a.alias("_a"), b.alias("_b")).distinct()
+    return joined.withColumn("distance", F.levenshtein("_a", "_b", most)).filter("distance >= 0").drop("_a", "_b")
+
+
+def suggestions(asked: DataFrame, known: DataFrame, word: str, suggestion: str, total: str, alike: str) -> DataFrame:
+    """(word, suggestion, total, distance, sub, score): known words (suggestion, total) near asked ones, best score first.
+
+    One edit, or two for words of seven letters and more; last letters among alike may differ freely. The score is
+    10 for each edit, less 4 if one word's letters come in the other in order, 2 for the same first letter, and
+    0.6 log2(1 + total).
+    """
+    bare = lambda c: F.substring(c, F.lit(1), F.length(c) - 1)
+    at, to = F.col(word), F.col(suggestion)
+    pairs = None
+    for x, y in ((at, to), (bare(at), bare(to))):
+        for most, long in ((1, False), (2, True)):
+            part = fuzzy(asked.filter((F.length(at) >= 7) == long), known.filter(F.length(to) >= 3), x, y, most, [at, to]).drop("distance")
+            pairs = part if pairs is None else pairs.union(part)
+    pairs = pairs.distinct().filter(at != to).withColumn("distance", words.distance_free_end(at, to, alike))
+    pairs = pairs.filter((F.col("distance") <= F.when(F.length(at) >= 7, 2).otherwise(1)) & (F.abs(F.length(at) - F.length(to)) <= 2)).join(known, suggestion)
+    pairs = pairs.withColumn("sub", words.subsequence(at, to) | words.subsequence(to, at))
+    score = F.col("distance") * 10 - F.when(F.col("sub"), 4).otherwise(0) - F.when(F.substring(at, 1, 1) == F.substring(to, 1, 1), 2).otherwise(0) - 0.6 * F.log2(1 + F.col(total))
+    return pairs.select(word, suggestion, total, "distance", "sub", F.round(score, 6).alias("score"))
