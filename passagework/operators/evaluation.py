@@ -62,3 +62,27 @@ def floor_percentile(df: DataFrame, by: list[str], value: str, p: float) -> Data
     w = Window.partitionBy(*by)
     placed = df.withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
     return placed.filter(F.col("_i") == F.floor(F.lit(p) * F.col("_n")) + 1).select(*by, F.col(value).alias(f"p{round(p * 100)}"))
+
+
+def interval(values: DataFrame, key: str, value: str, rounds: int = 2000) -> DataFrame:
+    """(mean, low, high, not_above): the mean, the elements at 2.5 % and 97.5 % of the sorted resample means (from 0), and
+    the share of them that is not above 0. Only as many rows as rounds meet in the last window."""
+    means = bootstrap(values, key, value, rounds)
+    placed = means.withColumn("_i", F.row_number().over(Window.orderBy("mean", "round")) - 1)
+    at = lambda share: F.max(F.when(F.col("_i") == round(share * rounds), F.col("mean")))
+    ends = placed.agg(at(0.025).alias("low"), at(0.975).alias("high"), F.avg((F.col("mean") <= 0).cast("double")).alias("not_above"))
+    return values.agg(F.round(F.avg(value), 6).alias("mean")).join(ends, how="cross")
+
+
+def with_abstention(run: DataFrame, judged: DataFrame, by: str, key: str, nothing, depth: int = 10) -> DataFrame:
+    """(by, ap, rr) for each question of a run (by, key, rank). One without judged answers scores 1 if its only row is
+    nothing, else 0."""
+    relevant = judged.select(by, key).distinct()
+    hits = run.filter(F.col("rank") <= depth).join(relevant, [by, key])
+    hits = hits.withColumn("_p", F.row_number().over(Window.partitionBy(by).orderBy("rank")) / F.col("rank"))
+    per = hits.groupBy(by).agg(F.sum("_p").alias("_sum"), F.min("rank").alias("_first"))
+    asked = run.groupBy(by).agg(((F.count("*") == 1) & F.bool_and((F.col(key) == nothing) & (F.col("rank") == 1))).alias("_abstains"))
+    total = relevant.groupBy(by).agg(F.count("*").alias("_all"))
+    joined = asked.join(per, by, "left").join(total, by, "left")
+    score = lambda v: F.round(F.when(F.col("_all").isNull(), F.col("_abstains").cast("double")).otherwise(F.coalesce(v, F.lit(0.0))), 6)
+    return joined.select(by, score(F.col("_sum") / F.col("_all")).alias("ap"), score(1.0 / F.col("_first")).alias("rr"))

@@ -85,3 +85,56 @@ def suggestions(asked: DataFrame, known: DataFrame, word: str, suggestion: str,
     pairs = pairs.withColumn("sub", words.subsequence(at, to) | words.subsequence(to, at))
     score = F.col("distance") * 10 - F.when(F.col("sub"), 4).otherwise(0) - F.when(F.substring(at, 1, 1) == F.substring(to, 1, 1), 2).otherwise(0) - 0.6 * F.log2(1 + F.col(total))
     return pairs.select(word, suggestion, total, "distance", "sub", F.round(score, 6).alias("score"))
+
+
+def _triples(ws: Column) -> Column:
+    """Hash and place (from 1) of each run of three words."""
+    return F.when(F.size(ws) >= 3, F.transform(F.sequence(F.lit(1), F.size(ws) - 2), lambda i: F.struct(F.xxhash64(F.slice(ws, i, 3)).alias("gram"), i.alias("at"))))
+
+
+def holding(quotes: DataFrame, docs: DataFrame, quote_key: str, quote: str, doc_key: str, words_col: str) -> DataFrame:
+    """(quote_key, doc_key, at): places where a document's words are those of a quotation of three words or more.
+
+    The quotation's first three words meet equal ones of documents in a join; what follows is then compared.
+    """
+    q = quotes.filter(F.size(quote) >= 3).select(quote_key, F.col(quote).alias("_quote"), F.xxhash64(F.slice(quote, 1, 3)).alias("_gram"))
+    d = docs.select(doc_key, F.inline(_triples(F.col(words_col))).alias("_gram", "at"))
+    met = d.join(q, "_gram").join(docs.select(doc_key, F.col(words_col).alias("_words")), doc_key)
+    return met.filter(F.slice("_words", F.col("at"), F.size("_quote")) == F.col("_quote")).select(quote_key, doc_key, "at")
+
+
+def quote_spans(quotes: DataFrame, passages: DataFrame, quote_key: str, quote: str, group: str, order: str, words_col: str) -> DataFrame:
+    """(quote_key, group, first_turn, last_turn): the first place of a quotation in a group's passages, which run on.
+
+    Words are numbered through a group; each three words of a quotation must stand at consecutive numbers, which a count
+    of equal joins on (three words, number less their place in the quotation) tells. Quotations have three words or more.
+    Groups are never put together in one row.
+    """
+    w = Window.partitionBy(group).orderBy(order)
+    start = F.coalesce(F.sum(F.size(words_col)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    word = passages.select(group, order, words_col, start.alias("_start")).select(group, order, "_start", F.posexplode(words_col).alias("_p", "_w1")).withColumn("_n", F.col("_start") + F.col("_p"))
+    run = Window.partitionBy(group).orderBy("_n")
+    word = word.select(group, order, "_n", "_w1", F.lead("_w1").over(run).alias("_w2"), F.lead("_w1", 2).over(run).alias("_w3"), F.lead(order, 2).over(run).alias("_to")).filter("_w3 is not null")
+    at = lambda k: F.get(F.col(quote), F.col("_k") + k)
+    asked = quotes.filter(F.size(quote) >= 3).withColumn("_k", F.explode(F.sequence(F.lit(0), F.size(quote) - 3))).select(quote_key, (F.size(quote) - 2).alias("_size"), "_k", at(0).alias("_w1"), at(1).alias("_w2"), at(2).alias("_w3"))
+    met = word.join(asked, ["_w1", "_w2", "_w3"]).withColumn("_base", F.col("_n") - F.col("_k"))
+    whole = met.groupBy(quote_key, group, "_base", "_size").agg(F.count("*").alias("_hits"), F.min(order).alias("first_turn"), F.max("_to").alias("last_turn")).filter("_hits = _size")
+    first = whole.groupBy(quote_key, group).agg(F.min_by(F.struct("first_turn", "last_turn"), "_base").alias("_s"))
+    return first.select(quote_key, group, "_s.*")
+
+
+def merged_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str, quote: str, doc_key: str, words_col: str) -> DataFrame:
+    """(quote_key, verdict): exact if one document has the whole quotation; merged if a prefix and the rest, of three words
+    or more, stand in different documents; else notfound."""
+    halves = quotes.filter(F.size(quote) >= 6).select(quote_key, quote, F.explode(F.sequence(F.lit(3), F.size(quote) - 3)).alias("_h"))
+    key = F.concat_ws(":", F.col(quote_key).cast("string"), F.col("_h").cast("string"))
+    ends = []
+    for part in (F.slice(quote, F.lit(1), F.col("_h")), F.slice(quote, F.col("_h") + 1, F.size(quote))):
+        found = holding(halves.select(key.alias("_key"), part.alias("_part")), docs, "_key", "_part", doc_key, words_col)
+        ends.append(found.groupBy("_key").agg(F.min(doc_key).alias("_lo"), F.max(doc_key).alias("_hi")))
+    a, b = ends[0], ends[1].withColumnsRenamed({"_lo": "_lo2", "_hi": "_hi2"})
+    apart = a.join(b, "_key").filter(~((F.col("_lo") == F.col("_hi")) & (F.col("_lo2") == F.col("_hi2")) & (F.col("_lo") == F.col("_lo2"))))
+    merged = halves.select(quote_key, key.alias("_key")).join(apart, "_key", "left_semi").select(quote_key).distinct().withColumn("_merged", F.lit(True))
+    exact = holding(quotes, docs, quote_key, quote, doc_key, words_col).select(quote_key).distinct().withColumn("_exact", F.lit(True))
+    verdict = F.when(F.col("_exact"), "exact").when(F.col("_merged"), "merged").otherwise("notfound")
+    return quotes.select(quote_key).join(exact, quote_key, "left").join(merged, quote_key, "left").select(quote_key, verdict.alias("verdict"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .shared import kept
 
 K1, B = 1.2, 0.75
 
@@ -16,23 +17,71 @@ def postings(docs: DataFrame, key: str, text: Column, **how) -> DataFrame:
     return listed.select(key, "len", F.explode("_t").alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def weights(index: DataFrame, docs: DataFrame, key: str, text: Column, **how) -> DataFrame:
-    """index with each posting's BM25 weight: idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / average))."""
-    stats = docs.select(F.size(tokens(text, **how)).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+def weights(index: DataFrame) -> DataFrame:
+    """An index (key, token, tf, len) with each posting's BM25 weight: idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / average)).
+
+    The index is read for each of three aggregates, so it should be a written table.
+    """
+    key = index.columns[0]
+    return _weighed(index, index.groupBy(key).agg(F.first("len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")))
+
+
+def _weighed(index: DataFrame, stats: DataFrame) -> DataFrame:
     df = index.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0))))
-    return index.join(df, "token").join(F.broadcast(stats), how="cross").withColumn("weight", idf * tf)
+    return index.join(df, "token").join(F.broadcast(stats), how="cross").withColumn("weight", idf * tf)  # stats: one row
 
 
 def search(queries: DataFrame, query_key: str, query_text: Column, weighted: DataFrame, key: str, **how) -> DataFrame:
-    """(query_key, key, score, hits, asked): scores summed over each query's distinct tokens, and how many of them hit."""
+    """(query_key, key, score, hits, asked, coverage): scores summed over each query's distinct tokens, and how many of them hit."""
+    return _summed(_asked(queries, query_key, query_text, **how).join(weighted, "token"), query_key, key)
+
+
+def _asked(queries: DataFrame, query_key: str, query_text: Column, **how) -> DataFrame:
     asked = queries.select(query_key, F.array_distinct(tokens(query_text, **how)).alias("_t"))
-    asked = asked.select(query_key, F.size("_t").alias("asked"), F.explode("_t").alias("token"))
-    found = asked.join(weighted, "token").groupBy(query_key, key).agg(F.sum("weight").alias("score"), F.count("*").alias("hits"), F.first("asked").alias("asked"))
+    return asked.select(query_key, F.size("_t").alias("asked"), F.explode("_t").alias("token"))
+
+
+def _summed(hits: DataFrame, query_key: str, key: str) -> DataFrame:
+    found = hits.groupBy(query_key, key).agg(F.sum("weight").alias("score"), F.count("*").alias("hits"), F.first("asked").alias("asked"))
     return found.withColumn("score", F.round("score", 4)).withColumn("coverage", F.round(F.col("hits") / F.col("asked"), 4))
 
 
+def tokenised(docs: DataFrame, key: str, text: Column, **how) -> DataFrame:
+    """(key, len, ts): each document's tokens, written once and read back by what follows."""
+    return kept(docs.select(F.col(key), tokens(text, **how).alias("ts")).withColumn("len", F.size("ts")), "tokens")
+
+
+def search_all(queries: DataFrame, query_key: str, query_text: Column, docs: DataFrame, key: str, text: Column, **how) -> DataFrame:
+    """search() of a batch of queries in documents without an index: each text is tokenised once, and only the queries'
+    tokens are counted, weighed and shuffled."""
+    listed, asked = tokenised(docs, key, text, **how), kept(_asked(queries, query_key, query_text, **how), "asked")
+    wanted = asked.select("token").distinct()
+    tf = listed.select(key, "len", F.explode("ts").alias("token")).join(wanted, "token", "left_semi").groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    return _summed(asked.join(_weighed(kept(tf, "postings"), listed.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))), "token"), query_key, key)
+
+
+def titles(asked: DataFrame, titles: DataFrame, query_key: str, key: str, least: float, precise: float, contained: float, rare: int, most: int) -> DataFrame:
+    """(query_key, key, score, rank): titles (key, token) for queries (query_key, token), both distinct.
+
+    Of a title's tokens that a query has, coverage weighs by ln(1 + N / df) against all of the query's, precision counts
+    against all of the title's. A title of two hits counts if 0.7 coverage + 0.3 precision reaches least and precision
+    precise, or if precision reaches contained and one of the hits is in no more than rare titles.
+    """
+    size = titles.groupBy(key).agg(F.count("*").alias("size"))
+    n = size.agg(F.count("*").alias("n"))
+    df = titles.groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.log(1 + F.col("n") / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
+    i = asked.join(df, "token", "left").join(F.broadcast(n)).select(query_key, "token", idf.alias("idf"), F.coalesce("df", F.lit(0)).alias("df"))
+    total = i.groupBy(query_key).agg(F.sum("idf").alias("w_all"), F.count("*").alias("n_all")).filter("n_all >= 2")
+    m = i.join(titles, "token").groupBy(query_key, key).agg(F.count("*").alias("c"), F.sum("idf").alias("w"), F.bool_or(F.col("df") <= rare).alias("is_rare")).filter("c >= 2")
+    cov, prec = F.col("w") / F.col("w_all"), F.col("c") / F.col("size")
+    score = cov * 0.7 + prec * 0.3
+    kept_ones = m.join(total, query_key).join(size, key).filter(((score >= least) & (prec >= precise)) | ((prec >= contained) & F.col("is_rare")))
+    return best(kept_ones.select(query_key, key, F.round(score, 6).alias("score")), query_key, [F.desc("score"), F.col(key)], most)
+
+
 def best(found: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     """The k best rows of each query, with their rank; Spark limits each group before it shuffles."""
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)

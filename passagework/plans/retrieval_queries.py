@@ -18,37 +18,35 @@ qn AS (SELECT item_id, count(*) AS asked FROM q GROUP BY item_id),
 f AS (SELECT q.item_id, wt.doc_id, round(sum(weight), 4) AS score, count(*) AS hits, any_value(asked) AS asked, round(count(*) / any_value(asked), 4) AS coverage FROM q JOIN wt ON wt.token = q.token JOIN qn ON qn.item_id = q.item_id GROUP BY q.item_id, wt.doc_id)"""
 
 
-def _found(t):
-    docs = t("documents")
-    index = retrieve.postings(docs, "doc_id", F.col("text"))
-    weighted = retrieve.weights(index, docs, "doc_id", F.col("text"))
-    return retrieve.search(t("benchmark"), "item_id", F.col("text"), weighted, "doc_id")
+def found_in(t, queries=None):
+    """All documents that share a word with each benchmark text, or with other queries (item_id, text)."""
+    return retrieve.search_all(queries or t("benchmark"), "item_id", F.col("text"), t("documents"), "doc_id", F.col("text"))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT item_id, doc_id, score, coverage, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5")
 def bm25_topk(t):
     """The five best documents of each benchmark text."""
-    return retrieve.best(_found(t), "item_id", [F.desc("score"), F.col("doc_id")], 5).select("item_id", "doc_id", "score", "coverage", "rank")
+    return retrieve.best(found_in(t), "item_id", [F.desc("score"), F.col("doc_id")], 5).select("item_id", "doc_id", "score", "coverage", "rank")
 
 
 @query("bm25_pruned", f"WITH {BM25}, m AS (SELECT *, hits = asked AS fullhit, count(*) FILTER (WHERE hits = asked) OVER w AS nf, max(score) OVER w AS top, max(CASE WHEN hits = asked THEN score END) OVER w AS topf FROM f WINDOW w AS (PARTITION BY item_id)) SELECT item_id, doc_id, score FROM m WHERE CASE WHEN asked > 1 AND nf = 0 THEN false WHEN nf >= 5 OR asked = 1 THEN fullhit AND score >= 0.3::DOUBLE * topf ELSE (fullhit OR coverage >= 0.5) AND score >= 0.3::DOUBLE * top END")
 def bm25_pruned(t):
     """Relevance cut-offs."""
-    return retrieve.pruned(_found(t), "item_id").select("item_id", "doc_id", "score")
+    return retrieve.pruned(found_in(t), "item_id").select("item_id", "doc_id", "score")
 
 
 @query("bm25_coverage_score", f"WITH {BM25} SELECT item_id, doc_id, round(score * (0.4 + 0.6 * coverage * coverage), 3) AS adjusted FROM f WHERE coverage >= 0.5")
 def bm25_coverage_score(t):
     """Score weighted by coverage."""
     c = F.col("coverage")
-    return _found(t).filter(c >= 0.5).select("item_id", "doc_id", F.round(F.col("score") * (0.4 + 0.6 * c * c), 3).alias("adjusted"))
+    return found_in(t).filter(c >= 0.5).select("item_id", "doc_id", F.round(F.col("score") * (0.4 + 0.6 * c * c), 3).alias("adjusted"))
 
 
 @query("weak_tokens", f"WITH p AS (SELECT DISTINCT doc_id, token FROM ({stems_sql('documents', 'doc_id')})) SELECT token, count(*) AS df FROM p GROUP BY token HAVING count(*) > 0.1 * (SELECT count(*) FROM documents)")
 def weak_tokens(t):
     """Tokens in more than a tenth of the documents."""
     docs = t("documents")
-    df = retrieve.postings(docs, "doc_id", F.col("text")).groupBy("token").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(docs.agg(F.count("*").alias("n"))), F.col("df") > 0.1 * F.col("n")).select("token", "df")
 
 
@@ -69,7 +67,7 @@ e AS (SELECT q.item_id, q.token AS asked_token, b.token FROM q JOIN syn a ON a.t
 SELECT item_id, count(DISTINCT asked_token) AS n_asked, count(DISTINCT token) AS n_expanded FROM e GROUP BY item_id""")
 def synonym_groups(t):
     """Queries widened by groups of like words (here words that share four letters)."""
-    index = retrieve.postings(t("documents"), "doc_id", F.col("text")).select("token").distinct().filter(F.length("token") >= 4)
+    index = t("documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct().filter(F.length("token") >= 4)
     syn = index.withColumn("grp", F.substring("token", 1, 4))
     q = t("benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("asked"))
     wide = q.join(syn.withColumnRenamed("token", "asked"), "asked").join(syn, "grp")
@@ -80,7 +78,7 @@ def synonym_groups(t):
 m AS (SELECT item_id, doc_id, min(rank * 1000 + list_no) AS place FROM l WHERE rank < 30 GROUP BY ALL) SELECT item_id, doc_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place, doc_id) AS rank FROM m) WHERE rank <= 36""")
 def round_robin_fusion(t):
     """Two rankings interleaved, the first sight of a document counts."""
-    f = _found(t)
+    f = found_in(t)
     lists = None
     for no, order in enumerate((F.desc("score"), F.desc("coverage"))):
         one = retrieve.best(f, "item_id", [order, F.col("doc_id")], 30).select("item_id", "doc_id", (F.col("rank") - 1).alias("rank"), F.lit(no).alias("list_no"))
@@ -91,7 +89,7 @@ def round_robin_fusion(t):
 @query("group_rank", f"WITH {BM25}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 20), g AS (SELECT item_id, source, round(sum(1.0 / rank), 4) AS weight, count(*) AS n FROM b JOIN documents USING (doc_id) GROUP BY ALL) SELECT item_id, source, weight, n, CAST(row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, source) AS INT) AS group_rank FROM g")
 def group_rank(t):
     """Groups of results by reciprocal ranks."""
-    b = retrieve.best(_found(t), "item_id", [F.desc("score"), F.col("doc_id")], 20)
+    b = retrieve.best(found_in(t), "item_id", [F.desc("score"), F.col("doc_id")], 20)
     return retrieve.group_rank(b.join(t("documents").select("doc_id", "source"), "doc_id"), "item_id", "source")
 
 

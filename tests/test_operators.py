@@ -34,7 +34,7 @@ def test_text(spark, value, f, want):
 
 def test_every_passage_finds_itself(spark):
     docs = spark.createDataFrame([(i, f"alpha{i} common word{i % 3} tail") for i in range(12)], "id int, text string")
-    weighted = retrieve.weights(retrieve.postings(docs, "id", F.col("text")), docs, "id", F.col("text"))
+    weighted = retrieve.weights(retrieve.postings(docs, "id", F.col("text")))
     found = retrieve.search(docs.withColumnRenamed("id", "q"), "q", F.col("text"), weighted, "id")
     best = retrieve.best(found, "q", [F.desc("score"), F.col("id")], 1)
     assert all(r.q == r.id for r in best.collect()) and best.count() == 12
