@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,8 +27,38 @@ def project(v: Column, seed: int, dim: int, out: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda j: F.round(F.aggregate(F.zip_with(v, F.sequence(F.lit(0), F.lit(dim - 1)), lambda x, i: x.cast("double") * sign(i, j)), F.lit(0.0), lambda s, x: s + x), 4))
 
 
-def scores(queries: DataFrame, docs: DataFrame, query_key: str, key: str, vector: str) -> DataFrame:
-    """(query_key, key, score): cosine of a stated query set with all rows; the queries, of checked size, are broadcast."""
-    q = queries.select(F.col(key).alias(query_key), F.col(vector).alias("_q"))
-    pairs = docs.select(key, F.col(vector).alias("_v")).join(q, F.col(key) != F.col(query_key))
-    return pairs.select(query_key, key, F.round(dot(F.col("_q"), F.col("_v")) / (norm(F.col("_q")) * norm(F.col("_v"))), 6).alias("score"))
+def nearest(queries: DataFrame, rows: DataFrame, query_key: str, key: str, vector: str, k: int, per_block: int = 16_384, per_query_block: int = 8_192) -> DataFrame:
+    """(query_key, key, score, rank): the k rows of greatest cosine for each query but itself, ties to the smaller key.
+
+    Blocks of queries meet blocks of rows in tasks, as one matrix product each; a block yields its k best for each
+    query. A row goes out once for each block of queries. Vectors have one length and no nulls.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    n_rows, n_queries = rows.count(), queries.count()
+    blocks, q_blocks = max(1, -(-n_rows // per_block)), max(1, -(-n_queries // per_query_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    own = lambda n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
+    dealt = rows.select(own(blocks).alias("b"), every(q_blocks).alias("q"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(False).alias("asks"))
+    asked = queries.select(every(blocks).alias("b"), own(q_blocks).alias("q"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("asks"))
+
+    def best(t: pa.Table) -> pa.Table:
+        m = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        ids, asks = t.column("id").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        order = np.argsort(ids[~asks], kind="stable")
+        there, data, out = ids[~asks][order], m[~asks][order], []
+        for at in range(0, int(asks.sum()), 512):
+            q, names = m[asks][at : at + 512], ids[asks][at : at + 512]
+            score = np.round(q @ data.T, 6)
+            score[names[:, None] == there[None, :]] = -np.inf
+            some = min(k, score.shape[1])
+            kth = -np.partition(-score, some - 1, axis=1)[:, some - 1 : some] if some else score
+            row, col = np.nonzero((score >= kth) & (score > -np.inf))
+            out.append(pa.table({query_key: pa.array(names[row]), key: pa.array(there[col]), "score": pa.array(score[row, col])}))
+        return pa.concat_tables(out) if out else pa.table({query_key: pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    found = dealt.union(asked).groupBy("b", "q").applyInArrow(best, f"`{query_key}` long, `{key}` long, score double")
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -160,8 +160,7 @@ def word_lookup(t):
 def knn_topk(t):
     """Nearest vectors of the stated queries, those whose number 50 divides."""
     e = t("embeddings")
-    s = dense.scores(e.filter("vec_id % 50 = 0"), e, "query_id", "vec_id", "embedding")
-    return retrieve.best(s, "query_id", [F.desc("score"), F.col("vec_id")], 10)
+    return dense.nearest(e.filter("vec_id % 50 = 0"), e, "query_id", "vec_id", "embedding", 10)
 
 
 @query("vector_quantise", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM v) SELECT vec_id, CAST(list_sum(list_transform(e, lambda x: CAST(round_even(x / n * 127.0::DOUBLE, 0) AS INT))) AS BIGINT) AS total FROM n")
@@ -182,7 +181,7 @@ def topk_overlap(t):
     """How much of the top 40 half the dimensions keep."""
     e = t("embeddings")
     half = e.withColumn("embedding", F.slice("embedding", 1, 32))
-    tops = [retrieve.best(dense.scores(x.filter("vec_id % 50 = 0"), x, "query_id", "vec_id", "embedding"), "query_id", [F.desc("score"), F.col("vec_id")], 40) for x in (e, half)]
+    tops = [dense.nearest(x.filter("vec_id % 50 = 0"), x, "query_id", "vec_id", "embedding", 40) for x in (e, half)]
     both = tops[0].select("query_id", "vec_id", F.lit(1).alias("in_full")).join(tops[1].select("query_id", "vec_id", F.lit(1).alias("in_half")), ["query_id", "vec_id"], "full")
     return both.groupBy("query_id").agg(F.round(F.count_if(F.col("in_full").isNotNull() & F.col("in_half").isNotNull()) / 40, 4).alias("overlap"))
 

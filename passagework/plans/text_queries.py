@@ -158,7 +158,9 @@ def group_text_stats(t):
 def word_stats(t):
     """Occurrences, passages, groups, first and last of every word."""
     w = t("documents").select("doc_id", "source", F.explode(T.tokens(F.col("text"), stemmed=False)).alias("word"))
-    return w.groupBy("word").agg(F.count("*").alias("total"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("source").alias("groups"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    of_doc = w.groupBy("word", "doc_id").agg(F.count("*").alias("n"), F.first("source").alias("source"))  # a document has one source
+    of_group = of_doc.groupBy("word", "source").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    return of_group.groupBy("word").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.count("source").alias("groups"), F.min("least").alias("first_doc"), F.max("most").alias("last_doc"))
 
 
 @query("top_words", f"WITH w AS ({_W}), c AS (SELECT source, w AS word, count(*) AS n FROM w GROUP BY ALL) SELECT source, word, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 10")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,15 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.shared import new_path
+
 
 def as_stream(table: DataFrame) -> DataFrame:
-    """A Parquet table's files as a stream."""
-    file = table.inputFiles()[0]
-    folder, _, name = file.rpartition("/")
+    """All files of a Parquet table as a stream.
+
+    A table of one file may lie beside others, so its folder is read with a filter; one of several has a folder of its
+    own, with folders for partitions in it or not.
+    """
+    files = table.inputFiles()
+    folders = [f.rpartition("/")[0].split("/") for f in files]
+    shared = next((i for i, parts in enumerate(zip(*folders)) if len(set(parts)) > 1), min(map(len, folders)))
+    root, inner = "/".join(folders[0][:shared]), {p for f in folders for p in f[shared:]}
     reader = table.sparkSession.readStream.schema(table.schema)
-    if not folder.endswith(".parquet"):  # a table of one file beside others: a stream reads the folder, and of it this file
-        reader = reader.option("pathGlobFilter", name)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    if len(files) == 1:
+        reader = reader.option("pathGlobFilter", files[0].rpartition("/")[2])
+    elif any("=" not in p for p in inner):
+        reader = reader.option("recursiveFileLookup", "true")
+    return reader.parquet(root).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(stream: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
@@ -28,12 +36,16 @@ def windowed(stream: DataFrame, late: str = "1 day", width: str = "1 day") -> Da
 
 
 def daily_counts(table: DataFrame) -> DataFrame:
-    """(day, event_type, n): the stream runs until its input is read; the result is its complete table."""
-    spark, name = table.sparkSession, f"daily_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    query = windowed(as_stream(table)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    """(day, event_type, n): the stream runs until its input is read; each batch writes the complete table anew to the
+    shared folder, and the last one is the result."""
+    spark = table.sparkSession
+    path, state = new_path(spark, "daily"), new_path(spark, "daily-state")
+    counts = windowed(as_stream(table)).select(F.to_date("window.start").alias("day"), "event_type", "n")
+    spark.createDataFrame([], counts.schema).write.parquet(path)
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select(F.to_date("window.start").alias("day"), "event_type", "n")
+    return spark.read.schema(counts.schema).parquet(path)
 
 
 def rate_limited(stream: DataFrame, most: int = 5, seconds: int = 60) -> DataFrame:

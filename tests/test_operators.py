@@ -181,3 +181,62 @@ def test_closest_of_all_documents(spark):
     assert got == {k: (n, -i) for k, (n, i) in want.items()}
     found = {r.q: (r.d, r.verdict) for r in verify.verdicts(q, d, "q", "d").collect()}
     assert found[6] == (5000, "near") and found[7] == (5001, "exact")
+
+
+def test_stream_reads_every_file_of_a_table(spark, tmp_path):
+    from passagework.streaming import events
+
+    rows = [(i, f"2024-01-0{1 + i % 3} 10:00:00", i % 4, "view") for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for name, by in (("plain", []), ("parted", ["user_id"])):
+        path = str(tmp_path / name)
+        df.repartition(4).write.partitionBy(*by).parquet(path)
+        assert sum(r.n for r in events.daily_counts(spark.read.parquet(path)).collect()) == 40
+
+
+def test_names_by_deletion_neighbourhoods(spark):
+    import random
+
+    from passagework.operators import joins
+
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(120)})
+    a, b = (spark.createDataFrame([(x,) for x in part], f"{c} string") for part, c in ((names[::2], "a"), (names[1::2], "b")))
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    for most in (1, 2):
+        got = sorted((r.a, r.b, r.distance) for r in joins.fuzzy(a, b, F.col("a"), F.col("b"), most, [F.col("a"), F.col("b")]).collect())
+        assert got == sorted((x, y, d) for x in names[::2] for y in names[1::2] if (d := distance(x, y)) <= most)
+
+
+def test_words_alone(spark):
+    from passagework.functions import words
+
+    rows = [("rereading", "cat", "cah"), ("", "", "a"), (None, None, None), ("undergoings", "the", "tht")]
+    got = spark.createDataFrame(rows, "w string, a string, b string").select(words.affix_stem(F.col("w")).alias("s"), words.distance_free_end(F.col("a"), F.col("b"), "th").alias("d"), words.sound_key(F.col("w")).alias("k")).collect()
+    assert [(r.s, r.d) for r in got] == [("read", 0), ("", 1), (None, None), ("going", 1)]
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    from passagework.operators import dense
+
+    rng = np.random.default_rng(2)
+    m = rng.standard_normal((90, 6))
+    m[30:35] = m[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    got = sorted((r.q, r["rank"], r.id) for r in dense.nearest(df.filter("id % 9 = 0"), df, "q", "id", "v", 4, 20, 3).collect())
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = []
+    for q in range(0, 90, 9):
+        s = np.round(u @ u[q], 6)
+        want += [(q, k + 1, i) for k, (_, i) in enumerate(sorted((-s[i], i) for i in range(90) if i != q)[:4])]
+    assert got == sorted(want)
