@@ -31,7 +31,7 @@ def bm25_topk(t):
 
 @query("bm25_pruned", f"WITH {BM25}, m AS (SELECT *, hits = asked AS fullhit, count(*) FILTER (WHERE hits = asked) OVER w AS nf, max(score) OVER w AS top, max(CASE WHEN hits = asked THEN score END) OVER w AS topf FROM f WINDOW w AS (PARTITION BY item_id)) SELECT item_id, doc_id, score FROM m WHERE CASE WHEN asked > 1 AND nf = 0 THEN false WHEN nf >= 5 OR asked = 1 THEN fullhit AND score >= 0.3::DOUBLE * topf ELSE (fullhit OR coverage >= 0.5) AND score >= 0.3::DOUBLE * top END")
 def bm25_pruned(t):
-    """Relevance cut-offs."""
+    """Relevance cut-offs."""
     return retrieve.pruned(found_in(t), "item_id").select("item_id", "doc_id", "score")
 
 
@@ -44,7 +44,7 @@ def bm25_coverage_score(t):
 
 @query("weak_tokens", f"WITH p AS (SELECT DISTINCT doc_id, token FROM ({stems_sql('documents', 'doc_id')})) SELECT token, count(*) AS df FROM p GROUP BY token HAVING count(*) > 0.1 * (SELECT count(*) FROM documents)")
 def weak_tokens(t):
-    """Tokens in more than a tenth of the documents."""
+    """Tokens in more than a tenth of the documents."""
     docs = t("documents")
     df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(docs.agg(F.count("*").alias("n"))), F.col("df") > 0.1 * F.col("n")).select("token", "df")
@@ -66,7 +66,7 @@ def multi_field(t):
 e AS (SELECT q.item_id, q.token AS asked_token, b.token FROM q JOIN syn a ON a.token = q.token JOIN syn b ON b.grp = a.grp)
 SELECT item_id, count(DISTINCT asked_token) AS n_asked, count(DISTINCT token) AS n_expanded FROM e GROUP BY item_id""")
 def synonym_groups(t):
-    """Queries widened by groups of like words (here words that share four letters)."""
+    """Queries widened by groups of like words (here words that share four letters)."""
     index = t("documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct().filter(F.length("token") >= 4)
     syn = index.withColumn("grp", F.substring("token", 1, 4))
     q = t("benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("asked"))
@@ -77,7 +77,7 @@ def synonym_groups(t):
 @query("round_robin_fusion", f"""WITH {BM25}, l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank, 0 AS list_no FROM f UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, doc_id) - 1, 1 FROM f),
 m AS (SELECT item_id, doc_id, min(rank * 1000 + list_no) AS place FROM l WHERE rank < 30 GROUP BY ALL) SELECT item_id, doc_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place, doc_id) AS rank FROM m) WHERE rank <= 36""")
 def round_robin_fusion(t):
-    """Two rankings interleaved, the first sight of a document counts."""
+    """Two rankings interleaved, the first sight of a document counts."""
     f = found_in(t)
     lists = None
     for no, order in enumerate((F.desc("score"), F.desc("coverage"))):
@@ -98,7 +98,7 @@ k AS (SELECT doc_id * 100000 + pos AS sid, s AS text FROM s), tok AS (SELECT DIS
 q AS (SELECT DISTINCT item_id, token FROM ({stems_sql('benchmark', 'item_id')})), c AS (SELECT item_id, sid, count(*) AS n FROM q JOIN tok USING (token) GROUP BY ALL)
 SELECT item_id, sid, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, sid) AS rank FROM c) WHERE rank <= 3""")
 def best_sentences(t):
-    """The sentences that share most tokens with each query."""
+    """The sentences that share most tokens with each query."""
     s = t("documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "s"))
     tok = s.select((F.col("doc_id") * 100000 + F.col("p") + 1).alias("sid"), F.explode(F.array_distinct(T.tokens(F.col("s")))).alias("token"))
     q = t("benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
@@ -108,14 +108,14 @@ def best_sentences(t):
 
 @query("quote_exact", f"SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(' ' || trim(regexp_replace(lower(d.text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(b.text), '[^a-z0-9]+', ' ', 'g')) || ' ')")
 def quote_exact(t):
-    """Documents that contain each benchmark text, word by word. Shingles of the quotation find the
+    """Documents that contain each benchmark text, word by word. Shingles of the quotation find the
     candidates by an equal join; the containment is then checked."""
     return verify.contained(t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
 @query("quote_near")
 def quote_near(t):
-    """Longest common subsequence of each benchmark text with all documents, and a verdict; without a shared
+    """Longest common subsequence of each benchmark text with all documents, and a verdict; without a shared
     word it is notfound."""
     found = verify.verdicts(t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text"), "item_id", "doc_id")
     return t("benchmark").select("item_id").distinct().join(found, "item_id", "left").fillna({"matched": 0, "similarity": 0.0, "verdict": "notfound"})
@@ -123,7 +123,7 @@ def quote_near(t):
 
 @query("fuzzy_names", "SELECT s_name, c_name, CAST(levenshtein(s_name, c_name) AS INT) AS distance FROM (SELECT DISTINCT replace(s_name, 'Supplier', 'Customer') AS s_name FROM supplier) JOIN (SELECT DISTINCT c_name FROM customer) ON levenshtein(s_name, c_name) <= 1")
 def fuzzy_names(t):
-    """Names within an edit distance, found by equal parts."""
+    """Names within an edit distance, found by equal parts."""
     s = t("supplier").select(F.regexp_replace("s_name", "Supplier", "Customer").alias("s_name")).distinct()
     c = t("customer").select("c_name").distinct()
     return joins.fuzzy(s, c, F.col("s_name"), F.col("c_name"), 1, [F.col("s_name"), F.col("c_name")])
@@ -134,7 +134,7 @@ _V = "SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(lower(%s
 
 @query("spell_suggest", f"WITH a AS ({_V % ('p_name', 'part')}), b AS ({_V % ('text', 'benchmark')}), s AS (SELECT a.w AS word, b.w AS suggestion, levenshtein(a.w, b.w) AS d FROM a JOIN b ON abs(length(a.w) - length(b.w)) <= 2 AND levenshtein(a.w, b.w) <= 2) SELECT word, suggestion, CAST(d AS INT) AS distance, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, suggestion) AS rank FROM s) WHERE rank <= 4")
 def spell_suggest(t):
-    """Up to four words of another vocabulary within two edits."""
+    """Up to four words of another vocabulary within two edits."""
     words = lambda df, c: df.select(F.explode(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " ")).alias("w")).filter(F.length("w").between(5, 14)).distinct()
     a, b = words(t("part"), "p_name").withColumnRenamed("w", "word"), words(t("benchmark"), "text").withColumnRenamed("w", "suggestion")
     near = joins.fuzzy(a, b, F.col("word"), F.col("suggestion"), 2, [F.col("word"), F.col("suggestion")])
@@ -143,7 +143,7 @@ def spell_suggest(t):
 
 @query("name_keys", "SELECT p_brand AS name, list_aggregate(list_sort(list_distinct(string_split(lower(p_brand || ' ' || p_type), ' '))), 'string_agg', ' ') AS key, count(*) AS n FROM part GROUP BY 1, 2")
 def name_keys(t):
-    """Key of sorted distinct words."""
+    """Key of sorted distinct words."""
     key = F.array_join(F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_brand", "p_type")), " "))), " ")
     return t("part").groupBy(F.col("p_brand").alias("name"), key.alias("key")).agg(F.count("*").alias("n"))
 
@@ -178,7 +178,7 @@ def vector_project(t):
 
 @query("topk_overlap", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS h FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(q.e, d.e), 6) AS a, round(list_cosine_similarity(q.h, d.h), 6) AS b FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, vec_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, vec_id) AS rb FROM s) SELECT query_id, round(count(*) FILTER (WHERE ra <= 40 AND rb <= 40) / 40, 4) AS overlap FROM r GROUP BY query_id")
 def topk_overlap(t):
-    """How much of the top 40 half the dimensions keep."""
+    """How much of the top 40 half the dimensions keep."""
     e = t("embeddings")
     half = e.withColumn("embedding", F.slice("embedding", 1, 32))
     tops = [dense.nearest(x.filter("vec_id % 50 = 0"), x, "query_id", "vec_id", "embedding", 40) for x in (e, half)]
@@ -195,7 +195,7 @@ def grounding_violations(t):
 
 @query("evidence_list")
 def evidence_list(t):
-    """For each query its evidence in order, near-equal texts once, under caps and a budget of characters."""
+    """V1, V5 in part: for each query its evidence in order, near-equal texts once, under caps and a budget of characters."""
     s = t("documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "text"))
     sized = s.select("doc_id", "pos", F.length("text").alias("length"), verify.letters_key(F.col("text")).alias("key"), F.array_distinct(T.tokens(F.col("text"))).alias("ts"))
     tok = sized.select("doc_id", "pos", "length", "key", F.explode("ts").alias("token"))

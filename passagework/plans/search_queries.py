@@ -78,12 +78,13 @@ _TITLES = "(SELECT conv_id, text FROM conversations WHERE turn = 0)"
 @query("title_match", f"""WITH t AS (SELECT DISTINCT conv_id, token FROM ({stems_sql(_TITLES, 'conv_id')})), size AS (SELECT conv_id, count(*) AS size FROM t GROUP BY 1), nn AS (SELECT count(*) AS n FROM size), d AS (SELECT token, count(*) AS df FROM t GROUP BY 1), q AS (SELECT DISTINCT item_id, token FROM ({stems_sql('benchmark', 'item_id')})),
 i AS (SELECT item_id, token, ln(1 + n / greatest(coalesce(df, 0), 1)) AS idf, coalesce(df, 0) AS df FROM q LEFT JOIN d USING (token) CROSS JOIN nn), total AS (SELECT item_id, sum(idf) AS w, count(*) AS n FROM i GROUP BY 1),
 m AS (SELECT i.item_id, t.conv_id, count(*) AS c, sum(idf) AS w, bool_or(i.df <= 15) AS rare FROM i JOIN t USING (token) GROUP BY ALL), s AS (SELECT m.*, m.w / total.w AS cov, c / size AS prec FROM m JOIN total USING (item_id) JOIN size USING (conv_id) WHERE c >= 2 AND total.n >= 2),
-k AS (SELECT item_id, conv_id, round(cov * 0.7::DOUBLE + prec * 0.3::DOUBLE, 6) AS score FROM s WHERE (cov * 0.7::DOUBLE + prec * 0.3::DOUBLE >= 0.3 AND prec >= 0.25) OR (prec >= 0.6 AND rare))
+k AS (SELECT item_id, conv_id, round(cov * 0.7::DOUBLE + prec * 0.3::DOUBLE, 6) AS score FROM s WHERE (cov * 0.7::DOUBLE + prec * 0.3::DOUBLE >= 0.09 AND prec >= 0.05) OR (prec >= 0.6 AND rare))
 SELECT item_id, conv_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id) AS rank FROM k) WHERE rank <= 3""")
 def title_match(t):
-    """Titles by coverage (idf ln(1 + N / df)) and precision, 0.7 and 0.3; thresholds; the best three."""
+    """Titles by coverage (idf ln(1 + N / df)) and precision, 0.7 and 0.3; thresholds (low ones here, where the
+    texts are invented and share little); the best three."""
     titles = _tokens(t("conversations").filter("turn = 0").select("conv_id", "text"), "conv_id")
-    return retrieve.titles(_tokens(t("benchmark"), "item_id"), titles, "item_id", "conv_id", 0.3, 0.25, 0.6, 15, 3)
+    return retrieve.titles(_tokens(t("benchmark"), "item_id"), titles, "item_id", "conv_id", 0.09, 0.05, 0.6, 15, 3)
 
 
 @query("record_search", f"WITH {BM25} SELECT item_id, doc_id, coverage, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, score DESC, doc_id) AS rank, max(coverage) OVER (PARTITION BY item_id) AS top FROM f) WHERE rank <= CASE WHEN top = 1 THEN 2 ELSE 10 END")

@@ -37,13 +37,13 @@ def text_normalize(t):
 
 @query("rule_normalize", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[!?.,;:]', ' ', 'g'), '[0-9]+', '#', 'g'), '[ \\n\\t]+', ' ', 'g')) AS plain FROM documents")
 def rule_normalize(t):
-    """A normaliser from an ordered rule table."""
+    """T2, T4 as a rule table: a normaliser from an ordered rule table."""
     return t("documents").select("doc_id", T.by_rules(F.col("text"), [("[!?.,;:]", " "), ("[0-9]+", "#"), ("[ \\n\\t]+", " ")]).alias("plain"))
 
 
 @query("token_counts", f"WITH s AS ({stems_sql('documents', 'doc_id')}) SELECT d.doc_id, count(s.token) AS n_tokens, count(DISTINCT s.token) AS n_distinct FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id")
 def token_counts(t):
-    """Stemmed tokens of each document."""
+    """Stemmed tokens of each document."""
     x = T.tokens(F.col("text"))
     return t("documents").select("doc_id", F.size(x).cast("long").alias("n_tokens"), F.size(F.array_distinct(x)).cast("long").alias("n_distinct"))
 
@@ -71,7 +71,7 @@ def excerpt_cut(t):
 
 @query("truncate_words", "SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(substr(text, 1, 200), '\\s+\\S*\\z', '') || '…' END AS head FROM documents")
 def truncate_words(t):
-    """Cut at a word's end with an ellipsis."""
+    """Cut at a word's end with an ellipsis."""
     return t("documents").select("doc_id", T.truncate(F.col("text"), 200).alias("head"))
 
 
@@ -88,14 +88,14 @@ def html_strip(t):
 
 @query("link_extract", "SELECT page_id, i AS pos, l AS href FROM (SELECT page_id, unnest(x) AS l, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS x FROM pages))")
 def link_extract(t):
-    """Records from HTML."""
+    """T22 in part: records from HTML."""
     d = t("pages").select("page_id", F.posexplode(T.links(F.col("html"))).alias("p", "href"))
     return d.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), "href")
 
 
 @query("html_sections", "WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6]|p)>[^<]*')) AS s, generate_subscripts(regexp_extract_all(html, '<(h[1-6]|p)>[^<]*'), 1) AS i FROM pages), y AS (SELECT *, CASE WHEN s LIKE '<h%' THEN 1 ELSE 0 END AS head FROM x) SELECT page_id, i AS pos, head = 1 AS is_heading, CAST(sum(head) OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS section FROM y")
 def html_sections(t):
-    """Lines with a heading mark; a section runs from one heading to the next."""
+    """Lines with a heading mark; a section runs from one heading to the next."""
     d = t("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(h[1-6]|p)>[^<]*"), F.lit(0))).alias("p", "s")).withColumn("head", F.col("s").startswith("<h").cast("long"))
     return d.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), (F.col("head") == 1).alias("is_heading"), F.sum("head").over(Window.partitionBy("page_id").orderBy("p")).alias("section"))
 
@@ -109,13 +109,13 @@ def url_hosts(t):
 
 @query("content_digest", "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS n_bytes FROM documents")
 def content_digest(t):
-    """Digest and size of each content."""
+    """Digest and size of each content."""
     return t("documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract_string(regexp_extract('noise ' || props || ' tail', '\\{[\\s\\S]*\\}'), '$.k') AS BIGINT) AS k FROM events")
 def json_props(t):
-    """A JSON object cut out of noisy text and parsed."""
+    """A JSON object cut out of noisy text and parsed."""
     noisy = F.concat(F.lit("noise "), F.col("props"), F.lit(" tail"))
     return t("events").select("event_id", F.get_json_object(T.json_in(noisy), "$.k").cast("long").alias("k"))
 
@@ -137,7 +137,7 @@ def letter_counts(t):
 
 @query("spoken_clean", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '(^| )(uh+|um+|er|the|de)( |\\z)', ' ', 'g'), ' +', ' ', 'g')) AS kept, regexp_matches(lower(text), '(^| )(uh+|um+|er|the|de)( |\\z)') AS changed FROM conversations")
 def spoken_clean(t):
-    """Fillers out of spoken text, and whether any were there."""
+    """Fillers out of spoken text, and whether any were there."""
     filler = "(^| )(uh+|um+|er|the|de)( |\\z)"
     low = F.lower("text")
     return t("conversations").select("conv_id", "turn", F.trim(F.regexp_replace(F.regexp_replace(low, filler, " "), " +", " ")).alias("kept"), low.rlike(filler).alias("changed"))
@@ -156,7 +156,7 @@ def group_text_stats(t):
 
 @query("word_stats", f"WITH w AS ({_W}) SELECT w AS word, count(*) AS total, count(DISTINCT doc_id) AS docs, count(DISTINCT source) AS groups, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM w GROUP BY w")
 def word_stats(t):
-    """Occurrences, passages, groups, first and last of every word."""
+    """Occurrences, passages, groups, first and last of every word."""
     w = t("documents").select("doc_id", "source", F.explode(T.tokens(F.col("text"), stemmed=False)).alias("word"))
     of_doc = w.groupBy("word", "doc_id").agg(F.count("*").alias("n"), F.first("source").alias("source"))  # a document has one source
     of_group = of_doc.groupBy("word", "source").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
@@ -186,7 +186,7 @@ def corpus_totals(t):
 
 @query("question_rules", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\\?') THEN 'question' WHEN regexp_matches(text, '[0-9]{2,}') THEN 'number' WHEN length(text) < 60 THEN 'short' WHEN role = 'system' THEN 'system' END AS kind FROM conversations")
 def question_rules(t):
-    """Ordered rules, the first that matches decides."""
+    """Ordered rules, the first that matches decides."""
     from ..operators.rules import first_match
 
     rules = [(F.col("text").rlike("\\?"), "question"), (F.col("text").rlike("[0-9]{2,}"), "number"), (F.length("text") < 60, "short"), (F.col("role") == "system", "system")]
