@@ -16,6 +16,7 @@ are left out of this: their windows are rows with a digest, which are counted; m
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,14 @@ from .ngramjoin import _mix
 from .pretokens import slice_hashes, text_runs
 
 LEAST, GRAM, PERIOD, LONGEST = 400, 128, 57, 512
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19  # sorting takes some hundred bytes for each of them
 #: Slices of one anchor from which its windows are counted by digest instead of sorted in one block.
 MOST_SLICES = 512
 #: Bytes of slices that go to a task together.
 TASK_BYTES = 8 << 20
 
 
+@cache
 def cover(period: int = PERIOD) -> np.ndarray:
     """A difference cover: places such that every difference modulo period is one of two of them. Found greedily."""
     chosen, missing = [0, 1], set(range(2, period - 1))
@@ -45,6 +47,15 @@ def cover(period: int = PERIOD) -> np.ndarray:
     return np.array(sorted(chosen))
 
 
+@cache
+def meetings(period: int = PERIOD) -> np.ndarray:
+    """For residues i and j the distance to where both meet the cover."""
+    there = np.zeros(period, bool)
+    there[cover(period)] = True
+    both = np.array([np.roll(there, -i)[None, :] & np.array([np.roll(there, -j) for j in range(period)]) for i in range(period)])
+    return both.argmax(2)
+
+
 def _window_min(h: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of width values."""
     n = len(h)
@@ -126,11 +137,7 @@ def repeats(buckets: np.ndarray, slices: list[bytes], least: int = LEAST, period
         have += more * period
         by_depth[have // period] = grown
     rank = by_depth[steps]
-    # distance from residues (i, j) to where both meet the cover
-    meet = np.zeros((period, period), np.int64)
-    for i in range(period):
-        for j in range(period):
-            meet[i, j] = next(k for k in range(period) if is_cover[(i + k) % period] and is_cover[(j + k) % period])
+    meet = meetings(period)
     # a bucket: anchor and distance to it
     h = slice_hashes(data, np.arange(len(data) - gram + 1), np.arange(gram, len(data) + 1))
     low = _window_min(h, least - gram + 1)[window]
