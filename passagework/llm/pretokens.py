@@ -180,12 +180,14 @@ def distinct(values: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes=slic
     size, lead = end - begin, some[index]
     same = size == size[lead]
     shift = np.where(same, begin[lead] - begin, 0)
-    ends = np.cumsum(size)
+    ends, other = np.cumsum(size), np.repeat(shift, size)
     if len(begin) and (begin[1:] == end[:-1]).all():  # slices without gaps: their values are one run
-        at = np.arange(begin[0], end[-1])
+        own = values[begin[0] : end[-1]]
+        other += np.arange(begin[0], end[-1])
     else:
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
-    off = np.flatnonzero(values[at] != values[at + np.repeat(shift, size)])
+        own, other = values[at], other + at
+    off = np.flatnonzero(own != np.take(values, other, mode="clip"))
     same[np.searchsorted(ends, off, side="right")] = False
     odd = np.flatnonzero(~same)
     if len(odd):
@@ -259,7 +261,7 @@ class TwoGenerations(dict):
 
     def put(self, key: bytes, value, size: int | None = None):
         """size: about how many bytes the value takes; a value of over a thousandth of all is not kept."""
-        size = 300 + 12 * len(key) if size is None else size
+        size = 180 + 5 * len(key) if size is None else size
         if size > self.most // 1000:
             return value
         if self.size + size > self.most:

@@ -24,6 +24,8 @@ from .pretokens import TwoGenerations, pieces, text_runs
 LENGTH, ROWS, END = 2048, 256, 0
 #: Documents in a batch of the index, and documents that are read back at once.
 INDEXED, DOCS = 4096, 4096
+#: Bytes of pieces with their ids that a worker keeps, twice at most, and bytes of text that it works on at once.
+CACHED, AT_ONCE = 64 << 20, 2 << 20
 MANIFEST = "shard int, path string, n_tokens long, n_docs long"
 
 
@@ -39,7 +41,7 @@ def encoder(path: str):
         tokenizer = Tokenizer.from_file(path)
         added = sorted({t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()})
         marks = re.compile(b"|".join(map(re.escape, added))) if added else None
-        cache["tokenizer", path] = tokenizer, TwoGenerations(), marks
+        cache["tokenizer", path] = tokenizer, TwoGenerations(CACHED), marks
     return cache["tokenizer", path]
 
 
@@ -50,7 +52,7 @@ def token_ids(column: pa.Array, path: str, dtype):
     holds an added token, such as an end mark, is encoded by the library as a whole.
     """
     tokenizer, known, marks = encoder(path)
-    for first, texts in text_runs(column):
+    for first, texts in text_runs(column, AT_ONCE, 20_000):
         marked = {k: x for k, x in enumerate(texts) if marks and marks.search(x)}
         distinct, index, per_text = pieces([b"" if k in marked else x for k, x in enumerate(texts)])
         entries = [known[p] for p in distinct]
