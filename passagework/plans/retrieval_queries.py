@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dense, joins, retrieve, verify
+from ..operators import dense, gather, joins, retrieve, verify
 from .registry import query
 from .text_queries import _PLURAL, _STEM, stems_sql, words_sql
 
@@ -198,8 +198,6 @@ def evidence_list(t):
     """V1, V5 in part: for each query its evidence in order, near-equal texts once, under caps and a budget of characters."""
     s = t("documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "text"))
     sized = s.select("doc_id", "pos", F.length("text").alias("length"), verify.letters_key(F.col("text")).alias("key"), F.array_distinct(T.tokens(F.col("text"))).alias("ts"))
-    tok = sized.select("doc_id", "pos", "length", "key", F.explode("ts").alias("token"))
-    q = t("benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    c = q.join(tok, "token").groupBy("item_id", "doc_id", "pos", "length", "key").agg(F.count("*").alias("score"))
-    best = verify.evidence(c, "item_id", "score", "doc_id", "pos", budget=1200, per_source=2)
+    q = t("benchmark").select("item_id", T.tokens(F.col("text")).alias("ts"))
+    best = gather.evidence(q, sized, "item_id", "doc_id", "pos", budget=1200, per_source=2)
     return best.join(s, ["doc_id", "pos"]).select("item_id", "doc_id", "pos", "text", "score", "rank")

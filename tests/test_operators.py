@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import geo
 from passagework.functions import text as T
-from passagework.operators import activity, evaluation, joins, retrieve, rules, tree, verify
+from passagework.operators import activity, evaluation, gather, joins, retrieve, rules, tree, verify
 from passagework.sources import files
 from passagework.streaming import events
 
@@ -154,6 +154,23 @@ def test_evidence_is_the_greedy_choice_from_all_rows(spark):
     assert got == sorted(want) and len({x for x in want if x[0] == "q"}) > 5
 
 
+def test_gathered_evidence_is_the_choice_from_scored_rows(spark):
+    import random
+
+    random.seed(9)
+    texts = [" ".join(random.choices("abcdefghij", k=random.randint(1, 8))) for _ in range(60)]
+    rows = [(d % 120, d // 120, t, t.split()) for d, t in enumerate(random.choices(texts, k=600))] + [(500, 0, "", []), (None, 0, "a", ["a"])]
+    s = spark.createDataFrame(rows, "d long, pos int, key string, ts array<string>").withColumn("length", F.length("key") + 3)
+    q = spark.createDataFrame([(i, random.sample("abcdefghijk", 4)) for i in range(6)] + [(7, []), (8, ["zz"])], "q int, ts array<string>")
+    tok = s.filter("d is not null").select("d", "pos", "length", "key", F.explode(F.array_distinct("ts")).alias("w"))
+    scored = q.select("q", F.explode("ts").alias("w")).join(tok, "w").groupBy("q", "d", "pos", "length", "key").agg(F.count("*").alias("score"))
+    for step, words in ((3, 10), (96, 20_000)):
+        want = sorted(map(tuple, verify.evidence(scored, "q", "score", "d", "pos", 90, 2).select("q", "rank", "d", "pos", "score").collect()))
+        got = sorted(map(tuple, gather.evidence(q, s.repartition(4), "q", "d", "pos", 90, 2, step, words).select("q", "rank", "d", "pos", "score").collect()))
+        assert got == want and len(want) > 20
+    assert gather.evidence(q.limit(0), s, "q", "d", "pos", 90, 2).count() == 0 == gather.evidence(q, s.limit(0), "q", "d", "pos", 90, 2).count()
+
+
 def test_deep_and_wide_trees(spark):
     deep = spark.range(1, 71).select("id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"))
     assert tree.ancestors(deep).count() == 70 * 71 // 2
