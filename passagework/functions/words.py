@@ -111,3 +111,18 @@ def packed(words: Column, most: int) -> Column:
     fits = lambda acc, w: (F.size(acc) > 0) & (F.length(last(acc)) + 1 + F.length(w) <= most)
     step = lambda acc, w: F.when(fits(acc, w), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", last(acc), w)))).otherwise(F.concat(acc, F.array(w)))
     return F.aggregate(words, F.array().cast("array<string>"), step)
+
+
+def aligned(a: Column, b: Column, window: int = 4, most: float = 0.6) -> Column:
+    """For each word of an array its place (from 1) in another, in order: the closest of the next few words by edit
+    distance over the word's length, the first of equals; null where it is further than most. Null arrays give null."""
+    kind = "struct<at:int,places:array<int>>"
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("places")).cast(kind)
+
+    def step(s: Column, w: Column) -> Column:
+        ahead = F.slice(b, s["at"], F.lit(window))
+        found = F.array_min(F.transform(ahead, lambda x, i: F.struct((F.levenshtein(w, x) / F.greatest(F.length(w), F.lit(1))).alias("d"), (s["at"] + i).alias("j"))))
+        hit = F.transform(F.array(found), lambda f: F.when(f["d"] <= most, f["j"]))
+        return F.transform(hit, lambda j: F.struct(F.coalesce(j + 1, s["at"]).alias("at"), F.concat(s["places"], F.array(j)).alias("places")))[0].cast(kind)
+
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(a, start, step, lambda s: s["places"]))

@@ -62,3 +62,37 @@ def nearest(queries: DataFrame, rows: DataFrame, query_key: str, key: str, vecto
     found = dealt.union(asked).groupBy("b", "q").applyInArrow(best, f"`{query_key}` long, `{key}` long, score double")
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def principal(rows: DataFrame, vector: str, dim: int, out: int) -> list[list[float]]:
+    """The first directions of the uncentred decomposition of unit vectors, greatest first: out lists of dim numbers.
+
+    Each task sums the products of its components; only these matrices, dim by dim each, meet, and the sum comes to the
+    driver. Vectors that are null, zero, of another length or hold null or non-finite components do not count. The
+    largest component of a direction is positive.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def sums(batches):
+        total = np.zeros((dim, dim))
+        for batch in batches:
+            m = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            m = m / np.linalg.norm(m, axis=1, keepdims=True)
+            total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim), pa.int32()), pa.array(total.ravel())], names=["cell", "x"])
+
+    v = rows.select(F.col(vector).cast("array<double>").alias("v")).filter((F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    cells = v.mapInArrow(sums, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()  # dim * dim numbers
+    gram = np.zeros(dim * dim)
+    for cell, x in cells:
+        gram[cell] = x
+    values, directions = np.linalg.eigh(gram.reshape(dim, dim))
+    first = directions[:, np.argsort(-values)[:out]].T
+    signs = np.sign(first[np.arange(len(first)), np.abs(first).argmax(axis=1)])
+    return (first * signs[:, None]).tolist()
+
+
+def onto(v: Column, directions: list[list[float]]) -> Column:
+    """The products of a vector with each direction."""
+    return F.array(*[dot(v, F.array(*map(F.lit, d))) for d in directions])

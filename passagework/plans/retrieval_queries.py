@@ -186,6 +186,17 @@ def topk_overlap(t):
     return both.groupBy("query_id").agg(F.round(F.count_if(F.col("in_full").isNotNull() & F.col("in_half").isNotNull()) / 40, 4).alias("overlap"))
 
 
+@query("principal_overlap")
+def principal_overlap(t):
+    """How much of the top 40 the first 32 directions of the decomposition keep, with rows as bytes."""
+    e = t("embeddings").select("vec_id", "embedding")
+    short = e.withColumn("embedding", dense.onto(F.col("embedding"), dense.principal(e, "embedding", 64, 32)))
+    tops = dense.nearest(e.filter("vec_id % 50 = 0"), e, "query_id", "vec_id", "embedding", 40)
+    less = dense.nearest(short.filter("vec_id % 50 = 0"), short.withColumn("embedding", dense.quantise(F.col("embedding"))), "query_id", "vec_id", "embedding", 40)
+    both = tops.select("query_id", "vec_id", F.lit(1).alias("a")).join(less.select("query_id", "vec_id", F.lit(1).alias("b")), ["query_id", "vec_id"], "full")
+    return both.groupBy("query_id").agg(F.round(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()) / 40, 4).alias("overlap"))
+
+
 @query("grounding_violations", "SELECT count(*) AS n, count(*) FILTER (WHERE NOT contains(d.text, s.s)) AS violations FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*')) AS s FROM documents) s JOIN documents d USING (doc_id)")
 def grounding_violations(t):
     """Every quoted sentence must be an exact substring of its source."""

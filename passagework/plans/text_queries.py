@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import rules
 from .registry import query
 
 DIG = f"translate(%s, '{T.DIGITS[0]}', '{T.DIGITS[1]}')"
@@ -143,6 +144,39 @@ def spoken_clean(t):
     return t("conversations").select("conv_id", "turn", F.trim(F.regexp_replace(F.regexp_replace(low, filler, " "), " +", " ")).alias("kept"), low.rlike(filler).alias("changed"))
 
 
+SPOKEN = {"filler": ["the", "le", "der"], "polite": ["la", "die"], "q": ["et", "and", "und"], "want": ["une", "an"], "ask": ["dans", "with"], "frame_verb": ["est", "is", "re"], "subject": ["it", "en", "in"], "prep": ["of", "on", "ou"], "lone": ["at", "eux"]}
+PHRASES = {"avec un": "ask", "for that": "want"}
+
+
+def _spoken_sql() -> str:
+    own = lambda *names: "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(w) for w in SPOKEN[n])}) THEN '{n}'" for n in names) + " END"
+    has = lambda name: f"w IN ({', '.join(repr(w) for w in SPOKEN[name])})"
+    pair = lambda x: f"CASE {x} " + " ".join(f"WHEN '{p}' THEN '{k}'" for p, k in PHRASES.items()) + " END"
+    order = "PARTITION BY conv_id, turn ORDER BY i"
+    past, rest = f"({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", f"({order} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    run = lambda f, test, over, value="coalesce(k, '')": f"{f}(CASE WHEN NOT ({test}) THEN {value} END IGNORE NULLS) OVER {over}"
+    base = "conv_id, turn, i, w"
+    return f"""WITH a0 AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT conv_id, turn, string_split({LATIN % "coalesce(text, '')"}, ' ') AS ws FROM conversations)),
+a1 AS (SELECT {base}, {own("filler", "polite")} AS k FROM a0),
+a2 AS (SELECT {base}, coalesce(k, CASE WHEN k IS NULL THEN coalesce({pair("l || ' ' || w")}, {pair("w || ' ' || n")}) END) AS k FROM (SELECT *, lag(w) OVER v AS l, lead(w) OVER v AS n FROM a1 WINDOW v AS (PARTITION BY conv_id, turn, k IS NULL ORDER BY i))),
+a3 AS (SELECT {base}, coalesce(k, {own("want", "ask")}, CASE WHEN {has("q")} AND s = 0 THEN 'q' END) AS k FROM (SELECT *, count(*) FILTER (WHERE k IS NULL AND {own("want", "ask", "q")} IS NULL) OVER {past} AS s FROM a2)),
+a4 AS (SELECT {base}, k, coalesce(k IS NULL AND {has("frame_verb")} AND (coalesce(b IN ('q', 'polite', 'filler', 'want', 'ask'), false) OR coalesce(n IN ('q', 'ask'), false) OR coalesce(s, false)), false) AS f FROM (SELECT *, lag(k) OVER v AS b, lead(k) OVER v AS n, lead({has("subject")}) OVER v AS s FROM a3 WINDOW v AS ({order}))),
+a5 AS (SELECT {base}, CASE WHEN f OR (k IS NULL AND {has("subject")} AND coalesce(r, false)) THEN 'frame' ELSE k END AS k FROM (SELECT *, {run("last", f"k IS NULL AND {has('subject')} AND NOT f", past, "f")} AS r FROM a4)),
+a6 AS (SELECT {base}, coalesce(k, CASE WHEN {has("subject")} AND r IN ('frame', 'q') THEN 'frame' END) AS k FROM (SELECT *, {run("first", f"k IS NULL AND {has('subject')}", rest)} AS r FROM a5)),
+a7 AS (SELECT {base}, coalesce(k, CASE WHEN {has("prep")} AND r <> '' AND n IS NOT NULL THEN 'frame' END) AS k FROM (SELECT *, {run("last", f"k IS NULL AND {has('prep')}", past)} AS r, lead(i) OVER ({order}) AS n FROM a6)),
+a8 AS (SELECT {base}, coalesce(k, CASE WHEN {has("lone")} AND r <> '' THEN r END) AS k FROM (SELECT *, {run("last", f"k IS NULL AND {has('lone')}", past)} AS r FROM a7))
+SELECT conv_id, turn, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE k IS NULL), '') AS kept, coalesce(string_agg(DISTINCT k, ',' ORDER BY k), '') AS kinds, count(k) AS n_removed FROM a8 GROUP BY ALL"""
+
+
+@query("spoken_passes", _spoken_sql())
+def spoken_passes(t):
+    """Spoken questions cleaned in seven passes: what stays, and why words were left out."""
+    w = t("conversations").select("conv_id", "turn", F.posexplode(F.split(T.latin(F.coalesce("text", F.lit(""))), " ")).alias("i", "w"))
+    r = rules.spoken(w, ["conv_id", "turn"], "i", "w", SPOKEN, PHRASES)
+    stays = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isNull(), F.struct("i", "w")))), lambda x: x["w"])
+    return r.groupBy("conv_id", "turn").agg(F.array_join(stays, " ").alias("kept"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count("kind").alias("n_removed"))
+
+
 _W = words_sql("documents", "doc_id", extra=", source")
 
 

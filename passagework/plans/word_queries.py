@@ -255,3 +255,16 @@ def transcript_repair(t):
     r = tries.withColumn("fixed", fixed)
     words = F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("fixed", "w").alias("w")))), lambda x: x["w"])
     return r.groupBy("item_id").agg(F.array_join(words, " ").alias("repaired"), F.count("fixed").alias("n_fixed"))
+
+
+@query("word_alignment", f"""WITH RECURSIVE t AS (SELECT x.conv_id, x.turn, string_split({LATIN % "coalesce(x.text, '')"}, ' ') AS a, string_split({LATIN % "coalesce(y.text, '')"}, ' ') AS b FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1),
+s AS (SELECT conv_id, turn, a, b, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS place FROM t
+UNION ALL SELECT conv_id, turn, a, b, i + 1, CASE WHEN f.d <= 0.6::DOUBLE THEN f.j + 1 ELSE k END, CASE WHEN f.d <= 0.6::DOUBLE THEN f.j END FROM
+(SELECT *, list_sort(list_transform(range(k, least(k + 4, len(b) + 1)), lambda j: {{'d': levenshtein(a[i + 1], b[j]) / CAST(greatest(length(a[i + 1]), 1) AS DOUBLE), 'j': j}}))[1] AS f FROM s WHERE i < len(a)))
+SELECT conv_id, turn, CAST(i AS INT) AS i, a[i] AS word, CAST(place AS INT) AS place FROM s WHERE i > 0""")
+def word_alignment(t):
+    """The words of a turn aligned in order with those of the next, each with the closest of the next four."""
+    c = t("conversations").select("conv_id", "turn", F.split(T.latin(F.coalesce("text", F.lit(""))), " ").alias("a"))
+    both = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
+    each = both.select("conv_id", "turn", F.posexplode(F.arrays_zip("a", W.aligned(F.col("a"), F.col("b")).alias("place"))).alias("p", "x"))
+    return each.select("conv_id", "turn", (F.col("p") + 1).alias("i"), F.col("x.a").alias("word"), F.col("x.place").alias("place"))

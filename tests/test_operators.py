@@ -257,3 +257,50 @@ def test_nearest_in_blocks(spark):
         s = np.round(u @ u[q], 6)
         want += [(q, k + 1, i) for k, (_, i) in enumerate(sorted((-s[i], i) for i in range(90) if i != q)[:4])]
     assert got == sorted(want)
+
+
+def test_principal_directions(spark):
+    import numpy as np
+
+    from passagework.operators import dense
+
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((200, 5)) * [5, 3, 2, 1, 0.5]
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(900, None), (901, [0.0] * 5), (902, [1.0]), (903, [float("nan")] * 5), (904, [None, 1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = dense.principal(df, "v", 5, 3)
+    right = np.linalg.svd(m / np.linalg.norm(m, axis=1, keepdims=True), full_matrices=False)[2][:3]
+    assert np.allclose(np.abs(np.sum(np.array(got) * right, axis=1)), 1)
+    there = np.array([r[0] for r in df.filter("id < 200").orderBy("id").select(dense.onto(F.col("v"), got)).collect()])
+    assert np.allclose(there, m @ np.array(got).T)
+    assert len(dense.principal(df.filter("id < 0"), "v", 5, 2)) == 2
+
+
+def test_spoken_passes(spark):
+    lists = {"filler": ["uh"], "polite": ["please"], "q": ["what", "how"], "want": ["want"], "ask": ["tell"], "frame_verb": ["says"], "subject": ["it", "book"], "prep": ["about", "of"], "lone": ["me"]}
+    cases = {
+        "uh what says it book about patience": "patience",
+        "what book says it": "",
+        "please tell about me how people what": "how people what",
+        "please tell me patience": "patience",
+        "tell me of people": "of people",
+        "i uh need patience": "patience",
+        "patience says it book of people": "patience people",
+        "it": "it",
+        "people about": "people about",
+        "what": "",
+    }
+    rows = [(k, i, w) for k, text in enumerate(cases) for i, w in enumerate(text.split(" "))]
+    r = rules.spoken(spark.createDataFrame(rows, "k int, i int, w string"), ["k"], "i", "w", lists, {"i need": "want"}).collect()
+    for k, want in enumerate(cases.values()):
+        assert " ".join(x.w for x in sorted(r, key=lambda x: x.i) if x.k == k and x.kind is None) == want
+    with pytest.raises(ValueError, match="ends as another"):
+        rules.spoken(spark.createDataFrame(rows, "k int, i int, w string"), ["k"], "i", "w", lists, {"a b": "ask", "b c": "ask"})
+
+
+def test_aligned(spark):
+    from passagework.functions import words
+
+    rows = [(["one", "too", "three"], ["x", "on", "two", "y", "tree"]), ([], ["a"]), (["a"], []), (None, ["a"])]
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<string>, b array<string>").select(words.aligned(F.col("a"), F.col("b"))).collect()]
+    assert got == [[2, 3, 5], [], [None], None]
