@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, capfilters, mixing, ngramjoin, quality, secrets, suffixdedup, tokenfile, topk, warc
+from . import bpe, capfilters, hardneg, manifest, mixing, ngramjoin, quality, secrets, suffixdedup, tokenfile, topk, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,5 +17,7 @@ QUERIES: dict[str, Callable] = {
     "op8_ngram_join": ngramjoin.op8_ngram_join,
     "op9_quality": quality.op9_quality,
     "op10_warc": warc.op10_warc,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
 }
-SQL: dict[str, str] = {**mixing.SQL, **warc.SQL, **topk.SQL, **capfilters.SQL, **ngramjoin.SQL}
+SQL: dict[str, str] = {**mixing.SQL, **warc.SQL, **topk.SQL, **capfilters.SQL, **ngramjoin.SQL, **manifest.SQL, **hardneg.SQL}
