@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, capfilters, hardneg, manifest, mixing, ngramjoin, quality, secrets, suffixdedup, tokenfile, topk, warc
+from . import bpe, capfilters, hardneg, manifest, mixing, ngramjoin, postings, quality, secrets, suffixdedup, tokenfile, topk, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable] = {
     "op10_warc": warc.op10_warc,
     "op11_merkle_manifest": manifest.op11_merkle_manifest,
     "op12_hard_negatives": hardneg.op12_hard_negatives,
+    "op13_posting_lists": postings.op13_posting_lists,
 }
 SQL: dict[str, str] = {**mixing.SQL, **warc.SQL, **topk.SQL, **capfilters.SQL, **ngramjoin.SQL, **manifest.SQL, **hardneg.SQL}
