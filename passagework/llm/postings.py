@@ -20,13 +20,14 @@ from .blocks import past_blocks, vectors_of
 from .common import materialize, table
 from .topk import valid
 
-K, EVERY, TARGET = 10, 100, 0.98
+K, EVERY, TARGET = 10, 100, 0.97
 #: Rows a list should have, centroids at most (the graph's size bound), and the most rows that a task holds.
 LISTED, CENTROIDS, ROWS = 256, 16_384, 65_536
 #: Rows that the centroids are fitted on for each of them (about), and queries that set the ratio.
 FITTED, TRIED = 16, 128
-#: A boundary vector's further lists: how much farther their centroids may be, and lists at most.
-BOUNDARY, COPIES, DEGREE = 1.1, 4, 24
+#: A boundary vector's further lists: how much farther their centroids may be, how far from those of its other lists
+#: (as a share of their own distance), and lists at most. Neighbours of a centroid in the graph.
+BOUNDARY, APART, COPIES, DEGREE = 1.1, 0.5, 4, 24
 
 
 def bisected(points: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -82,7 +83,7 @@ class Graph:
                 out[r, c] = np.sqrt(np.maximum(length[0][r] + length[1][c] - 2 * np.einsum("ij,ij->i", q[r], self.c[c]), 0))
 
     def lists(self, v: np.ndarray, boundary: float = BOUNDARY, copies: int = COPIES) -> list[list[int]]:
-        """Each vector's lists: the nearest, and others within the boundary whose centroids are nearer to it than to those chosen."""
+        """Each vector's lists: the nearest, and others within the boundary whose centroids are not close to those chosen."""
         far, out = self.search(v, boundary), []
         order = np.argsort(far, axis=1, kind="stable")[:, : copies * 4]
         for row, near in zip(far, order.tolist(), strict=True):
@@ -90,7 +91,7 @@ class Graph:
             for c in near:
                 if len(chosen) == copies or row[c] > boundary * row[near[0]]:
                     break
-                if all(((self.c[c] - self.c[o]) ** 2).sum() > row[c] ** 2 for o in chosen):
+                if all(((self.c[c] - self.c[o]) ** 2).sum() > (APART * row[c]) ** 2 for o in chosen):
                     chosen.append(c)
             out.append(chosen or near[:1])
         return out
