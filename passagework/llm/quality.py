@@ -135,10 +135,13 @@ def fit(rows: list, grades: int = GRADES, least_z: float = LEAST_Z, rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of the labelled documents. At most sample rows of features reach the driver; the sample's ids are broadcast."""
+    """The model of the labelled documents. Of the rows of the sample's ids, equal ones once, at most sample of least hash reach
+    the driver; the sample's ids and these hashes are broadcast. Rows without an id do not count."""
     chosen = F.broadcast(graded(labels, sample))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    return fit([tuple(r) for r in rows_of(named.select("grade", "text"), "grade").collect()])
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").withColumn("h", F.xxhash64("doc_id", "grade", "text"))
+    least = named.select("h").distinct().orderBy("h").limit(sample)
+    some = named.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])
+    return fit([tuple(r) for r in rows_of(some.select("grade", "text"), "grade").collect()])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -172,6 +175,7 @@ def select(docs: DataFrame, labels: DataFrame, tail: float = TAIL, sample: int =
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps; null and empty texts are judged by the thresholds, long ones as a whole."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return select(docs, table(spark, sf_dir, "labels")).select("doc_id", "expected_grade", "tail_probability", F.lit(True).alias("kept"))
 

@@ -1,8 +1,9 @@
 """Operator 7: secret scans. DataFrame functions only.
 
-Three base rules find assignments, access keys and long hexadecimal strings. To these come long tokens that a character
-Markov model of random strings explains better than one of ordinary identifiers; both models are bigram tables trained
-on labelled samples, and a token's score is the log-likelihood ratio of its characters.
+Three base rules find assignments, access keys and long hexadecimal strings. To these come tokens of 12 characters and more
+that a character Markov model of random strings explains better than one of ordinary identifiers; both models are bigram
+tables trained on labelled samples, and a token's score is the log-likelihood ratio of its characters. Tokens without a
+letter and UUIDs are names, not secrets.
 """
 
 from __future__ import annotations
@@ -20,34 +21,79 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-TOKEN, TOKEN_LEAST = "[A-Za-z0-9+/_=-]", 20
-#: Log-likelihood ratio a character from which a token counts as random, and over the whole token.
-PER_CHARACTER, IN_ALL = 0.75, 20.0
+#: Symbols of the models: letters, one symbol for all digits, and signs.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0+/_=-"
+TOKEN, TOKEN_LEAST = "[A-Za-z0-9+/_=-]", 12
+#: Tokens that name a thing by chance digits, as an identifier does.
+UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+#: Log-likelihood ratio a character pair from which a token counts as random, and over the whole token.
+PER_CHARACTER, IN_ALL = 0.7, 12.0
 #: Values that running() folds, and characters that cut() scans, at once.
 BLOCK, TEXT_BLOCK = 128, 4096
-#: Bounds of the training sample: documents whose words serve as ordinary identifiers, and random strings.
-SAMPLE_DOCS, RANDOM_STRINGS, SMOOTHING, BACK_OFF = 400, 3000, 0.5, 20.0
+#: Bounds of the training sample: documents whose words go into identifiers, identifiers of each, made ones, random strings.
+SAMPLE_DOCS, FROM_EACH, MADE, RANDOM_STRINGS, SMOOTHING, BACK_OFF = 400, 10, 4000, 3000, 0.5, 20.0
+#: Words that programs name things with, of which ordinary identifiers are made.
+WORDS = """account action address admin agent allow apply archive async audit author base batch before binary block
+board border bridge browser build button cache cancel card case cell center chain channel check child clean client
+clone cluster code color command compare complete connect content context copy count create custom data date decode
+default delete detail device digest display document domain draw driver email engine entry error example export
+extract feature fetch field filter find flag format frame from general get global handle header history host image
+import init input insert item job join key label language length level link load local lock main manager map match
+memory message mode model name network next node number object offset option order output page panel parent password
+path payload player plugin point pool port post print process product project property provider quantity quick quota
+read record redirect region release remote render report reset return role route rule run save scan scope screen send
+set shell size sort spec start state status stop sum sync table tag task text theme time token tool top tree trigger
+type unique unit update user value version wait watch web width word wrap xml year zip""".split()
+
+
+def symbols(text: Column) -> Column:
+    """All digits as one symbol."""
+    return F.translate(text, "123456789", "000000000")
 
 
 def bigrams(labelled: DataFrame) -> DataFrame:
     """(random, pair, n) for labelled strings (text, random)."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2)))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(symbols(F.col("text")), i, F.lit(2)))
     return labelled.filter(F.length("text") > 1).select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
 
 
-def labelled_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
-    """(text, random): random strings in three alphabets, and words of the sample_docs distinct texts of least hash."""
+def identifier(words: Column, by: Column) -> Column:
+    """An identifier of up to six words: joined by a sign, in capitals, in camel case, as a path, or with a number; by chooses."""
+    low = F.transform(words, F.lower)
+    title = F.array_join(F.transform(low, F.initcap), "")
+    camel = F.concat(F.element_at(low, 1), F.array_join(F.transform(F.slice(low, 2, 5), F.initcap), ""))
+    shapes = [
+        F.array_join(low, "_"), F.array_join(low, "-"), title, camel, F.upper(F.array_join(low, "_")), F.array_join(low, "/"),
+        F.concat(F.lit("/"), F.array_join(low, "/"), F.lit("/"), title), F.concat(F.array_join(low, "-"), F.pmod(by, F.lit(2031)).cast("string")), F.array_join(low, ""),
+    ]
+    return F.when(F.size(words) > 0, F.element_at(F.array(*shapes), (F.pmod(by, F.lit(len(shapes))) + 1).cast("int")))
+
+
+def labelled_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, random_strings: int = RANDOM_STRINGS, made: int = MADE) -> DataFrame:
+    """(text, random): random strings in four alphabets; and identifiers of nine shapes, made of a list of words and of
+    neighbouring words of the sample_docs distinct texts of least hash, whose base matches are taken out before."""
     spark = docs.sparkSession
+    drawn = lambda *x: F.xxhash64(F.lit("secret"), *x)
     seed = F.sha2(F.concat(F.lit("secret:"), F.col("id").cast("string")).cast("binary"), 256)
-    coded = F.translate(F.base64(F.unhex(seed)), "=", "")
-    made = F.when(F.col("id") % 3 == 0, F.substring(seed, 1, 40)).when(F.col("id") % 3 == 1, coded).otherwise(F.upper(F.translate(coded, "+/", "QZ")))
-    positive = spark.range(random_strings).select(made.alias("text"), F.lit(True).alias("random"))
+    coded = F.translate(F.base64(F.unhex(F.concat(seed, seed.substr(1, 8)))), "=", "")
+    low = F.lower(F.translate(coded, "+/", "q7"))
+    strings = F.element_at(F.array(coded, F.translate(coded, "+/", "kW"), F.upper(low), low), (F.col("id") % 4 + 1).cast("int"))
+    positive = spark.range(random_strings).select(F.substring(strings, F.lit(1), (F.pmod(drawn("id"), F.lit(33)) + 16).cast("int")).alias("text"), F.lit(True).alias("random"))
+
+    n = lambda key: (F.pmod(drawn(*key, F.lit("n")), F.lit(5)) + 2).cast("int")
+    word = lambda i: F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.xxhash64("id", i), F.lit(len(WORDS))) + 1).cast("int"))
+    own = spark.range(made).select(identifier(F.transform(F.sequence(F.lit(1), n(["id"])), word), drawn("id", F.lit("shape"))).alias("text"), F.lit(False))
+
     texts = docs.select("text", F.xxhash64("text").alias("h")).filter("text <> ''")
     least = texts.select("h").distinct().orderBy("h").limit(sample_docs)  # copies count once; the texts themselves stay where they are
     some = texts.join(F.broadcast(least), "h", "left_semi").distinct().orderBy("h", "text").limit(sample_docs)
-    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN + "{4,19}"), F.lit(0))).alias("text"))
-    return positive.union(words.select("text", F.lit(False)))
+    bare = F.col("text")
+    for rule in (ASSIGN, ACCESS, HEX.replace("+", f"{{{HEX_LEAST},}}")):
+        bare = F.regexp_replace(bare, rule, " ")
+    words = some.select("h", F.regexp_extract_all(bare, F.lit("[A-Za-z]{3,12}"), F.lit(0)).alias("w")).filter(F.size("w") > 0)
+    words = words.select("w", F.explode(F.transform(F.sequence(F.lit(1), F.lit(FROM_EACH)), lambda k: F.xxhash64("h", k))).alias("at"))
+    found = words.select(identifier(F.slice("w", (F.pmod("at", F.size("w")) + 1).cast("int"), n(["at"])), drawn("at", F.lit("shape"))).alias("text"), F.lit(False))
+    return positive.union(own).union(found)
 
 
 def train(labelled: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
@@ -92,7 +138,7 @@ def running(values: Column, join) -> Column:
 def ratio(text: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of each character pair of a string, summed."""
     held = F.split(F.lit(" ".join(f"{x:.6f}" for x in model)), " ").cast("array<double>")
-    places = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
+    places = F.transform(F.regexp_extract_all(symbols(text), F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
     pair = lambda a, b: F.element_at(held, (a - 1) * len(ALPHABET) + b)
     pairs = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), pair)
     return F.aggregate(let(places, pairs), F.lit(0.0), lambda acc, x: acc + x)
@@ -140,7 +186,8 @@ def secrets_in(text: Column, model: list[float], per_character: float = PER_CHAR
         matches(text, HEX.replace("+", f"{{{HEX_LEAST},}}"), 2, text.rlike(HEX.replace("+", f"{{{HEX_LEAST}}}"))),
     )
     tokens = matches(text, f"{TOKEN}{{{TOKEN_LEAST},}}", 3, text.rlike(f"{TOKEN}{{{TOKEN_LEAST}}}"))
-    high = lambda t: let(ratio(t["word"], model), lambda r: (r >= in_all) & (r >= per_character * (F.length(t["word"]) - 1)))
+    named = lambda t: ~t["word"].rlike("[A-Za-z]") | t["word"].rlike(UUID)
+    high = lambda t: ~named(t) & let(ratio(t["word"], model), lambda r: (r >= in_all) & (r >= per_character * (F.length(t["word"]) - 1)))
     return let(F.struct(base.alias("base"), tokens.alias("tokens")), lambda x: F.array_sort(F.concat(x["base"], F.filter(apart(x["tokens"], x["base"]), high))))
 
 
@@ -194,6 +241,7 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; null and empty texts have none, and texts of any length are scanned whole."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_secrets(docs, train(labelled_strings(docs)))
     count = lambda k: F.size(F.filter("secrets", lambda s: s.kind == k)).cast("long")
