@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dense, gather, joins, retrieve, verify
+from ..operators import alignment, blockmax, dense, gather, joins, retrieve, verify
 from .registry import query
 from .text_queries import _PLURAL, _STEM, stems_sql, words_sql
 
@@ -23,16 +23,34 @@ def found_in(t, queries=None):
     return retrieve.search_all(queries or t("benchmark"), "item_id", F.col("text"), t("documents"), "doc_id", F.col("text"))
 
 
+_INDEXES: dict[tuple, blockmax.Index] = {}
+
+
+def index_of(t):
+    """The index of the documents' texts, built once for a session and table and then kept."""
+    docs = t("documents")
+    name = docs.sparkSession.sparkContext.applicationId, *sorted(docs.inputFiles())
+    if name not in _INDEXES:
+        _INDEXES[name] = blockmax.build(docs, "doc_id", {"text": (F.col("text"), 1.0)}, near=[F.col("lang"), F.length("text")])
+    return _INDEXES[name]
+
+
+def best_of(t, k):
+    """The k best documents of each benchmark text."""
+    return blockmax.top_k(index_of(t), t("benchmark"), "item_id", F.col("text"), k)
+
+
 @query("bm25_topk", f"WITH {BM25} SELECT item_id, doc_id, score, coverage, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5")
 def bm25_topk(t):
-    """The five best documents of each benchmark text."""
-    return retrieve.best(found_in(t), "item_id", [F.desc("score"), F.col("doc_id")], 5).select("item_id", "doc_id", "score", "coverage", "rank")
+    """The five best documents of each benchmark text, from the index of blocks with maxima."""
+    return best_of(t, 5).select("item_id", "doc_id", "score", "coverage", "rank")
 
 
 @query("bm25_pruned", f"WITH {BM25}, m AS (SELECT *, hits = asked AS fullhit, count(*) FILTER (WHERE hits = asked) OVER w AS nf, max(score) OVER w AS top, max(CASE WHEN hits = asked THEN score END) OVER w AS topf FROM f WINDOW w AS (PARTITION BY item_id)) SELECT item_id, doc_id, score FROM m WHERE CASE WHEN asked > 1 AND nf = 0 THEN false WHEN nf >= 5 OR asked = 1 THEN fullhit AND score >= 0.3::DOUBLE * topf ELSE (fullhit OR coverage >= 0.5) AND score >= 0.3::DOUBLE * top END")
 def bm25_pruned(t):
-    """Relevance cut-offs."""
-    return retrieve.pruned(found_in(t), "item_id").select("item_id", "doc_id", "score")
+    """Relevance cut-offs, over the blocks of the index that may hold what they keep."""
+    found = blockmax.above(index_of(t), t("benchmark"), "item_id", F.col("text"), share=0.3, least=0.5)
+    return retrieve.pruned(found, "item_id").select("item_id", "doc_id", "score")
 
 
 @query("bm25_coverage_score", f"WITH {BM25} SELECT item_id, doc_id, round(score * (0.4 + 0.6 * coverage * coverage), 3) AS adjusted FROM f WHERE coverage >= 0.5")
@@ -50,16 +68,25 @@ def weak_tokens(t):
     return df.join(F.broadcast(docs.agg(F.count("*").alias("n"))), F.col("df") > 0.1 * F.col("n")).select("token", "df")
 
 
-_ROLES = f"SELECT conv_id, role, {_STEM} AS token FROM (SELECT *, {_PLURAL.format(w='w')} AS p FROM ({words_sql('conversations', 'conv_id', extra=', role')}))"
+_ROLE_TEXTS = "SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, role"
+_FIELDS = {"user": 1.0, "assistant": 0.7, "system": 0.35}
 
 
-@query("multi_field_bm25", f"WITH a AS (SELECT conv_id, role, token, count(*) AS tf FROM ({_ROLES}) GROUP BY ALL) SELECT conv_id, round(sum(CASE role WHEN 'user' THEN 1.0::DOUBLE WHEN 'assistant' THEN 0.7::DOUBLE WHEN 'system' THEN 0.35::DOUBLE END * ln(1 + tf)), 4) AS weight FROM a GROUP BY conv_id")
+@query("multi_field_bm25", f"""WITH ft AS ({_ROLE_TEXTS}), n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations),
+p AS (SELECT conv_id, role, token, count(*) AS tf, any_value(len) AS len FROM (SELECT *, count(*) OVER (PARTITION BY conv_id, role) AS len FROM (SELECT conv_id, role, {_STEM} AS token FROM (SELECT *, {_PLURAL.format(w='w')} AS p FROM ({words_sql('ft', 'conv_id', extra=', role')})))) GROUP BY conv_id, role, token),
+df AS (SELECT role, token, count(*) AS df FROM p GROUP BY role, token), mean AS (SELECT role, greatest(sum(tf) / any_value(n), 1.0) AS mean FROM p, n GROUP BY role),
+w AS (SELECT p.conv_id, p.token, CASE p.role WHEN 'user' THEN 1.0::DOUBLE WHEN 'assistant' THEN 0.7::DOUBLE WHEN 'system' THEN 0.35::DOUBLE END * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS w FROM p JOIN df USING (role, token) JOIN mean USING (role), n WHERE p.role IN ('user', 'assistant', 'system')),
+q AS (SELECT DISTINCT item_id, token FROM ({stems_sql('benchmark', 'item_id')})),
+f AS (SELECT item_id, conv_id, round(sum(w), 4) AS score, count(DISTINCT q.token) AS hits FROM q JOIN w ON w.token = q.token GROUP BY item_id, conv_id)
+SELECT item_id, conv_id, score, hits, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id) AS rank FROM f) WHERE rank <= 10""")
 def multi_field(t):
-    """Fields weighted by a table of weights."""
-    spark = t("conversations").sparkSession
-    weight = spark.createDataFrame([("user", 1.0), ("assistant", 0.7), ("system", 0.35)], "role string, w double")
-    rows = t("conversations").select("conv_id", "role", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("conv_id", "role", "token").agg(F.count("*").alias("tf"))
-    return rows.join(F.broadcast(weight), "role").groupBy("conv_id").agg(F.round(F.sum(F.col("w") * F.log(1 + F.col("tf"))), 4).alias("weight"))
+    """The ten best conversations of each benchmark text; what user, assistant and system say are fields, each with its
+    own frequencies and mean length, whose scores add up by weight."""
+    said = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    roles = t("conversations").filter("text is not null").groupBy("conv_id", "role").agg(F.array_join(F.transform(said, lambda x: x.text), " ").alias("text"))
+    wide = t("conversations").select("conv_id").distinct().join(roles.groupBy("conv_id").pivot("role", list(_FIELDS)).agg(F.first("text")), "conv_id", "left")
+    index = blockmax.build(wide, "conv_id", {role: (F.col(role), w) for role, w in _FIELDS.items()})
+    return blockmax.top_k(index, t("benchmark"), "item_id", F.col("text"), 10).select("item_id", "conv_id", "score", "hits", "rank")
 
 
 @query("synonym_groups", f"""WITH {BM25}, syn AS (SELECT token, min(token) OVER (PARTITION BY substr(token, 1, 4)) AS grp FROM dfs WHERE length(token) >= 4),
@@ -89,7 +116,7 @@ def round_robin_fusion(t):
 @query("group_rank", f"WITH {BM25}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 20), g AS (SELECT item_id, source, round(sum(1.0 / rank), 4) AS weight, count(*) AS n FROM b JOIN documents USING (doc_id) GROUP BY ALL) SELECT item_id, source, weight, n, CAST(row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, source) AS INT) AS group_rank FROM g")
 def group_rank(t):
     """Groups of results by reciprocal ranks."""
-    b = retrieve.best(found_in(t), "item_id", [F.desc("score"), F.col("doc_id")], 20)
+    b = best_of(t, 20)
     return retrieve.group_rank(b.join(t("documents").select("doc_id", "source"), "doc_id"), "item_id", "source")
 
 
@@ -115,12 +142,26 @@ def quote_exact(t):
 
 @query("quote_near")
 def quote_near(t):
-    """Longest common subsequence of each benchmark text with all documents, and a verdict; without a shared
-    word it is notfound."""
+    """Longest common subsequence of each benchmark text with all documents, the places of its matched words, and a
+    verdict; without a shared word it is notfound."""
     found = verify.verdicts(t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text"), "item_id", "doc_id")
     return t("benchmark").select("item_id").distinct().join(found, "item_id", "left").fillna({"matched": 0, "similarity": 0.0, "verdict": "notfound"})
 
 
+@query("turn_alignment")
+def turn_alignment(t):
+    """A quotation of each conversation, of which every ninth word is lost, against every turn and the next one of
+    its conversation; the words that are matched, and those that are not."""
+    turns = t("conversations").filter("text is not null").select("conv_id", "turn", F.struct("conv_id", "turn").alias("at"), verify.words(F.col("text")).alias("w"))
+    texts = alignment.with_next(turns, F.col("w"), "conv_id", "turn").select("at", "_d")
+    begin = alignment.with_next(turns, F.col("w"), "conv_id", "turn").filter("turn = 0")
+    quote = F.slice("_d", F.greatest(F.size("w") - 14, F.lit(1)), F.lit(30))
+    quotes = begin.select("conv_id", F.filter(quote, lambda w, i: i % 9 != 8).alias("_q"))
+    found = alignment.closest(quotes, texts, "conv_id", "at").join(quotes, "conv_id")
+    missed = F.filter("_q", lambda w, i: ~F.array_contains("places", i))
+    return found.select("conv_id", F.col("at.conv_id").alias("found_conv"), F.col("at.turn").alias("found_turn"), "matched", "places", missed.alias("missed"), F.round(F.col("matched") / F.col("_n"), 4).alias("similarity"))
+
+
 @query("fuzzy_names", "SELECT s_name, c_name, CAST(levenshtein(s_name, c_name) AS INT) AS distance FROM (SELECT DISTINCT replace(s_name, 'Supplier', 'Customer') AS s_name FROM supplier) JOIN (SELECT DISTINCT c_name FROM customer) ON levenshtein(s_name, c_name) <= 1")
 def fuzzy_names(t):
     """Names within an edit distance, found by equal parts."""

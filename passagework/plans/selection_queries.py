@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import retrieve, selection
+from ..operators import selection
 from .registry import query
-from .retrieval_queries import found_in
+from .retrieval_queries import best_of
 
 _K = "regexp_replace(lower(s), '[^\\p{L}\\p{N}]', '', 'g')"
 
@@ -25,11 +25,11 @@ def contained_refused(t):
     return selection.without_contained(rows, "role", "at", "text").select("role", "conv_id", "turn", "pos", F.col("refused_by.conv_id").alias("by_conv"), F.col("refused_by.turn").alias("by_turn"), F.col("refused_by.pos").alias("by_pos"))
 
 
-def closed_list(t, found):
+def closed_list(t):
     """For each benchmark text its closed list (V1): of the eight best documents the first sentence of at most 400 letters
     as text (of four at most) and up to four more as notes, of the next four two sentences each as reports; for texts that
     ask for a ruling (their documents say so) three documents as answers, their first sentence being the question."""
-    best = retrieve.best(found, "item_id", [F.desc("score"), F.col("doc_id")], 12).select("item_id", "doc_id", "rank", "coverage")
+    best = best_of(t, 12).select("item_id", "doc_id", "rank", "coverage")
     ruling = t("benchmark").select("item_id", F.col("text").rlike("(?i)\\b(not|never|must|der|la)\\b").alias("ruling"), F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
     docs = t("documents").select("doc_id", "source", F.slice(T.sentences(F.col("text")), 1, 9).alias("units"))
     rows = best.join(docs, "doc_id").join(ruling, "item_id").select("item_id", "doc_id", "rank", "source", "ruling", "asked", "coverage", F.posexplode("units").alias("n", "text"))
@@ -51,8 +51,7 @@ def closed_list(t, found):
 def answer_selection(t):
     """V4, V1: answers from the closed lists under all rules. The asked words stand for the concepts, and the list's items
     that hold such a word, in order, for the model's choices; digits mark harsh texts, sources the sensitive and leading."""
-    found = found_in(t)
-    listed = closed_list(t, found)
+    listed = closed_list(t)
     words = F.array_distinct(T.tokens(F.col("text")))
     shares = F.size(F.array_intersect(words, "asked")) > 0
     gentle, off_sense, balanced = F.array_contains("asked", "the"), ~shares & (F.size("asked") > 8), F.size("asked") % 5 == 0
