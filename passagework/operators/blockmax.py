@@ -55,7 +55,7 @@ def build(docs: DataFrame, key: str, fields: dict[str, tuple[Column, float]], ne
         rows = rows.union(e)
     means = {r.field: (r.n, r.mean) for r in rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).collect()}  # a row for each field
     tf = rows.select("spot", "doc", "block", "field", "len", F.explode("ts").alias("token")).groupBy("spot", "field", "token").agg(F.count("*").alias("tf"), F.first("doc").alias("doc"), F.first("block").alias("block"), F.first("len").alias("len"))
-    runs = kept(tf.groupBy("token", "field", "block").agg(F.count("*").cast("int").alias("n"), F.collect_list(F.struct("doc", "tf", "len")).alias("p")), "runs")  # a block's documents at most
+    runs = kept(tf.repartition(buckets, "token", "block").groupBy("token", "field", "block").agg(F.count("*").cast("int").alias("n"), F.collect_list(F.struct("doc", "tf", "len")).alias("p")), "runs")  # a block's documents at most
     df = runs.groupBy("token", "field").agg(F.sum("n").alias("df"))
     number = lambda pick, default: F.coalesce(F.element_at(F.create_map(*[x for f in means for x in (F.lit(f), F.lit(float(pick(f))))]) if means else F.create_map(F.lit(0), F.lit(default)), F.col("field")), F.lit(default))
     n, mean, factor = number(lambda f: means[f][0], 0.0), number(lambda f: max(means[f][1] or 0.0, 1.0), 1.0), number(lambda f: fields[names[f]][1], 1.0)

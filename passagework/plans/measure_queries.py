@@ -251,23 +251,34 @@ def marked_units(t):
 _NODES = "nodes AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 2 THEN p_partkey // 3 END AS parent FROM part WHERE p_partkey > 0)"
 
 
-@query("group_assignment", f"WITH RECURSIVE {_NODES}, up AS (SELECT id, id AS anc, 0 AS depth FROM nodes UNION ALL SELECT up.id, n.parent, depth + 1 FROM up JOIN nodes n ON n.id = up.anc WHERE n.parent IS NOT NULL AND depth < 5), g AS (SELECT id, anc, depth FROM up WHERE anc BETWEEN 4 AND 12) SELECT id, first(anc ORDER BY depth, anc) AS grp, CAST(min(depth) AS INT) AS depth FROM g GROUP BY id")
+@query("group_assignment", f"""WITH RECURSIVE {_NODES}, roots AS (SELECT p_partkey % 3 AS walk, p_partkey AS id, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_size DESC, p_partkey) AS place FROM part WHERE p_partkey BETWEEN 4 AND 11),
+w AS (SELECT walk, id, [place] AS path FROM roots UNION ALL SELECT w.walk, n.id, list_append(path, n.id) FROM w JOIN nodes n ON n.parent = w.id WHERE len(path) <= 5),
+m AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS member FROM lineitem), met AS (SELECT walk, member, min(path) AS path FROM w JOIN m USING (id) GROUP BY walk, member),
+g AS (SELECT walk, path, count(*) AS n, len(path) = 1 AS own FROM met GROUP BY walk, path),
+o AS (SELECT *, row_number() OVER (PARTITION BY walk ORDER BY own DESC, n DESC, path) AS place, sum(n) OVER (PARTITION BY walk ORDER BY own DESC, n DESC, path) - n AS before FROM g),
+f AS (SELECT o.*, met.member, row_number() OVER (PARTITION BY walk, path ORDER BY member) AS r FROM met JOIN o USING (walk, path))
+SELECT f.walk, w.id, own, n, CAST(place AS INT) AS place, member FROM f JOIN w ON w.walk = f.walk AND w.path = f.path WHERE before + r <= 60""")
 def group_assignment(t):
-    """G1: each member goes to the first group that reaches it, within five levels."""
+    """G1: walks from three lists of roots, five levels down; each supplier goes to the first part that reaches it, groups of
+    the roots first and then by size, sixty suppliers at most."""
     p = F.col("p_partkey")
     nodes = t("part").filter(p > 0).select(p.alias("id"), F.when(p > 2, F.floor(p / 3)).alias("parent"))
-    up = tree.ancestors(nodes).filter("depth <= 5 and ancestor between 4 and 12")
-    return up.groupBy("id").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("grp"), F.min("depth").cast("int").alias("depth"))
+    place = F.row_number().over(Window.partitionBy("walk").orderBy(F.desc("p_size"), "id"))
+    roots = t("part").filter(p.between(4, 11)).select((p % 3).alias("walk"), p.alias("id"), "p_size").select("walk", "id", place.alias("place"))
+    members = t("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("member"))
+    return tree.first_reach(tree.walked(nodes, roots, "walk", 5), members, "walk", 60)
 
 
-@query("children_lists", "WITH n AS (SELECT p_partkey AS id, p_partkey // 3 AS parent, p_name FROM part WHERE p_partkey > 2) SELECT c.parent, p.p_name AS parent_name, list(c.id ORDER BY c.id)[:2] AS children, count(*) AS n, bool_and(c.parent = p.p_partkey) AS linked FROM n c JOIN part p ON p.p_partkey = c.parent GROUP BY ALL")
+@query("children_lists", """WITH n AS (SELECT p_partkey AS id, p_partkey // 3 AS parent, 'of ' || (SELECT any_value(q.p_name) FROM part q WHERE q.p_partkey = CASE WHEN p.p_partkey % 11 = 0 THEN p.p_partkey // 3 + 1 ELSE p.p_partkey // 3 END) AS crumb FROM part p WHERE p_partkey > 2)
+SELECT c.parent, p.p_name AS parent_name, list(c.id ORDER BY c.id)[:2] AS children, count(*) AS n, count(*) FILTER (WHERE c.crumb IS DISTINCT FROM 'of ' || p.p_name) AS strayed, coalesce(bool_and(c.crumb = 'of ' || p.p_name), false) AS linked FROM n c LEFT JOIN part p ON p.p_partkey = c.parent GROUP BY c.parent, p.p_name""")
 def children_lists(t):
-    """The first children of each node, with a check that each names its parent."""
+    """The first children of each node, and whether the breadcrumb that each child records names this parent; here
+    every eleventh child names another one. Children of a node that is not there stay, and are not linked."""
     c = t("part").filter("p_partkey > 2").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 3).alias("parent"))
+    names = t("part").select(F.col("p_partkey").alias("named"), F.concat(F.lit("of "), "p_name").alias("crumb"))
+    recorded = c.withColumn("named", F.col("parent") + F.when(F.col("id") % 11 == 0, 1).otherwise(0)).join(names, "named", "left").drop("named")
     p = t("part").select(F.col("p_partkey").alias("parent"), F.col("p_name").alias("parent_name"))
-    ranked = c.withColumn("i", F.row_number().over(Window.partitionBy("parent").orderBy("id")))
-    listed = ranked.groupBy("parent").agg(F.array_sort(F.collect_list(F.when(F.col("i") <= 2, F.col("id")))).alias("children"), F.count("*").alias("n"))
-    return listed.join(p, "parent").select("parent", "parent_name", "children", "n", F.lit(True).alias("linked"))
+    return tree.children(recorded, p, "parent", "id", F.coalesce(F.col("crumb") == F.concat(F.lit("of "), F.col("parent_name")), F.lit(False)), 2).select("parent", "parent_name", "children", "n", "strayed", "linked")
 
 
 @query("bearing_check", "WITH a AS (SELECT n_nationkey, (n_nationkey * 53 % 360)::DOUBLE AS x, (n_nationkey * 53 % 360 + n_nationkey % 5 + 357) % 360 AS y, [n_nationkey, n_nationkey + 3, n_nationkey + 2 + n_nationkey % 3, n_nationkey + 9] AS times FROM nation) SELECT n_nationkey, abs((x - y + 540) % 360 - 180) AS off, len(list_filter(range(1, 4), lambda i: times[i] >= times[i + 1])) = 0 AS rising FROM a")
@@ -306,13 +317,19 @@ def shared_units(t):
     return c.select("conv_id", "turn", (same(F.lag("k").over(w)) | same(F.lead("k").over(w))).alias("shared"))
 
 
-@query("circuit_breaker", "WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, failed ORDER BY i) AS run FROM e), f AS (SELECT *, CASE WHEN failed THEN row_number() OVER (PARTITION BY user_id, failed, run ORDER BY i) ELSE 0 END AS streak FROM r), o AS (SELECT *, max(CASE WHEN streak = 3 THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened FROM f) SELECT user_id, count(*) FILTER (WHERE streak = 3) AS opens, count(*) FILTER (WHERE opened IS NOT NULL AND epoch_us(ts) < opened + 43200000000) AS refused FROM o GROUP BY user_id")
+_BREAKER = "WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, failed ORDER BY i) AS run FROM e), f AS (SELECT *, CASE WHEN failed THEN row_number() OVER (PARTITION BY user_id, failed, run ORDER BY i) ELSE 0 END AS streak FROM r), o AS (SELECT *, max(CASE WHEN streak = 3 THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened FROM f) SELECT user_id, count(*) FILTER (WHERE streak = 3) AS opens, count(*) FILTER (WHERE opened IS NOT NULL AND epoch_us(ts) < opened + 43200000000) AS refused FROM o GROUP BY user_id"
+
+
+@query("circuit_breaker", _BREAKER)
 def circuit_breaker(t):
     """Three failures in a row open the breaker for a time; calls refused meanwhile."""
     return activity.breaker(t("events"), ["user_id"], "ts", "event_id", F.col("event_type") == "error", 3, 43_200)
 
 
-@query("window_limit", "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), w AS (SELECT user_id, i, s, s AS began, 1 AS n FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.s, CASE WHEN e.s - w.began >= 86400 THEN e.s ELSE w.began END, CASE WHEN e.s - w.began >= 86400 THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1) SELECT user_id, count(*) AS n, count(*) FILTER (WHERE n > 3) AS rejected FROM w GROUP BY user_id")
+_WINDOW_LIMIT = "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), w AS (SELECT user_id, i, s, s AS began, 1 AS n FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.s, CASE WHEN e.s - w.began >= 86400 THEN e.s ELSE w.began END, CASE WHEN e.s - w.began >= 86400 THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1) SELECT user_id, count(*) AS n, count(*) FILTER (WHERE n > 3) AS rejected FROM w GROUP BY user_id"
+
+
+@query("window_limit", _WINDOW_LIMIT)
 def window_limit(t):
     """Calls beyond a limit in a window that starts with its first call and restarts when it is over."""
     return activity.window_limit(t("events"), ["user_id"], "ts", "event_id", 86_400, 3)
@@ -337,3 +354,21 @@ def form_positions(t):
     d = t("conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), " ")).alias("p", "word"))
     w = Window.partitionBy("conv_id", "word")
     return d.select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("pos"), "word", F.row_number().over(w.orderBy("turn", "p")).alias("nth"), F.count("*").over(w).alias("n"))
+
+
+@query("window_limit_stream", _WINDOW_LIMIT)
+def window_limit_stream(t):
+    """U3 as a stream: the same answer as window_limit's, of calls that arrive late, out of order and twice."""
+    from ..streaming import guards
+
+    said = guards.replayed(t("events"), F.lit(False), guards.limit(3, 86_400))
+    return said.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("rejected"))
+
+
+@query("circuit_breaker_stream", _BREAKER)
+def circuit_breaker_stream(t):
+    """U5 as a stream: the same answer as circuit_breaker's, of calls that arrive late, out of order and twice."""
+    from ..streaming import guards
+
+    said = guards.replayed(t("events"), F.col("event_type") == "error", guards.breaker(3, 43_200))
+    return said.groupBy("user_id").agg(F.sum(F.when(F.col("value") >= 2, 1).otherwise(0)).alias("opens"), F.sum(F.col("value") % 2).alias("refused"))

@@ -93,16 +93,15 @@ _TREE = "nodes AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partke
 def subtree_sizes(t):
     """Sizes and heights of all subtrees."""
     nodes = t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3)).alias("parent"))
-    up = tree.ancestors(nodes.withColumn("parent", F.when(F.col("parent") > 0, F.col("parent"))))
-    return up.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("size"), F.max("depth").cast("int").alias("height"))
+    found = tree.subtrees(nodes.withColumn("parent", F.when(F.col("parent") > 0, F.col("parent"))))
+    return found.select("id", "size", F.col("height").cast("int").alias("height"))
 
 
 @query("ancestor_path", f"WITH RECURSIVE {_TREE}, up AS (SELECT id, id AS at, CAST(id AS VARCHAR) AS path FROM nodes UNION ALL SELECT up.id, n.parent, CAST(n.parent AS VARCHAR) || '/' || up.path FROM up JOIN nodes n ON n.id = up.at WHERE n.parent IS NOT NULL AND n.parent > 0) SELECT id, max_by(path, length(path)) AS path FROM up GROUP BY id")
 def ancestor_path(t):
     """The path from the root."""
     nodes = t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 3, F.floor(F.col("p_partkey") / 3)).when(F.col("p_partkey").isin(3), F.lit(1)).alias("parent"))
-    up = tree.ancestors(nodes).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "ancestor"))).alias("p"))
-    return up.select("id", F.array_join(F.transform("p", lambda x: x.ancestor.cast("string")), "/").alias("path"))
+    return tree.paths(nodes)
 
 
 @query("prefix_sums", "SELECT p_brand, n, CAST(coalesce(sum(n) OVER (ORDER BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)")

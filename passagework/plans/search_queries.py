@@ -244,9 +244,8 @@ def aspect_lookup(t):
     p = F.col("p_partkey")
     nodes = t("part").filter(p > 0).select(p.alias("id"), F.when(p > 2, F.floor(p / 3)).alias("parent"))
     names = t("part").select(p.alias("id"), F.col("p_name").alias("name"))
-    up = tree.ancestors(nodes).filter("depth > 0").join(names.filter("name like '% bolt'").select("id"), "id", "left_semi")
-    m = up.join(names.filter("name like 'red %'").select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
-    return m.groupBy("id").agg(F.min_by("ancestor", "depth").alias("subject"), F.min("depth").cast("int").alias("depth"))
+    up = tree.nearest_above(nodes, names.filter("name like 'red %'").select("id"))
+    return up.join(names.filter("name like '% bolt'").select("id"), "id", "left_semi").select("id", F.col("ancestor").alias("subject"), "depth")
 
 
 @query("unused_notes", "WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem WHERE l_returnflag <> 'R') SELECT o_orderkey, n.l_linenumber AS note, n.l_partkey AS part FROM orders LEFT JOIN n ON n.l_orderkey = o_orderkey AND i = 1")

@@ -162,5 +162,6 @@ def tree_levels(t):
 
     p = F.col("p_partkey")
     nodes = t("part").filter(p > 0).select(p.alias("id"), F.when(p > 2, F.floor(p / 3)).alias("parent"))
-    depth = tree.ancestors(nodes).groupBy("id").agg(F.max("depth").cast("int").alias("depth")).filter("depth <= 4")
+    roots = nodes.filter("parent is null").select(F.lit(0).alias("walk"), "id", F.lit(0).alias("place"))
+    depth = tree.walked(nodes, roots, "walk", 4).select("id", (F.size("path") - 1).alias("depth"))
     return depth.groupBy("depth").agg(F.count("*").alias("n"), F.min("id").alias("first"))

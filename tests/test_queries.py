@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", ["token_counts", "bm25_topk", "segment_range_join", "as_of_join", "streaks", "rank_metrics", "nearest_place", "stream_daily"])
+@pytest.mark.parametrize("name", ["token_counts", "bm25_topk", "segment_range_join", "as_of_join", "streaks", "rank_metrics", "nearest_place", "stream_daily", "window_limit_stream", "contained_refused", "multi_field_bm25", "group_assignment"])
 def test_same_as_sql(spark, name):
     import duckdb
 
