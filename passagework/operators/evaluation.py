@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def rank_metrics(run: DataFrame, judged: DataFrame, by: str, key: str, depth: int = 10) -> DataFrame:
     """(by, hit, recall, reciprocal_rank, average_precision): run (by, key, rank from 1), judged (by, key). Questions
@@ -46,11 +48,21 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 200) -> DataFrame:
     """(round, mean) of resamples: each round weighs a row by a Poisson(1) count drawn from a digest of row and round, so
-    rows need no common order and any engine draws the same."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("round").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight = sum((F.when(u >= edge, 1).otherwise(0) for edge in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
-    drawn = values.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("_w", weight)
-    return drawn.groupBy("round").agg(F.round(F.sum(F.col("_w") * F.col(value)) / F.sum("_w"), 6).alias("mean"))
+    rows need no common order and any engine draws the same.
+
+    A digest serves four rounds, each with eight of its digits; a task sums each round before anything is shuffled, so a
+    shuffle has rounds times tasks sums.
+    """
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("_four").cast("string")).cast("binary"))
+    drawn = values.select(key, value, F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 4))).alias("_four")).withColumn("_d", digest)
+    sums = []
+    for j in range(4):
+        u = F.conv(F.substring("_d", 8 * j + 1, 8), 16, 10).cast("double") / 4294967296.0
+        weight = sum((F.when(u >= edge, 1).otherwise(0) for edge in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+        sums += [F.sum(weight * F.col(value)).alias(f"s{j}"), F.sum(weight).alias(f"w{j}")]
+    four = drawn.groupBy("_four").agg(*sums)
+    each = four.select(F.explode(F.array(*[F.struct((F.col("_four") * 4 + j + 1).alias("round"), F.round(F.col(f"s{j}") / F.col(f"w{j}"), 6).alias("mean")) for j in range(4)])).alias("x"))
+    return each.select("x.round", "x.mean").filter(F.col("round") <= rounds)
 
 
 #: Distribution function of Poisson(1) at 0 to 6.
@@ -58,10 +70,10 @@ POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406, 0.999917)
 
 
 def floor_percentile(df: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
-    """The element at place floor(p * n), from 0, of the sorted values."""
-    w = Window.partitionBy(*by)
-    placed = df.withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return placed.filter(F.col("_i") == F.floor(F.lit(p) * F.col("_n")) + 1).select(*by, F.col(value).alias(f"p{round(p * 100)}"))
+    """The element at place floor(p * n), from 0, of the sorted values; a value that is repeated is counted once with its number."""
+    placed = ranks.before(df.groupBy(*by, value).agg(F.count("*").alias("_c")), by, [value], "_c")
+    at = F.floor(F.lit(p) * F.col("total"))
+    return placed.filter((F.col("before") <= at) & (at < F.col("before") + F.col("_c"))).select(*by, F.col(value).alias(f"p{round(p * 100)}"))
 
 
 def interval(values: DataFrame, key: str, value: str, rounds: int = 2000) -> DataFrame:

@@ -13,7 +13,7 @@ _EDGES = " + ".join(f"CASE WHEN u >= {e} THEN 1 ELSE 0 END" for e in evaluation.
 
 
 def _boot(value: str, rows: str) -> str:
-    return f"""WITH l AS ({rows}), v AS (SELECT doc_id, {value} AS x, unnest(range(1, 2001)) AS round FROM l), u AS (SELECT *, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST(round AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM v),
+    return f"""WITH l AS ({rows}), v AS (SELECT doc_id, {value} AS x, unnest(range(1, 2001)) AS round FROM l), u AS (SELECT *, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST((round - 1) // 4 AS VARCHAR)), CAST((round - 1) % 4 * 8 + 1 AS INT), 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM v),
 w AS (SELECT *, {_EDGES} AS w FROM u), m AS (SELECT round, round(sum(w * x) / sum(w), 6) AS mean FROM w GROUP BY round), s AS (SELECT mean, row_number() OVER (ORDER BY mean, round) - 1 AS i FROM m)
 SELECT round((SELECT avg({value}) FROM l), 6) AS mean, max(CASE WHEN i = 50 THEN mean END) AS low, max(CASE WHEN i = 1950 THEN mean END) AS high, avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END) AS not_above FROM s"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import activity, evaluation, joins, rules, tree
+from ..operators import activity, evaluation, joins, ranks, rules, tree
 from .registry import query
 
 
@@ -169,7 +169,7 @@ def plan_portions(t):
 @query("even_split", "SELECT p_partkey, ntile(4) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS slot FROM part")
 def even_split(t):
     """Even slots, the remainder first."""
-    return t("part").select("p_partkey", F.ntile(4).over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("slot"))
+    return ranks.slots(t("part").select("p_brand", "p_partkey"), ["p_brand"], ["p_partkey"], 4).select("p_partkey", "slot")
 
 
 @query("first_seen", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
@@ -194,8 +194,7 @@ def weighted_cost(t):
 @query("systematic_sample", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n % 7 = 0")
 def systematic_sample(t):
     """K8: every seventh row of each group; sampling is the feature."""
-    n = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1
-    return t("orders").withColumn("n", n).filter("n % 7 = 0").select("o_orderkey")
+    return ranks.before(t("orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], ["o_orderkey"]).filter("before % 7 = 0").select("o_orderkey")
 
 
 @query("floor_percentile", "SELECT event_type, value AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = floor(0.95 * n) + 1")
@@ -266,7 +265,7 @@ def kappa(t):
 _EDGES = " + ".join(f"CASE WHEN u >= {e} THEN 1 ELSE 0 END" for e in evaluation.POISSON)
 
 
-@query("bootstrap_ci", f"WITH v AS (SELECT doc_id, quality, unnest(range(1, 201)) AS round FROM labels), u AS (SELECT *, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST(round AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM v), w AS (SELECT *, {_EDGES} AS w FROM u) SELECT CAST(round AS INT) AS round, round(sum(w * quality) / sum(w), 6) AS mean FROM w GROUP BY round")
+@query("bootstrap_ci", f"WITH v AS (SELECT doc_id, quality, unnest(range(1, 201)) AS round FROM labels), u AS (SELECT *, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST((round - 1) // 4 AS VARCHAR)), CAST((round - 1) % 4 * 8 + 1 AS INT), 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM v), w AS (SELECT *, {_EDGES} AS w FROM u) SELECT CAST(round AS INT) AS round, round(sum(w * quality) / sum(w), 6) AS mean FROM w GROUP BY round")
 def bootstrap_ci(t):
     """Means of resamples, drawn by a digest."""
     return evaluation.bootstrap(t("labels"), "doc_id", "quality")

@@ -132,18 +132,36 @@ def section_cut(t):
     return y.groupBy("page_id", "section").agg((F.min("p") + 1).cast("long").alias("first"), (F.max("p") + 1).cast("long").alias("last"), F.count_if(F.col("s").startswith("<p>")).alias("paragraphs"), body.alias("body"))
 
 
-@query("section_rank", f"WITH {_SECT}, h AS (SELECT page_id * 1000 + section AS sid, s LIKE '<h%' AS heading, regexp_replace(s, '^<[^>]*>', '') AS text FROM y), w AS (SELECT sid, heading, unnest(string_split({LATIN % DIG % 'text'}, ' ')) AS w FROM h), q AS (SELECT item_id, w FROM (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM ({words_sql('benchmark', 'item_id')})) WHERE n <= 6), qd AS (SELECT DISTINCT item_id, w FROM q), n AS (SELECT item_id, count(*) AS n FROM qd GROUP BY 1), m AS (SELECT item_id, sid, count(DISTINCT w) AS hits, count(DISTINCT CASE WHEN heading THEN w END) AS in_heading FROM qd JOIN w USING (w) GROUP BY ALL), k AS (SELECT m.* FROM m JOIN n USING (item_id) WHERE hits >= CASE WHEN n <= 2 THEN n ELSE ceil(2 * n / 6) END) SELECT item_id, sid, hits, in_heading, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY in_heading DESC, hits DESC, sid) AS rank FROM k) WHERE rank <= 12")
+_PIECE, _INNER = "(?s)<h[1-6]>.*?</h[1-6]>|<p>.*?</p>", "<[^>]*>"
+
+
+@query("section_rank", f"""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '{_PIECE}')) AS s, generate_subscripts(regexp_extract_all(html, '{_PIECE}'), 1) AS i FROM pages),
+y AS (SELECT *, s LIKE '<h%' AS head, CAST(sum(CASE WHEN s LIKE '<h%' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS section, regexp_replace(s, '{_INNER}', ' ', 'g') AS text FROM x),
+w AS (SELECT page_id, section, head, unnest(string_split({LATIN % DIG % 'text'}, ' ')) AS w FROM y WHERE section > 0),
+k AS (SELECT page_id, section, w, bool_or(head) AS head FROM w WHERE w <> '' GROUP BY ALL),
+f AS (SELECT page_id, section, max(CAST(substr(s, 3, 1) AS INT)) AS level FROM y WHERE head GROUP BY ALL),
+q AS (SELECT DISTINCT page_id AS query_id, unnest(string_split({LATIN % DIG % "regexp_extract(html, '<title>([^<]*)', 1)"}, ' ')) AS w FROM pages), n AS (SELECT query_id, count(*) AS n FROM q WHERE w <> '' GROUP BY 1),
+m AS (SELECT q.query_id, k.page_id, k.section, any_value(n.n) AS n, count(*) AS hits, count(*) FILTER (WHERE k.head) AS in_heading FROM q JOIN n USING (query_id) JOIN k USING (w) WHERE q.w <> '' AND k.page_id <> q.query_id GROUP BY ALL),
+g AS (SELECT *, CASE WHEN in_heading >= CASE WHEN n <= 2 THEN n ELSE ceil(2.0 * n / 3) END THEN in_heading ELSE 0 END AS heads FROM m WHERE hits >= CASE WHEN n <= 2 THEN n ELSE ceil(2.0 * n / 3) END AND (n > 1 OR in_heading = 1))
+SELECT query_id, page_id, section, hits, heads, CAST(rank AS INT) AS rank FROM (SELECT g.*, row_number() OVER (PARTITION BY query_id ORDER BY heads DESC, level < 3, hits DESC, g.page_id, g.section) AS rank FROM g JOIN f ON f.page_id = g.page_id AND f.section = g.section) WHERE rank <= 12""")
 def section_rank(t):
-    """Sections with enough of a query's words, those in headings first; the best twelve."""
-    d = t("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(h[1-6]|p)>[^<]*"), F.lit(0))).alias("p", "s"))
+    """Each page's title asks for sections of other pages. A section must have both words of a title of two, two
+    thirds of a longer one's, and a single word in its own heading; those whose heading itself has enough come first, then
+    sections deep in the outline, then those with more of the words; the best twelve."""
+    piece = F.regexp_extract_all("html", F.lit(_PIECE), F.lit(0))
+    d = t("pages").select("page_id", F.posexplode(piece).alias("p", "s"))
     head = F.col("s").startswith("<h")
-    y = d.withColumn("section", F.sum(head.cast("long")).over(Window.partitionBy("page_id").orderBy("p")))
-    w = y.select((F.col("page_id") * 1000 + F.col("section")).alias("sid"), head.alias("heading"), F.explode(F.split(T.latin(F.regexp_replace("s", "^<[^>]*>", "")), " ")).alias("w"))
-    w = w.groupBy("sid", "w").agg(F.max("heading").alias("heading"))
-    q = t("benchmark").select("item_id", F.array_distinct(F.slice(T.tokens(F.col("text"), stemmed=False), 1, 6)).alias("ws")).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    m = q.join(w, "w").groupBy("item_id", "sid", "n").agg(F.count("*").alias("hits"), F.count_if("heading").alias("in_heading"))
-    kept = m.filter(F.col("hits") >= F.when(F.col("n") <= 2, F.col("n")).otherwise(F.ceil(2 * F.col("n") / 6)))
-    return retrieve.best(kept.select("item_id", "sid", "hits", "in_heading"), "item_id", [F.desc("in_heading"), F.desc("hits"), F.col("sid")], 12)
+    y = d.withColumn("section", F.sum(head.cast("long")).over(Window.partitionBy("page_id").orderBy("p"))).filter("section > 0")
+    level = y.filter(head).groupBy("page_id", "section").agg(F.max(F.substring("s", 3, 1).cast("int")).alias("level"))
+    split = lambda c: F.filter(F.split(T.latin(c), " "), lambda w: w != "")
+    words = y.select("page_id", "section", head.alias("head"), F.explode(split(F.regexp_replace("s", _INNER, " "))).alias("w")).groupBy("page_id", "section", "w").agg(F.bool_or("head").alias("head"))
+    title = F.array_distinct(split(F.regexp_extract("html", "<title>([^<]*)", 1)))
+    asked = t("pages").select(F.col("page_id").alias("query_id"), title.alias("ws")).select("query_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    met = asked.join(words, "w").filter("page_id <> query_id").groupBy("query_id", "page_id", "section", "n").agg(F.count("*").alias("hits"), F.count_if("head").alias("in_heading"))
+    need = F.when(F.col("n") <= 2, F.col("n")).otherwise(F.ceil(F.col("n") * 2 / 3))
+    kept = met.filter((F.col("hits") >= need) & ((F.col("n") > 1) | (F.col("in_heading") == 1))).withColumn("heads", F.when(F.col("in_heading") >= need, F.col("in_heading")).otherwise(0))
+    order = [F.desc("heads"), F.col("level") < 3, F.desc("hits"), F.col("page_id"), F.col("section")]
+    return retrieve.best(kept.join(level, ["page_id", "section"]), "query_id", order, 12).select("query_id", "page_id", "section", "hits", "heads", "rank")
 
 
 @query("four_list_fusion", f"""WITH {BM25}, l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank, 0 AS list_no FROM f UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, doc_id) - 1, 1 FROM f UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id DESC) - 1, 2 FROM f UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1, 3 FROM f),

@@ -89,6 +89,21 @@ def matrix_source(t):
     return rows.select(F.col("path").cast("long").alias("vec_id"), F.posexplode("v").alias("dim", "x")).select("vec_id", F.col("dim").cast("long"), "x")
 
 
+@query("matrix_round_trip", "SELECT vec_id, CAST(i - 1 AS BIGINT) AS dim, CAST(greatest(-128, least(127, CAST(floor(embedding[i] * 64.0::DOUBLE) AS INT))) AS FLOAT) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)")
+def matrix_round_trip(t):
+    """Vectors written as packed one-byte records with a commit, and read back by ranges of 16 KB."""
+    from ..operators.shared import new_path
+    from ..sources import matrices
+
+    spark = t("embeddings").sparkSession
+    matrices.register(spark)
+    where = {"path": new_path(spark, "packed"), "dim": "64", "dtype": "int8", "range_bytes": str(1 << 14)}
+    byte = F.transform("embedding", lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.floor(x.cast("double") * 64.0))).cast("float"))
+    t("embeddings").select(F.col("vec_id").alias("id"), byte.alias("v")).write.format("raw_matrix").options(**where).mode("append").save()
+    rows = spark.read.format("raw_matrix").options(**where).load()
+    return rows.select(F.col("id").alias("vec_id"), F.posexplode("v").alias("dim", "x")).select("vec_id", F.col("dim").cast("long"), "x")
+
+
 @query("ordered_scan", "SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS place FROM nation WHERE n_regionkey <> 1")
 def ordered_scan(t):
     """A table's columns under a filter, in a stated order within each group."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import rules
+from ..operators import ranks, rules
 from .registry import query
 
 DIG = f"translate(%s, '{T.DIGITS[0]}', '{T.DIGITS[1]}')"
@@ -208,8 +208,11 @@ def top_words(t):
 @query("passage_rank", "SELECT doc_id, rank() OVER (PARTITION BY source ORDER BY n_chars DESC) AS rank, round(n_chars / sum(n_chars) OVER (PARTITION BY source), 6) AS share FROM documents")
 def passage_rank(t):
     """Rank by length in the group, share of the group."""
-    w = Window.partitionBy("source")
-    return t("documents").select("doc_id", F.rank().over(w.orderBy(F.desc("n_chars"))).cast("long").alias("rank"), F.round(F.col("n_chars") / F.sum("n_chars").over(w), 6).alias("share"))
+    d = t("documents").select("doc_id", "source", "n_chars")
+    of_value = ranks.ranked(d, ["source"], "n_chars").select(F.col("source").alias("s"), F.col("n_chars").alias("v"), "rank")
+    whole = d.groupBy(F.col("source").alias("w")).agg(F.sum("n_chars").alias("all"))
+    placed = d.join(of_value, F.col("source").eqNullSafe(F.col("s")) & F.col("n_chars").eqNullSafe(F.col("v"))).join(whole, F.col("source").eqNullSafe(F.col("w")))
+    return placed.select("doc_id", "rank", F.round(F.col("n_chars") / F.col("all"), 6).alias("share"))
 
 
 @query("corpus_totals", "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (lang, source)")
