@@ -27,21 +27,28 @@ def project(v: Column, seed: int, dim: int, out: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda j: F.round(F.aggregate(F.zip_with(v, F.sequence(F.lit(0), F.lit(dim - 1)), lambda x, i: x.cast("double") * sign(i, j)), F.lit(0.0), lambda s, x: s + x), 4))
 
 
+def usable(v: Column) -> Column:
+    """Vectors that are there, hold finite numbers only, and not only zeros."""
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, query_key: str, key: str, vector: str, k: int, per_block: int = 16_384, per_query_block: int = 8_192) -> DataFrame:
     """(query_key, key, score, rank): the k rows of greatest cosine for each query but itself, ties to the smaller key.
 
     Blocks of queries meet blocks of rows in tasks, as one matrix product each; a block yields its k best for each
-    query. A row goes out once for each block of queries. Vectors have one length and no nulls.
+    query, however many tie. A row goes out once for each block of queries. Vectors that are null, empty or zero or hold null
+    or non-finite components take no part; vectors of another length are no candidates.
     """
     import numpy as np
     import pyarrow as pa
 
+    rows, queries = (x.filter(usable(F.col(vector))) for x in (rows, queries))
     n_rows, n_queries = rows.count(), queries.count()
     blocks, q_blocks = max(1, -(-n_rows // per_block)), max(1, -(-n_queries // per_query_block))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     own = lambda n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
-    dealt = rows.select(own(blocks).alias("b"), every(q_blocks).alias("q"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(False).alias("asks"))
-    asked = queries.select(every(blocks).alias("b"), own(q_blocks).alias("q"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("asks"))
+    dealt = rows.select(own(blocks).alias("b"), every(q_blocks).alias("q"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(False).alias("asks"), F.size(vector).alias("dim"))
+    asked = queries.select(every(blocks).alias("b"), own(q_blocks).alias("q"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("asks"), F.size(vector).alias("dim"))
 
     def best(t: pa.Table) -> pa.Table:
         m = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
@@ -53,13 +60,15 @@ def nearest(queries: DataFrame, rows: DataFrame, query_key: str, key: str, vecto
             q, names = m[asks][at : at + 512], ids[asks][at : at + 512]
             score = np.round(q @ data.T, 6)
             score[names[:, None] == there[None, :]] = -np.inf
-            some = min(k, score.shape[1])
-            kth = -np.partition(-score, some - 1, axis=1)[:, some - 1 : some] if some else score
-            row, col = np.nonzero((score >= kth) & (score > -np.inf))
+            n = score.shape[1]  # rows stand by key, so a tie goes to the smaller place
+            place = np.where(np.isfinite(score), np.rint(np.where(np.isfinite(score), score, 0) * 1e6) * n - np.arange(n), -np.inf)
+            some = min(k, n)
+            kth = -np.partition(-place, some - 1, axis=1)[:, some - 1 : some] if some else place
+            row, col = np.nonzero((place >= kth) & np.isfinite(place))
             out.append(pa.table({query_key: pa.array(names[row]), key: pa.array(there[col]), "score": pa.array(score[row, col])}))
         return pa.concat_tables(out) if out else pa.table({query_key: pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    found = dealt.union(asked).groupBy("b", "q").applyInArrow(best, f"`{query_key}` long, `{key}` long, score double")
+    found = dealt.union(asked).groupBy("b", "q", "dim").applyInArrow(best, f"`{query_key}` long, `{key}` long, score double")
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

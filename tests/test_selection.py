@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from passagework.operators import selection
+from passagework.operators import dense, selection, spoken
 
 LISTED = "q int, place int, sid string, kind string, ref string, part string, n int, text string, lead boolean, balanced boolean, harsh boolean, barred string"
 
@@ -79,3 +79,27 @@ def test_contained_texts(spark, seed):
     want = plain_refused(rows)
     assert got == want and sum(v is not None for v in want.values()) > 30
     assert selection.without_contained(df.limit(0), "grp", "o", "text").count() == 0
+
+
+def test_transcripts(spark):
+    said = "array<struct<text: string, avg_logprob: double, no_speech_prob: double>>"
+    rows = [
+        (1, [("A clear  sentence", -0.1, 0.0), ("noise", -0.8, 0.7), ("mumble", -1.3, 0.0), ("and more.", None, None)], "prompt"),
+        (2, [("one two three four.", -0.1, 0.0)], "zero one two three four five"), (3, [("one two.", -0.1, 0.0)], "one two"), (4, [(" The ... ", -0.1, 0.0)], None),
+        (5, None, None), (6, [], None), (7, [("w " * 9000, -0.1, 0.0)], None), (8, [(None, -0.1, 0.0), ("kept", -0.1, 0.9)], None),
+    ]
+    df = spark.createDataFrame(rows, f"k int, s {said}, p string")
+    got = {r.k: r.t for r in df.select("k", spoken.transcript(F.col("s"), F.col("p"), ["(?i)^[^a-z]*(the)[^a-z]*$", "^[^a-z]*$"]).alias("t")).collect()}
+    assert got == {1: "A clear sentence and more.", 2: "", 3: "one two.", 4: "", 5: "", 6: "", 7: ("w " * 250), 8: "kept"}
+    heard = spark.createDataFrame([(["pray", "rain", "x"], ["alpray", "terrain", "x"])], "k array<string>, h array<string>")
+    assert heard.select(spoken.missed(F.col("k"), F.col("h"))).first()[0] == ["rain"]
+
+
+def test_nearest_with_odd_vectors_and_ties(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(300)] + [(400, None), (401, []), (402, [0.0, 0.0]), (403, [float("nan"), 1.0]), (404, [1.0, None]), (405, [1.0, 2.0, 3.0]), (406, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = df.filter("id in (0, 7, 400, 401, 402, 403, 404, 405, 406)").withColumnRenamed("id", "q0").select(F.col("q0").alias("id"), "v")
+    got: dict = {}
+    for r in dense.nearest(asked, df, "q", "id", "v", 3, 50, 2).collect():
+        got.setdefault(r.q, []).append((r["rank"], r.id))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {0: [1, 2, 3], 7: [0, 1, 2], 406: [0, 1, 2]}
