@@ -26,7 +26,8 @@ SLACK = 1e-4
 
 @dataclass(frozen=True)
 class Index:
-    """A table of postings (token, field, block, n, most, docs, weights), bucketed by token and block, and its words (token, top)."""
+    """A table of postings (token, field, block, n, most, docs, weights), bucketed by token and block, and its words (token, of
+    which field, idf, top). Weights want to be multiplied by idf."""
 
     name: str
     words: DataFrame
@@ -39,57 +40,63 @@ class Index:
 def build(docs: DataFrame, key: str, fields: dict[str, tuple[Column, float]], near: list[Column] | None = None, block: int = BLOCK, buckets: int = 32, **how) -> Index:
     """An index of the texts of one or more fields, each with the factor by which its BM25 counts.
 
-    A field has its own document frequencies and mean length; a null text counts as an empty one. Documents that are alike in
-    near (by default the length of the first field) share blocks. Keys must be unique. The table is written to the shared
+    A field has its own document frequencies and mean length; a null text counts as an empty one. Documents of an input
+    split that are alike in near share blocks. Keys must be unique. The table is written to the shared
     folder, bucketed by word and block, so that a common word is spread, and stays in the session's catalog until dropped.
     """
     spark, names = docs.sparkSession, list(fields)
-    texts = [tokens(c, **how).alias(f"t{i}") for i, (c, _) in enumerate(fields.values())]
-    listed = docs.select(F.col(key).alias("doc"), *(n.alias(f"n{i}") for i, n in enumerate(near or [])), *texts)
-    order = [f"n{i}" for i in range(len(near))] if near else [F.size("t0")]
-    placed = listed.repartitionByRange(*order, "doc").sortWithinPartitions(*order, "doc").withColumn("spot", F.monotonically_increasing_id())
-    placed = kept(placed.withColumn("block", F.floor(F.col("spot") / block)), "tokens")
-    each = [placed.select("spot", "doc", "block", F.lit(i).alias("field"), F.col(f"t{i}").alias("ts"), F.size(f"t{i}").alias("len")) for i in range(len(names))]
+    order = [f"n{i}" for i in range(len(near))] if near else ["doc"]
+    placed = docs.select(F.col(key).alias("doc"), *(n.alias(f"n{i}") for i, n in enumerate(near or [])), *(c.alias(f"c{i}") for i, (c, _) in enumerate(fields.values())))
+    placed = placed.sortWithinPartitions(*order, "doc").withColumn("block", F.floor(F.monotonically_increasing_id() / block))
+    placed = kept(placed.select("doc", "block", *(tokens(F.col(f"c{i}"), **how).alias(f"t{i}") for i in range(len(names)))), "tokens")
+    each = [placed.select("doc", "block", F.lit(i).alias("field"), F.col(f"t{i}").alias("ts"), F.size(f"t{i}").alias("len")) for i in range(len(names))]
     rows = each[0]
     for e in each[1:]:
         rows = rows.union(e)
     means = {r.field: (r.n, r.mean) for r in rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).collect()}  # a row for each field
-    tf = rows.select("spot", "doc", "block", "field", "len", F.explode("ts").alias("token")).groupBy("spot", "field", "token").agg(F.count("*").alias("tf"), F.first("doc").alias("doc"), F.first("block").alias("block"), F.first("len").alias("len"))
-    runs = kept(tf.repartition(buckets, "token", "block").groupBy("token", "field", "block").agg(F.count("*").cast("int").alias("n"), F.collect_list(F.struct("doc", "tf", "len")).alias("p")), "runs")  # a block's documents at most
-    df = runs.groupBy("token", "field").agg(F.sum("n").alias("df"))
     number = lambda pick, default: F.coalesce(F.element_at(F.create_map(*[x for f in means for x in (F.lit(f), F.lit(float(pick(f))))]) if means else F.create_map(F.lit(0), F.lit(default)), F.col("field")), F.lit(default))
-    n, mean, factor = number(lambda f: means[f][0], 0.0), number(lambda f: max(means[f][1] or 0.0, 1.0), 1.0), number(lambda f: fields[names[f]][1], 1.0)
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * factor
-    weighed = runs.join(df, ["token", "field"]).withColumn("weights", F.transform("p", lambda x: idf * (x["tf"] * (K1 + 1) / (x["tf"] + K1 * (1 - B + B * x["len"] / mean)))))
-    out = weighed.select("token", "field", "block", "n", F.array_max("weights").alias("most"), F.col("p.doc").alias("docs"), "weights")
+    n_docs, mean, factor = number(lambda f: means[f][0], 0.0), number(lambda f: max(means[f][1] or 0.0, 1.0), 1.0), number(lambda f: fields[names[f]][1], 1.0)
+    found = rows.select("doc", "block", "field", "len", F.explode("ts").alias("token")).repartition(buckets, "token", "block")
+    runs = found.groupBy("token", "field", "block").agg(F.collect_list(F.struct("doc", "len")).alias("all"))  # one word in the documents of a block
+    runs = runs.withColumn("p", F.array_distinct("all"))
+    tf = F.transform("p", lambda x: F.size(F.filter("all", lambda y: y["doc"] == x["doc"])))
+    weights = F.zip_with("p", tf, lambda x, f: f * (K1 + 1) / (f + K1 * (1 - B + B * x["len"] / mean)))
+    out = runs.select("token", "field", "block", F.size("p").alias("n"), F.col("p.doc").alias("docs"), weights.alias("weights")).withColumn("most", F.array_max("weights"))
     name = f"postings_{uuid.uuid4().hex}"
-    out.repartition(buckets, "token", "block").write.format("parquet").bucketBy(buckets, "token", "block").sortBy("token", "block").option("path", new_path(spark, "postings")).saveAsTable(name)
-    words = kept(spark.table(name).groupBy("token", "field").agg(F.max("most").alias("top")).groupBy("token").agg(F.sum("top").alias("top")), "words")
-    return Index(name, words, key)
+    out.write.format("parquet").bucketBy(buckets, "token", "block").sortBy("token", "block").option("path", new_path(spark, "postings")).saveAsTable(name)
+    df = spark.table(name).groupBy("token", "field").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)) * factor
+    return Index(name, kept(df.select("token", F.col("field").alias("of"), idf.alias("idf"), (F.col("most") * idf).alias("top")), "words"), key)
 
 
 def _asked(queries: DataFrame, by: str, text: Column, words: DataFrame, **how) -> DataFrame:
     """(by, token, asked, top, rest): each query's distinct words, with the greatest weight of each and the sum of those of
     the words that weigh no more, itself included. Words that no document has stay, without weight."""
     asked = queries.select(by, F.array_distinct(tokens(text, **how)).alias("_t")).select(by, F.size("_t").alias("asked"), F.explode("_t").alias("token"))
-    own = asked.join(words, "token", "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
+    fields = words.groupBy("token").agg(F.sum("top").alias("top"), F.collect_list(F.struct("of", "idf")).alias("fields"))
+    own = asked.join(fields, "token", "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
     light = Window.partitionBy(by).orderBy("top", "token")  # a query's words
     return kept(own.withColumn("rest", F.sum("top").over(light)).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("top"), F.desc("token")))), "asked")
 
 
+def _of_fields(asked: DataFrame) -> DataFrame:
+    """asked with a row for each field that has the word: of and idf."""
+    return asked.withColumn("_f", F.explode("fields")).withColumn("of", F.col("_f.of")).withColumn("idf", F.col("_f.idf")).drop("_f", "fields")
+
+
 def _summed(asked: DataFrame, postings: DataFrame, pairs: DataFrame, by: str, key: str) -> DataFrame:
     """(by, key, score, hits, asked, coverage) of all documents of the pairs (by, block): only these blocks' postings are read."""
-    wanted = pairs.join(asked.select(by, "token", "asked"), by)
-    read = postings.select("token", "block", "field", F.arrays_zip("docs", "weights").alias("p")).join(wanted, ["token", "block"])
-    hits = read.select(by, "asked", "token", F.explode("p").alias("x")).select(by, "asked", "token", F.col("x.docs").alias(key), F.col("x.weights").alias("w"))
+    wanted = pairs.join(_of_fields(asked).select(by, "token", "of", "idf", "asked"), by)
+    read = postings.select("token", "block", "field", F.arrays_zip("docs", "weights").alias("p")).join(wanted, ["token", "block"]).filter("field = of")
+    hits = read.select(by, "asked", "token", "idf", F.explode("p").alias("x")).select(by, "asked", "token", F.col("x.docs").alias(key), (F.col("x.weights") * F.col("idf")).alias("w"))
     found = hits.groupBy(by, key).agg(F.round(F.sum("w"), 4).alias("score"), F.count_distinct("token").alias("hits"), F.first("asked").alias("asked"))
     return found.withColumn("coverage", F.round(F.col("hits") / F.col("asked"), 4))
 
 
 def _first_pairs(asked: DataFrame, postings: DataFrame, by: str, words: int = FIRST_WORDS, blocks: int = FIRST_BLOCKS) -> DataFrame:
     """(by, block): the blocks that each query's weightiest words value most."""
-    some = asked.filter(F.col("place") <= words).select(by, "token").join(postings.select("token", "block", "most"), "token")
-    bound = some.groupBy(by, "block").agg(F.sum("most").alias("bound"))
+    some = _of_fields(asked.filter(F.col("place") <= words)).select(by, "token", "of", "idf").join(postings.select("token", "field", "block", "most"), "token").filter("field = of")
+    bound = some.groupBy(by, "block").agg(F.sum(F.col("most") * F.col("idf")).alias("bound"))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("bound"), "block"))
     return bound.withColumn("_r", rank).filter(F.col("_r") <= blocks).select(by, "block")
 
@@ -103,8 +110,8 @@ def open_pairs(asked: DataFrame, postings: DataFrame, floor: DataFrame, by: str)
     own = asked.join(floor, by, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - SLACK)
     light = own.groupBy(by).agg(F.max(F.when(F.col("rest") < F.col("floor"), F.col("rest"))).alias("light"))
     heavy = own.filter(F.col("rest") >= F.col("floor")).join(light, by)
-    met = heavy.select(by, "token", "floor", "light").join(postings.select("token", "block", "most"), "token")
-    bound = met.groupBy(by, "block").agg((F.sum("most") + F.coalesce(F.first("light"), F.lit(0.0))).alias("bound"), F.first("floor").alias("floor"))
+    met = _of_fields(heavy).select(by, "token", "of", "idf", "floor", "light").join(postings.select("token", "field", "block", "most"), "token").filter("field = of")
+    bound = met.groupBy(by, "block").agg((F.sum(F.col("most") * F.col("idf")) + F.coalesce(F.first("light"), F.lit(0.0))).alias("bound"), F.first("floor").alias("floor"))
     return bound.filter(F.col("bound") >= F.col("floor")).select(by, "block", "bound")
 
 
