@@ -79,6 +79,20 @@ def links(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit('<a href="([^"]*)"'), F.lit(1))
 
 
+#: Tags inside a line of a page, and the start of a heading or paragraph with its text up to the next tag of a block.
+INLINE, LINE = r"</?(?:a|abbr|b|br|code|em|i|small|span|strong|sub|sup|u)(?:[ \t\r\n/][^>]*)?>", r"<(?:h[1-6]|p)(?:[ \t\r\n][^>]*)?>[^<]*"
+
+
+def lines(c: Column) -> Column:
+    """Headings and paragraphs in order, each as its tag and its whole text; tags inside a line count as a space."""
+    return F.regexp_extract_all(F.regexp_replace(c, INLINE, " "), F.lit(LINE), F.lit(0))
+
+
+def line_text(c: Column) -> Column:
+    """The text of a line of lines()."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "^<[^>]*>", ""), "[ \\t\\r\\n]+", " "))
+
+
 def squeeze(c: Column) -> Column:
     """Key for near-equal strings: lower case, letters and digits only."""
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")

@@ -21,10 +21,10 @@ def quantise(v: Column, scale: float = 127.0) -> Column:
     return F.transform(v, lambda x: F.greatest(F.lit(-scale), F.least(F.lit(scale), F.rint(x.cast("double") / n * scale))).cast("int"))
 
 
-def project(v: Column, seed: int, dim: int, out: int) -> Column:
+def project(v: Column, seed: int, out: int) -> Column:
     """Product with a sign matrix that is computed, not stored: sign of (i * 31 + j * 17 + seed) mod 7 against 3."""
     sign = lambda i, j: F.when((i * 31 + j * 17 + seed) % 7 > 3, 1.0).otherwise(-1.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda j: F.round(F.aggregate(F.zip_with(v, F.sequence(F.lit(0), F.lit(dim - 1)), lambda x, i: x.cast("double") * sign(i, j)), F.lit(0.0), lambda s, x: s + x), 4))
+    return F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda j: F.round(F.aggregate(F.transform(v, lambda x, i: x.cast("double") * sign(i, j)), F.lit(0.0), lambda s, x: s + x), 4))
 
 
 def usable(v: Column) -> Column:

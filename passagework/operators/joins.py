@@ -47,21 +47,52 @@ def neighbours(df: DataFrame, by: list[str], order: str, columns: list[str], rea
     return df
 
 
-def fuzzy(left: DataFrame, right: DataFrame, a: Column, b: Column, most: int, keep: list[Column]) -> DataFrame:
-    """Pairs of names within an edit distance. Two such names become equal when each loses at most so many letters, so
-    the join is on what is left of a name without any letters up to that many; each pair comes once.
+#: Names up to this many letters are told by what is left of them, longer ones by their pieces.
+LONG = 11
+
+
+def _left(name: Column, most: int) -> Column:
+    """A name without any letters up to so many, dropped from left to right."""
+
+    def drop(x: Column) -> Column:
+        rest = lambda i: F.concat(F.substring(x["name"], F.lit(1), i - 1), F.substring(x["name"], i + 1, F.length(x["name"])))
+        return F.transform(F.sequence(x["at"], F.greatest(x["at"], F.length(x["name"]))), lambda i: F.struct(rest(i).alias("name"), i.alias("at")))
+
+    last = F.array(F.struct(name.alias("name"), F.lit(1).alias("at")))
+    steps = [last]
+    for _ in range(most):
+        last = F.flatten(F.transform(last, drop))
+        steps.append(last)
+    return F.array_distinct(F.transform(F.concat(*steps), lambda x: x["name"]))
 
-    A name of n letters has about n ** most / most! keys; meant for words and names, and for one or two edits.
+
+def near_keys(name: Column, most: int, asked: bool, kind: str = "") -> Column:
+    """Numbers of which an asked and a known name within so many edits have one in common.
+
+    Names of n letters up to LONG become equal when each loses at most so many letters: about n ** most / most! keys.
+    A longer known name is cut into one piece more than there are edits, so one piece stands unchanged in the asked name,
+    shifted by so many letters at most: (2 * most + 1) ** 2 * (most + 1) keys of an asked name, most + 1 of a known one,
+    whatever the length. A known name near the border has both. A null name has none.
     """
+    length, none, over = F.length(name), F.array().cast("array<bigint>"), F.lit(0 if asked else most)
+    left = F.transform(_left(name, most), lambda x: F.xxhash64(F.lit(kind), x))
+    pieces = []
+    for off in range(-most, most + 1) if asked else (0,):
+        size = length + off
+        for i in range(most + 1):
+            start, end = F.floor(size * i / (most + 1)), F.floor(size * (i + 1) / (most + 1))
+            for shift in range(-most, most + 1) if asked else (0,):
+                inside = (start + shift >= 0) & (end + shift <= length)
+                piece = F.substring(name, (start + shift + 1).cast("int"), (end - start).cast("int"))
+                pieces.append(F.when(inside, F.xxhash64(F.lit(kind), size, F.lit(i), piece)))
+    long = F.array_distinct(F.filter(F.array(*pieces), lambda x: x.isNotNull()))
+    return F.concat(F.when(length <= LONG + over, left).otherwise(none), F.when(length > LONG - over, long).otherwise(none))
 
-    def keys(name: Column) -> Column:
-        drop = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
-        out = F.array(name)
-        for _ in range(most):
-            out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, drop))))
-        return out
 
-    x, y = left.withColumn("_part", F.explode(keys(a))), right.withColumn("_part", F.explode(keys(b)))
+def fuzzy(left: DataFrame, right: DataFrame, a: Column, b: Column, most: int, keep: list[Column]) -> DataFrame:
+    """Pairs of names within an edit distance, each once: an equal join on near_keys, then the distance itself. Meant for
+    one or two edits."""
+    x, y = left.withColumn("_part", F.explode(near_keys(a, most, True))), right.withColumn("_part", F.explode(near_keys(b, most, False)))
     joined = x.join(y, "_part").select(*keep, a.alias("_a"), b.alias("_b")).distinct()
     return joined.withColumn("distance", F.levenshtein("_a", "_b", most)).filter("distance >= 0").drop("_a", "_b")
 
@@ -69,19 +100,22 @@ def fuzzy(left: DataFrame, right: DataFrame, a: Column, b: Column, most: int, ke
 def suggestions(asked: DataFrame, known: DataFrame, word: str, suggestion: str, total: str, alike: str) -> DataFrame:
     """(word, suggestion, total, distance, sub, score): known words (suggestion, total) near asked ones, best score first.
 
-    One edit, or two for words of seven letters and more; last letters among alike may differ freely. The score is
-    10 for each edit, less 4 if one word's letters come in the other in order, 2 for the same first letter, and
-    0.6 log2(1 + total).
+    One edit, or two for words of seven letters and more; last letters among alike may differ freely; words have three
+    letters at least. The score is 10 for each edit, less 4 if one word's letters come in the other in order, 2 for the
+    same first letter, and 0.6 log2(1 + total). Known words are met in one join; those of up to four letters can only be
+    near words of one edit.
     """
-    bare = lambda c: F.substring(c, F.lit(1), F.length(c) - 1)
     at, to = F.col(word), F.col(suggestion)
-    pairs = None
-    for x, y in ((at, to), (bare(at), bare(to))):
-        for most, long in ((1, False), (2, True)):
-            part = fuzzy(asked.filter((F.length(at) >= 7) == long), known.filter(F.length(to) >= 3), x, y, most, [at, to]).drop("distance")
-            pairs = part if pairs is None else pairs.union(part)
-    pairs = pairs.distinct().filter(at != to).withColumn("distance", words.distance_free_end(at, to, alike))
-    pairs = pairs.filter((F.col("distance") <= F.when(F.length(at) >= 7, 2).otherwise(1)) & (F.abs(F.length(at) - F.length(to)) <= 2)).join(known, suggestion)
+
+    def keys(c: Column, most: int, is_asked: bool) -> Column:
+        bare = near_keys(F.substring(c, F.lit(1), F.length(c) - 1), most, is_asked, "bare")
+        return F.concat(near_keys(c, most, is_asked, "whole"), F.when(F.lit(alike).contains(F.substring(c, -1, 1)), bare).otherwise(F.array().cast("array<bigint>")))
+
+    x = asked.filter(F.length(at) >= 3).select(at, F.explode(F.when(F.length(at) >= 7, keys(at, 2, True)).otherwise(keys(at, 1, True))).alias("_part"))
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes that make many keys: not to be put in few tasks
+    y = known.filter(F.length(to) >= 3).repartition(tasks, to).select(to, total, F.explode(F.when(F.length(to) >= 5, keys(to, 2, False)).otherwise(keys(to, 1, False))).alias("_part"))
+    pairs = x.join(y, "_part").select(at, to, total).filter((at != to) & (F.abs(F.length(at) - F.length(to)) <= 2)).distinct().withColumn("distance", words.distance_free_end(at, to, alike))
+    pairs = pairs.filter(F.col("distance") <= F.when(F.length(at) >= 7, 2).otherwise(1))
     pairs = pairs.withColumn("sub", words.subsequence(at, to) | words.subsequence(to, at))
     score = F.col("distance") * 10 - F.when(F.col("sub"), 4).otherwise(0) - F.when(F.substring(at, 1, 1) == F.substring(to, 1, 1), 2).otherwise(0) - 0.6 * F.log2(1 + F.col(total))
     return pairs.select(word, suggestion, total, "distance", "sub", F.round(score, 6).alias("score"))

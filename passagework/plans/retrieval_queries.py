@@ -93,12 +93,14 @@ def multi_field(t):
 e AS (SELECT q.item_id, q.token AS asked_token, b.token FROM q JOIN syn a ON a.token = q.token JOIN syn b ON b.grp = a.grp)
 SELECT item_id, count(DISTINCT asked_token) AS n_asked, count(DISTINCT token) AS n_expanded FROM e GROUP BY item_id""")
 def synonym_groups(t):
-    """Queries widened by groups of like words (here words that share four letters)."""
+    """Queries widened by groups of like words (here words that share four letters). Groups do not overlap, so their sizes
+    add up; words of a group are never paired."""
     index = t("documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct().filter(F.length("token") >= 4)
-    syn = index.withColumn("grp", F.substring("token", 1, 4))
-    q = t("benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("asked"))
-    wide = q.join(syn.withColumnRenamed("token", "asked"), "asked").join(syn, "grp")
-    return wide.groupBy("item_id").agg(F.count_distinct("asked").alias("n_asked"), F.count_distinct("token").alias("n_expanded"))
+    grp = F.substring("token", 1, 4).alias("grp")
+    q = t("benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(index, "token", "left_semi")
+    asked = q.groupBy("item_id", grp).agg(F.count("*").alias("asked"))
+    sizes = index.groupBy(grp).agg(F.count("*").alias("size"))
+    return asked.join(sizes, "grp").groupBy("item_id").agg(F.sum("asked").alias("n_asked"), F.sum("size").alias("n_expanded"))
 
 
 @query("round_robin_fusion", f"""WITH {BM25}, l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank, 0 AS list_no FROM f UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, doc_id) - 1, 1 FROM f),
@@ -170,13 +172,13 @@ def fuzzy_names(t):
     return joins.fuzzy(s, c, F.col("s_name"), F.col("c_name"), 1, [F.col("s_name"), F.col("c_name")])
 
 
-_V = "SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(lower(%s), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM %s) WHERE length(w) BETWEEN 5 AND 14"
+_V = "SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(lower(%s), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM %s) WHERE length(w) >= 4"
 
 
 @query("spell_suggest", f"WITH a AS ({_V % ('p_name', 'part')}), b AS ({_V % ('text', 'benchmark')}), s AS (SELECT a.w AS word, b.w AS suggestion, levenshtein(a.w, b.w) AS d FROM a JOIN b ON abs(length(a.w) - length(b.w)) <= 2 AND levenshtein(a.w, b.w) <= 2) SELECT word, suggestion, CAST(d AS INT) AS distance, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, suggestion) AS rank FROM s) WHERE rank <= 4")
 def spell_suggest(t):
     """Up to four words of another vocabulary within two edits."""
-    words = lambda df, c: df.select(F.explode(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " ")).alias("w")).filter(F.length("w").between(5, 14)).distinct()
+    words = lambda df, c: df.select(F.explode(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " ")).alias("w")).filter(F.length("w") >= 4).distinct()
     a, b = words(t("part"), "p_name").withColumnRenamed("w", "word"), words(t("benchmark"), "text").withColumnRenamed("w", "suggestion")
     near = joins.fuzzy(a, b, F.col("word"), F.col("suggestion"), 2, [F.col("word"), F.col("suggestion")])
     return retrieve.best(near, "word", [F.col("distance"), F.col("suggestion")], 4)
@@ -211,10 +213,10 @@ def vector_quantise(t):
     return t("embeddings").select("vec_id", F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("vector_project", "SELECT vec_id, list_transform(range(0, 8), lambda j: round(list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::DOUBLE * CASE WHEN (i * 31 + j * 17 + 5) % 7 > 3 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 4)) AS projected FROM embeddings")
+@query("vector_project", "SELECT vec_id, list_transform(range(0, 8), lambda j: round(list_sum(list_transform(range(0, len(embedding)), lambda i: embedding[i + 1]::DOUBLE * CASE WHEN (i * 31 + j * 17 + 5) % 7 > 3 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 4)) AS projected FROM embeddings")
 def vector_project(t):
     """Fewer dimensions by a matrix that is computed."""
-    return t("embeddings").select("vec_id", dense.project(F.col("embedding"), 5, 64, 8).alias("projected"))
+    return t("embeddings").select("vec_id", dense.project(F.col("embedding"), 5, 8).alias("projected"))
 
 
 @query("topk_overlap", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS h FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(q.e, d.e), 6) AS a, round(list_cosine_similarity(q.h, d.h), 6) AS b FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, vec_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, vec_id) AS rb FROM s) SELECT query_id, round(count(*) FILTER (WHERE ra <= 40 AND rb <= 40) / 40, 4) AS overlap FROM r GROUP BY query_id")

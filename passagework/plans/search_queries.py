@@ -10,7 +10,7 @@ from ..functions import words as W
 from ..operators import joins, retrieve, rules
 from .registry import query
 from .retrieval_queries import BM25, found_in
-from .text_queries import DIG, LATIN, stems_sql, words_sql
+from .text_queries import DIG, LATIN, LINE_TEXT_SQL, LINES_SQL, stems_sql, words_sql
 
 #: A thesaurus: group, word. A small fixed table of the caller.
 GROUPS = ((1, "tion"), (1, "ment"), (2, "und"), (2, "ndre"), (2, "ing"), (3, "eaux"), (3, "elle"))
@@ -62,12 +62,16 @@ def segment_match(t):
     return h.groupBy("item_id", "doc_id").agg(F.bool_or(F.col("hits") == F.col("n")).alias("full_match"), F.sum("hits").alias("hits")).filter("full_match")
 
 
-@query("extra_keywords", f"WITH {BM25}, x AS (SELECT DISTINCT item_id, token FROM ({stems_sql('(SELECT item_id, substr(text, 1, 60) AS text FROM benchmark)', 'item_id')})), e AS (SELECT x.item_id, wt.doc_id, round(sum(weight), 4) AS extra FROM x JOIN wt ON wt.token = x.token GROUP BY ALL), m AS (SELECT coalesce(f.item_id, e.item_id) AS item_id, coalesce(f.doc_id, e.doc_id) AS doc_id, round(coalesce(score, 0.0) + 0.6::DOUBLE * coalesce(extra, 0.0), 3) AS total FROM f FULL JOIN e ON e.item_id = f.item_id AND e.doc_id = f.doc_id) SELECT item_id, doc_id, total, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY total DESC, doc_id) AS rank FROM m) WHERE rank <= 16")
+_EXTRA = "(SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) >= 7), ' ') AS text FROM benchmark)"
+
+
+@query("extra_keywords", f"WITH {BM25}, x AS (SELECT DISTINCT item_id, token FROM ({stems_sql(_EXTRA, 'item_id')})), e AS (SELECT x.item_id, wt.doc_id, round(sum(weight), 4) AS extra FROM x JOIN wt ON wt.token = x.token GROUP BY ALL), m AS (SELECT coalesce(f.item_id, e.item_id) AS item_id, coalesce(f.doc_id, e.doc_id) AS doc_id, round(coalesce(score, 0.0) + 0.6::DOUBLE * coalesce(extra, 0.0), 3) AS total FROM f FULL JOIN e ON e.item_id = f.item_id AND e.doc_id = f.doc_id) SELECT item_id, doc_id, total, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY total DESC, doc_id) AS rank FROM m) WHERE rank <= 16")
 def extra_keywords(t):
-    """A second list of keywords (here the head of the query) counts 0.6 in the ranking."""
+    """A second list of keywords (here the words of seven letters and more) counts 0.6 in the ranking."""
     docs = t("documents")
     main = found_in(t).select("item_id", "doc_id", "score")
-    extra = found_in(t, t("benchmark").withColumn("text", F.substring("text", 1, 60))).select("item_id", "doc_id", F.col("score").alias("extra"))
+    keywords = F.array_join(F.filter(F.split("text", " "), lambda w: F.length(w) >= 7), " ")
+    extra = found_in(t, t("benchmark").withColumn("text", keywords)).select("item_id", "doc_id", F.col("score").alias("extra"))
     total = F.round(F.coalesce("score", F.lit(0.0)) + 0.6 * F.coalesce("extra", F.lit(0.0)), 3)
     return retrieve.best(main.join(extra, ["item_id", "doc_id"], "full").select("item_id", "doc_id", total.alias("total")), "item_id", [F.desc("total"), F.col("doc_id")], 16)
 
@@ -109,27 +113,31 @@ def anchored_proposals(t):
     return r.filter("anchored or n <= 6").select("item_id", "doc_id", "anchored")
 
 
-@query("keyword_baseline", f"WITH d AS (SELECT doc_id, ' ' || {LATIN % DIG % 'text'} || ' ' AS s FROM documents), q AS (SELECT item_id, string_split({LATIN % DIG % 'text'}, ' ') AS ws FROM benchmark), x AS (SELECT item_id, list_distinct(ws[1:3]) AS ws, array_to_string(ws[1:3], ' ') AS phrase FROM q) SELECT item_id, doc_id, contains(s, ' ' || phrase || ' ') AS whole FROM x JOIN d ON contains(s, ' ' || phrase || ' ') OR len(list_filter(ws, lambda w: NOT contains(s, ' ' || w || ' '))) = 0")
+@query("keyword_baseline", f"WITH d AS (SELECT doc_id, ' ' || {LATIN % DIG % 'text'} || ' ' AS s FROM documents), q AS (SELECT item_id, {LATIN % DIG % 'text'} AS phrase FROM benchmark), x AS (SELECT item_id, list_distinct(string_split(phrase, ' ')) AS ws, phrase FROM q) SELECT item_id, doc_id, contains(s, ' ' || phrase || ' ') AS whole FROM x JOIN d ON contains(s, ' ' || phrase || ' ') OR len(list_filter(ws, lambda w: NOT contains(s, ' ' || w || ' '))) = 0")
 def keyword_baseline(t):
-    """Documents with the query (here its first three words) as a phrase, or else with all its words."""
-    words = lambda c: F.split(T.latin(F.col(c)), " ")
-    q = t("benchmark").select("item_id", F.slice(words("text"), 1, 3).alias("ws")).select("item_id", F.array_distinct("ws").alias("all"), F.array_join("ws", " ").alias("phrase"))
-    d = t("documents").select("doc_id", F.explode(F.array_distinct(words("text"))).alias("w"))
-    hits = q.select("item_id", F.size("all").alias("n"), F.explode("all").alias("w")).join(d, "w").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("c")).filter("c = n")
+    """Documents with the whole query as a phrase, or else with all its words. The query's rarest word proposes the
+    documents, so common words join nothing; each proposed text is then checked once."""
+    q = t("benchmark").select("item_id", T.latin(F.col("text")).alias("phrase")).withColumn("all", F.array_distinct(F.split("phrase", " ")))
+    d = t("documents").select("doc_id", F.explode(F.array_distinct(F.split(T.latin(F.col("text")), " "))).alias("w"))
+    each = q.select("item_id", F.explode("all").alias("w"))
+    asked = d.join(each.select("w").distinct(), "w", "left_semi")
+    seldom = each.join(asked.groupBy("w").agg(F.count("*").alias("df")), "w", "left").groupBy("item_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
+    met = asked.join(seldom, "w").select("item_id", "doc_id").join(q, "item_id")
     texts = t("documents").select("doc_id", F.concat(F.lit(" "), T.latin(F.col("text")), F.lit(" ")).alias("s"))
-    return hits.select("item_id", "doc_id").join(q.select("item_id", "phrase"), "item_id").join(texts, "doc_id").select("item_id", "doc_id", F.contains("s", F.concat(F.lit(" "), "phrase", F.lit(" "))).alias("whole"))
+    within = lambda w: F.contains("s", F.concat(F.lit(" "), w, F.lit(" ")))
+    return met.join(texts, "doc_id").filter(F.forall("all", within)).select("item_id", "doc_id", within(F.col("phrase")).alias("whole"))
 
 
-_SECT = "x AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6]|p)>[^<]*')) AS s, generate_subscripts(regexp_extract_all(html, '<(h[1-6]|p)>[^<]*'), 1) AS i FROM pages), y AS (SELECT *, CAST(sum(CASE WHEN s LIKE '<h%' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS section FROM x)"
+_SECT = f"x AS ({LINES_SQL}), y AS (SELECT *, CAST(sum(CASE WHEN s LIKE '<h%' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS section FROM x)"
 
 
-@query("section_cut", f"WITH {_SECT} SELECT page_id, section, min(i) AS first, max(i) AS last, count(*) FILTER (WHERE s LIKE '<p>%') AS paragraphs, string_agg(regexp_replace(s, '^<[^>]*>', ''), ' ' ORDER BY i) AS body FROM y WHERE section > 0 GROUP BY page_id, section")
+@query("section_cut", f"WITH {_SECT} SELECT page_id, section, min(i) AS first, max(i) AS last, count(*) FILTER (WHERE s LIKE '<p%') AS paragraphs, string_agg({LINE_TEXT_SQL}, ' ' ORDER BY i) AS body FROM y WHERE section > 0 GROUP BY page_id, section")
 def section_cut(t):
-    """Sections from one heading up to the next, with their text."""
-    d = t("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(h[1-6]|p)>[^<]*"), F.lit(0))).alias("p", "s"))
+    """Sections from one heading up to the next, with their whole text."""
+    d = t("pages").select("page_id", F.posexplode(T.lines(F.col("html"))).alias("p", "s"))
     y = d.withColumn("section", F.sum(F.col("s").startswith("<h").cast("long")).over(Window.partitionBy("page_id").orderBy("p"))).filter("section > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: F.regexp_replace(x["s"], "^<[^>]*>", "")), " ")
-    return y.groupBy("page_id", "section").agg((F.min("p") + 1).cast("long").alias("first"), (F.max("p") + 1).cast("long").alias("last"), F.count_if(F.col("s").startswith("<p>")).alias("paragraphs"), body.alias("body"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: T.line_text(x["s"])), " ")
+    return y.groupBy("page_id", "section").agg((F.min("p") + 1).cast("long").alias("first"), (F.max("p") + 1).cast("long").alias("last"), F.count_if(F.col("s").startswith("<p")).alias("paragraphs"), body.alias("body"))
 
 
 _PIECE, _INNER = "(?s)<h[1-6]>.*?</h[1-6]>|<p>.*?</p>", "<[^>]*>"
@@ -177,35 +185,37 @@ def four_list_fusion(t):
 
 
 _TURNS = f"SELECT conv_id, turn, {LATIN % DIG % 'text'} AS s FROM conversations"
-_SPANQ = "q AS (SELECT a.conv_id AS qid, array_to_string(list_concat(a.wa[greatest(1, len(a.wa) - 2):len(a.wa)], b.wb[1:3]), ' ') AS quote FROM w a JOIN w b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.turn = 0)"
+_SPANQ = "q AS (SELECT a.conv_id AS q_conv, a.turn AS q_turn, array_to_string(list_concat(a.wa[greatest(1, len(a.wa) - 2):len(a.wa)], b.wb[1:3]), ' ') AS quote FROM w a JOIN w b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
 
 
-@query("quote_spans", f"WITH p AS ({_TURNS}), w0 AS (SELECT conv_id, turn, s, string_split(s, ' ') AS ws FROM p), w AS (SELECT conv_id, turn, ws AS wa, ws AS wb FROM w0), {_SPANQ}, o AS (SELECT conv_id, turn, s, CAST(coalesce(sum(length(s) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p), g AS (SELECT conv_id, ' ' || string_agg(s, ' ' ORDER BY turn) || ' ' AS whole FROM p GROUP BY 1), h AS (SELECT qid, g.conv_id, instr(whole, ' ' || quote || ' ') AS place, length(quote) AS n FROM q JOIN g ON contains(whole, ' ' || quote || ' ')) SELECT qid, h.conv_id, min(o.turn) AS first_turn, max(o.turn) AS last_turn FROM h JOIN o ON o.conv_id = h.conv_id AND o.start < place - 1 + n AND o.start + length(o.s) > place - 1 GROUP BY ALL")
+@query("quote_spans", f"WITH p AS ({_TURNS}), w0 AS (SELECT conv_id, turn, s, string_split(s, ' ') AS ws FROM p), w AS (SELECT conv_id, turn, ws AS wa, ws AS wb FROM w0), {_SPANQ}, o AS (SELECT conv_id, turn, s, CAST(coalesce(sum(length(s) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p), g AS (SELECT conv_id, ' ' || string_agg(s, ' ' ORDER BY turn) || ' ' AS whole FROM p GROUP BY 1), h AS (SELECT q_conv, q_turn, g.conv_id, instr(whole, ' ' || quote || ' ') AS place, length(quote) AS n FROM q JOIN g ON contains(whole, ' ' || quote || ' ')) SELECT q_conv, q_turn, h.conv_id, min(o.turn) AS first_turn, max(o.turn) AS last_turn FROM h JOIN o ON o.conv_id = h.conv_id AND o.start < place - 1 + n AND o.start + length(o.s) > place - 1 GROUP BY ALL")
 def quote_spans(t):
-    """Quotations across consecutive passages of a group (here the end of a first turn and the start of the next).
+    """Quotations across consecutive passages of a group (here the end of each turn and the start of
+    the next).
     Each group's words run on; the quotation's words are found by an equal join on three of them and then checked."""
     c = t("conversations").select("conv_id", "turn", F.split(T.latin(F.col("text")), " ").alias("ws"))
     nxt = F.lead("ws").over(Window.partitionBy("conv_id").orderBy("turn"))
     end = F.slice("ws", F.greatest(F.lit(1), F.size("ws") - 2), 3)
-    q = c.withColumn("b", nxt).filter("turn = 0 and b is not null").select(F.col("conv_id").alias("qid"), F.concat(end, F.slice("b", 1, 3)).alias("quote"))
-    return joins.quote_spans(q, c, "qid", "quote", "conv_id", "turn", "ws")
+    q = c.withColumn("b", nxt).filter("b is not null").select(F.struct("conv_id", "turn").alias("qid"), F.concat(end, F.slice("b", 1, 3)).alias("quote"))
+    spans = joins.quote_spans(q, c, "qid", "quote", "conv_id", "turn", "ws")
+    return spans.select(F.col("qid.conv_id").alias("q_conv"), F.col("qid.turn").alias("q_turn"), "conv_id", "first_turn", "last_turn")
 
 
-@query("merged_quotes", f"WITH w AS (SELECT doc_id, string_split({LATIN % DIG % 'text'}, ' ') AS ws FROM documents), q AS (SELECT a.doc_id AS qid, list_concat(a.ws[1:5], b.ws[1:5]) AS qs FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 10 = 0 AND len(a.ws) >= 5 AND len(b.ws) >= 5), d AS (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS s FROM w), c AS (SELECT qid, unnest(range(3, 8)) AS h, qs FROM q), x AS (SELECT qid, h, ' ' || array_to_string(qs[1:h], ' ') || ' ' AS head, ' ' || array_to_string(qs[h + 1:10], ' ') || ' ' AS tail, ' ' || array_to_string(qs, ' ') || ' ' AS whole FROM c), a AS (SELECT qid, h, min(doc_id) AS da, max(doc_id) AS da2 FROM x JOIN d ON contains(s, head) GROUP BY ALL), b AS (SELECT qid, h, min(doc_id) AS db, max(doc_id) AS db2 FROM x JOIN d ON contains(s, tail) GROUP BY ALL), e AS (SELECT DISTINCT qid FROM x JOIN d ON contains(s, whole)) SELECT q.qid, CASE WHEN e.qid IS NOT NULL THEN 'exact' WHEN m.qid IS NOT NULL THEN 'merged' ELSE 'notfound' END AS verdict FROM q LEFT JOIN e ON e.qid = q.qid LEFT JOIN (SELECT DISTINCT a.qid FROM a JOIN b ON a.qid = b.qid AND a.h = b.h WHERE NOT (da = da2 AND db = db2 AND da = db)) m ON m.qid = q.qid")
+@query("merged_quotes", f"WITH w AS (SELECT doc_id, string_split({LATIN % DIG % 'text'}, ' ') AS ws FROM documents), q AS (SELECT a.doc_id AS qid, list_concat(a.ws[1:5], b.ws[1:5]) AS qs FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 WHERE len(a.ws) >= 5 AND len(b.ws) >= 5), d AS (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS s FROM w), c AS (SELECT qid, unnest(range(3, 8)) AS h, qs FROM q), x AS (SELECT qid, h, ' ' || array_to_string(qs[1:h], ' ') || ' ' AS head, ' ' || array_to_string(qs[h + 1:10], ' ') || ' ' AS tail, ' ' || array_to_string(qs, ' ') || ' ' AS whole FROM c), a AS (SELECT qid, h, min(doc_id) AS da, max(doc_id) AS da2 FROM x JOIN d ON contains(s, head) GROUP BY ALL), b AS (SELECT qid, h, min(doc_id) AS db, max(doc_id) AS db2 FROM x JOIN d ON contains(s, tail) GROUP BY ALL), e AS (SELECT DISTINCT qid FROM x JOIN d ON contains(s, whole)) SELECT q.qid, CASE WHEN e.qid IS NOT NULL THEN 'exact' WHEN m.qid IS NOT NULL THEN 'merged' ELSE 'notfound' END AS verdict FROM q LEFT JOIN e ON e.qid = q.qid LEFT JOIN (SELECT DISTINCT a.qid FROM a JOIN b ON a.qid = b.qid AND a.h = b.h WHERE NOT (da = da2 AND db = db2 AND da = db)) m ON m.qid = q.qid")
 def merged_quotes(t):
     """Quotations put together from two documents: a prefix and the rest, of three words at least, each in another
     one. Whole parts are found by their first three words and then checked."""
     w = t("documents").select("doc_id", F.split(T.latin(F.col("text")), " ").alias("ws"))
-    a = w.filter("doc_id % 10 = 0 and size(ws) >= 5")
+    a = w.filter("size(ws) >= 5")
     b = w.filter("size(ws) >= 5").select((F.col("doc_id") - 1).alias("doc_id"), F.col("ws").alias("wb"))
     q = a.join(b, "doc_id").select(F.col("doc_id").alias("qid"), F.concat(F.slice("ws", 1, 5), F.slice("wb", 1, 5)).alias("quote"))
     return joins.merged_quotes(q, w, "qid", "quote", "doc_id", "ws")
 
 
-@query("contained_translations", f"WITH q AS (SELECT item_id, array_to_string(string_split({LATIN % DIG % 'text'}, ' ')[1:4], ' ') AS s, len(string_split({LATIN % DIG % 'text'}, ' ')) AS n FROM benchmark) SELECT item_id, doc_id FROM q JOIN documents d ON n >= 3 AND contains(' ' || {LATIN % DIG % 'd.text'} || ' ', ' ' || s || ' ')")
+@query("contained_translations", f"WITH q AS (SELECT item_id, {LATIN % DIG % 'text'} AS s, len(string_split({LATIN % DIG % 'text'}, ' ')) AS n FROM benchmark) SELECT item_id, doc_id FROM q JOIN documents d ON n >= 3 AND contains(' ' || {LATIN % DIG % 'd.text'} || ' ', ' ' || s || ' ')")
 def contained_translations(t):
-    """Texts of three words and more that are contained word by word in another one (here their first four words)."""
-    q = t("benchmark").select("item_id", F.split(T.latin(F.col("text")), " ").alias("ws")).filter("size(ws) >= 3").select("item_id", F.slice("ws", 1, 4).alias("quote"))
+    """Texts of three words and more that are contained word by word in another one."""
+    q = t("benchmark").select("item_id", F.split(T.latin(F.col("text")), " ").alias("ws")).filter("size(ws) >= 3").select("item_id", F.col("ws").alias("quote"))
     d = t("documents").select("doc_id", F.split(T.latin(F.col("text")), " ").alias("ws"))
     return joins.holding(q, d, "item_id", "quote", "doc_id", "ws").select("item_id", "doc_id").distinct()
 
@@ -298,11 +308,11 @@ def entity_cards(t):
     return u.select("e", "id", "part", F.row_number().over(Window.partitionBy("e").orderBy("part", "id")).alias("place"))
 
 
-@query("quotation_audit", r"WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<p>([^<.]{12,60})', 1)) AS quote FROM pages), q AS (SELECT DISTINCT page_id, quote FROM h), w AS (SELECT page_id, quote, trim(regexp_replace(lower(quote), '[^a-z0-9]+', ' ', 'g')) AS k FROM q), p AS (SELECT page_id AS src, ' ' || trim(regexp_replace(lower(html), '[^a-z0-9]+', ' ', 'g')) || ' ' AS s FROM pages) SELECT w.page_id, w.quote, count(p.src) AS sources FROM w LEFT JOIN p ON p.src <> w.page_id AND contains(s, ' ' || k || ' ') WHERE len(string_split(k, ' ')) >= 3 GROUP BY ALL")
+@query("quotation_audit", r"WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<p>([^<.]{12,})', 1)) AS quote FROM pages), q AS (SELECT DISTINCT page_id, quote FROM h), w AS (SELECT page_id, quote, trim(regexp_replace(lower(quote), '[^a-z0-9]+', ' ', 'g')) AS k FROM q), p AS (SELECT page_id AS src, ' ' || trim(regexp_replace(lower(html), '[^a-z0-9]+', ' ', 'g')) || ' ' AS s FROM pages) SELECT w.page_id, w.quote, count(p.src) AS sources FROM w LEFT JOIN p ON p.src <> w.page_id AND contains(s, ' ' || k || ' ') WHERE len(string_split(k, ' ')) >= 3 GROUP BY ALL")
 def quotation_audit(t):
     """Quotations out of texts, each looked up in all other ones; how many have it word by word."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    q = t("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("<p>([^<.]{12,60})"), F.lit(1)))).alias("quote"))
+    q = t("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("<p>([^<.]{12,})"), F.lit(1)))).alias("quote"))
     q = q.withColumn("ws", F.split(plain(F.col("quote")), " ")).filter("size(ws) >= 3").withColumn("qid", F.concat_ws(":", "page_id", "quote"))
     p = t("pages").select(F.col("page_id").alias("src"), F.split(plain(F.col("html")), " ").alias("ws"))
     found = joins.holding(q.select("qid", "ws").withColumnRenamed("ws", "quoted"), p, "qid", "quoted", "src", "ws").select("qid", "src").distinct()

@@ -94,11 +94,16 @@ def link_extract(t):
     return d.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), "href")
 
 
-@query("html_sections", "WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6]|p)>[^<]*')) AS s, generate_subscripts(regexp_extract_all(html, '<(h[1-6]|p)>[^<]*'), 1) AS i FROM pages), y AS (SELECT *, CASE WHEN s LIKE '<h%' THEN 1 ELSE 0 END AS head FROM x) SELECT page_id, i AS pos, head = 1 AS is_heading, CAST(sum(head) OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS section FROM y")
+LINES_SQL = f"SELECT page_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '{T.INLINE}', ' ', 'g'), '{T.LINE}') AS ls FROM pages)"
+LINE_TEXT_SQL = r"trim(regexp_replace(regexp_replace(s, '^<[^>]*>', ''), '[ \t\r\n]+', ' ', 'g'))"
+
+
+@query("html_sections", f"WITH x AS ({LINES_SQL}), y AS (SELECT *, CASE WHEN s LIKE '<h%' THEN 1 ELSE 0 END AS head FROM x) SELECT page_id, i AS pos, head = 1 AS is_heading, {LINE_TEXT_SQL} AS line, CAST(sum(head) OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS section FROM y")
 def html_sections(t):
-    """Lines with a heading mark; a section runs from one heading to the next."""
-    d = t("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(h[1-6]|p)>[^<]*"), F.lit(0))).alias("p", "s")).withColumn("head", F.col("s").startswith("<h").cast("long"))
-    return d.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), (F.col("head") == 1).alias("is_heading"), F.sum("head").over(Window.partitionBy("page_id").orderBy("p")).alias("section"))
+    """Lines with a heading mark and their whole text; a section runs from one heading to the next."""
+    d = t("pages").select("page_id", F.posexplode(T.lines(F.col("html"))).alias("p", "s")).withColumn("head", F.col("s").startswith("<h").cast("long"))
+    section = F.sum("head").over(Window.partitionBy("page_id").orderBy("p"))
+    return d.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), (F.col("head") == 1).alias("is_heading"), T.line_text(F.col("s")).alias("line"), section.alias("section"))
 
 
 @query("url_hosts", "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n, count(DISTINCT regexp_replace(url, '[?#].*$', '')) AS n_urls FROM pages GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import words as W
 from ..operators import joins, retrieve
+from ..operators.shared import kept
 from .registry import query
 from .text_queries import DIG, LATIN, words_sql
 
@@ -105,27 +106,31 @@ def counted_nouns(t):
 
 _FREE = "least(levenshtein(q.w, v.word), CASE WHEN right(q.w, 1) IN ('t', 'h', 'e') AND right(v.word, 1) IN ('t', 'h', 'e') THEN levenshtein(left(q.w, length(q.w) - 1), left(v.word, length(v.word) - 1)) END)"
 _SUBSEQ = "regexp_matches({b}, array_to_string(string_split({a}, ''), '.*'))"
-_RANKED = f"""{_VOC}, q AS (SELECT DISTINCT left(w, 3) || substr(w, 5) AS w FROM ({words_sql('benchmark', 'item_id')}) WHERE length(w) BETWEEN 6 AND 12),
-d AS (SELECT q.w AS word, v.word AS suggestion, v.total, {_FREE} AS distance, {_SUBSEQ.format(a='q.w', b='v.word')} OR {_SUBSEQ.format(a='v.word', b='q.w')} AS sub FROM q JOIN voc v ON abs(length(q.w) - length(v.word)) <= 2 AND length(v.word) >= 3 AND q.w <> v.word),
-s AS (SELECT *, round(distance * 10 - CASE WHEN sub THEN 4 ELSE 0 END - CASE WHEN left(word, 1) = left(suggestion, 1) THEN 2 ELSE 0 END - 0.6::DOUBLE * log2(1 + total), 6) AS score FROM d WHERE distance <= CASE WHEN length(word) >= 7 THEN 2 ELSE 1 END),
+_RANKED = f"""{_VOC}, q AS (SELECT DISTINCT left(w, 3) || substr(w, 5) AS w FROM ({words_sql('benchmark', 'item_id')}) WHERE length(w) >= 4),
+d AS (SELECT q.w AS word, v.word AS suggestion, v.total, {_FREE} AS distance FROM q JOIN voc v ON abs(length(q.w) - length(v.word)) <= 2 AND length(v.word) >= 3 AND q.w <> v.word),
+n AS (SELECT *, {_SUBSEQ.format(a='word', b='suggestion')} OR {_SUBSEQ.format(a='suggestion', b='word')} AS sub FROM d WHERE distance <= CASE WHEN length(word) >= 7 THEN 2 ELSE 1 END),
+s AS (SELECT *, round(distance * 10 - CASE WHEN sub THEN 4 ELSE 0 END - CASE WHEN left(word, 1) = left(suggestion, 1) THEN 2 ELSE 0 END - 0.6::DOUBLE * log2(1 + total), 6) AS score FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score, suggestion) AS rank FROM s)"""
 
 
-def _suggestions(t):
-    v = _vocabulary(t)
-    q = t("benchmark").select(F.explode(T.tokens(F.col("text"), stemmed=False)).alias("w")).filter(F.length("w").between(6, 12))
-    q = q.select(F.concat(F.substring("w", 1, 3), F.substring("w", 5, 100)).alias("word")).distinct()
-    s = joins.suggestions(q, v.withColumnRenamed("word", "suggestion"), "word", "suggestion", "total", alike="the")
-    return retrieve.best(s, "word", [F.col("score"), F.col("suggestion")], 4)
+def _misspelt(t):
+    """Query words without their fourth letter; what is left has three letters at least."""
+    w = t("benchmark").select(F.explode(T.tokens(F.col("text"), stemmed=False)).alias("w")).filter(F.length("w") >= 4)
+    return w.select(F.concat(F.substring("w", F.lit(1), F.lit(3)), F.substring("w", F.lit(5), F.length("w"))).alias("word")).distinct()
+
+
+def _suggestions(t, vocabulary):
+    s = joins.suggestions(_misspelt(t), vocabulary.withColumnRenamed("word", "suggestion"), "word", "suggestion", "total", alike="the")
+    best = retrieve.best(s, "word", [F.col("score"), F.col("suggestion")], 4)
+    sure = (F.col("rank") == 1) & (F.col("distance") <= 1) & (F.col("total") >= 3) & ((F.col("distance") == 0) | F.col("sub"))
+    return best.withColumn("sure", sure)
 
 
 @query("spelling_rank", f"WITH {_RANKED} SELECT word, suggestion, CAST(distance AS INT) AS distance, score, CAST(rank AS INT) AS rank, rank = 1 AND distance <= 1 AND total >= 3 AND (distance = 0 OR sub) AS sure FROM r WHERE rank <= 4")
 def spelling_rank(t):
     """Words of the corpus closest to misspelt ones (here query words without their fourth letter),
     by distance with a free last letter, subsequence, first letter and frequency; whether the first is sure."""
-    s = _suggestions(t)
-    sure = (F.col("rank") == 1) & (F.col("distance") <= 1) & (F.col("total") >= 3) & ((F.col("distance") == 0) | F.col("sub"))
-    return s.select("word", "suggestion", "distance", "score", "rank", sure.alias("sure"))
+    return _suggestions(t, kept(_vocabulary(t), "vocabulary")).select("word", "suggestion", "distance", "score", "rank", "sure")
 
 
 @query("corrected_search", f"""WITH {_RANKED}, ok AS (SELECT word, suggestion FROM r WHERE rank = 1 AND distance <= 1 AND total >= 3 AND (distance = 0 OR sub)),
@@ -134,10 +139,9 @@ x AS (SELECT DISTINCT doc_id, w FROM ({words_sql('documents', 'doc_id')}))
 SELECT asked, used, asked <> used AS corrected, count(x.doc_id) AS docs, min(x.doc_id) AS first_doc FROM ask LEFT JOIN x ON x.w = ask.used GROUP BY ALL""")
 def corrected_search(t):
     """Words that nothing has are asked again in their sure correction; documents found."""
-    ok = spelling_rank(t).filter("sure").select(F.col("word").alias("asked"), "suggestion")
-    q = t("benchmark").select(F.explode(T.tokens(F.col("text"), stemmed=False)).alias("w")).filter(F.length("w").between(6, 12))
-    q = q.select(F.concat(F.substring("w", 1, 3), F.substring("w", 5, 100)).alias("asked")).distinct()
-    unknown = q.join(_vocabulary(t).select(F.col("word").alias("asked")), "asked", "left_anti")
+    v = kept(_vocabulary(t), "vocabulary")
+    ok = _suggestions(t, v).filter("sure").select(F.col("word").alias("asked"), "suggestion")
+    unknown = _misspelt(t).withColumnRenamed("word", "asked").join(v.select(F.col("word").alias("asked")), "asked", "left_anti")
     ask = unknown.join(ok, "asked", "left").select("asked", F.coalesce("suggestion", "asked").alias("used"))
     x = t("documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text"), stemmed=False))).alias("used"))
     return ask.join(x, "used", "left").groupBy("asked", "used", (F.col("asked") != F.col("used")).alias("corrected")).agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
