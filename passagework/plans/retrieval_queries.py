@@ -123,16 +123,16 @@ def group_rank(t):
 
 
 @query("best_sentences", f"""WITH s AS (SELECT doc_id, i AS pos, s FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda s: length(trim(s)) >= 12) AS x FROM documents))),
-k AS (SELECT doc_id * 100000 + pos AS sid, s AS text FROM s), tok AS (SELECT DISTINCT sid, token FROM ({stems_sql('k', 'sid')})),
-q AS (SELECT DISTINCT item_id, token FROM ({stems_sql('benchmark', 'item_id')})), c AS (SELECT item_id, sid, count(*) AS n FROM q JOIN tok USING (token) GROUP BY ALL)
-SELECT item_id, sid, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, sid) AS rank FROM c) WHERE rank <= 3""")
+k AS (SELECT doc_id, pos, s AS text FROM s), tok AS (SELECT DISTINCT doc_id, pos, token FROM ({stems_sql('k', 'doc_id, pos')})),
+q AS (SELECT DISTINCT item_id, token FROM ({stems_sql('benchmark', 'item_id')})), c AS (SELECT item_id, doc_id, pos, count(*) AS n FROM q JOIN tok USING (token) GROUP BY ALL)
+SELECT item_id, doc_id, pos, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id, pos) AS rank FROM c) WHERE rank <= 3""")
 def best_sentences(t):
     """The sentences that share most tokens with each query."""
     s = t("documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "s"))
-    tok = s.select((F.col("doc_id") * 100000 + F.col("p") + 1).alias("sid"), F.explode(F.array_distinct(T.tokens(F.col("s")))).alias("token"))
+    tok = s.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.explode(F.array_distinct(T.tokens(F.col("s")))).alias("token"))
     q = t("benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    c = q.join(tok, "token").groupBy("item_id", "sid").agg(F.count("*").alias("n"))
-    return retrieve.best(c, "item_id", [F.desc("n"), F.col("sid")], 3)
+    c = q.join(tok, "token").groupBy("item_id", "doc_id", "pos").agg(F.count("*").alias("n"))
+    return retrieve.best(c, "item_id", [F.desc("n"), F.col("doc_id"), F.col("pos")], 3)
 
 
 @query("quote_exact", f"SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(' ' || trim(regexp_replace(lower(d.text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(b.text), '[^a-z0-9]+', ' ', 'g')) || ' ')")

@@ -36,7 +36,7 @@ def thesaurus_coverage(t):
 @query("ubiquitous_drop", f"WITH q AS (SELECT DISTINCT item_id, token FROM ({stems_sql('benchmark', 'item_id')})), f AS (SELECT 'documents' AS field, count(*) AS n FROM documents UNION ALL SELECT 'conversations', count(*) FROM conversations), d AS (SELECT 'documents' AS field, token, count(DISTINCT doc_id) AS df FROM ({stems_sql('documents', 'doc_id')}) GROUP BY token UNION ALL SELECT 'conversations', token, count(DISTINCT k) FROM ({stems_sql('(SELECT conv_id * 1000 + turn AS k, text FROM conversations)', 'k')}) GROUP BY token), s AS (SELECT token, max(df / n) AS share FROM d JOIN f USING (field) GROUP BY token), m AS (SELECT q.*, coalesce(share, 0.0) > 0.1 AS weak, count(*) FILTER (WHERE coalesce(share, 0.0) <= 0.1) OVER (PARTITION BY item_id) AS strong FROM q LEFT JOIN s ON s.token = q.token) SELECT item_id, token, weak FROM m WHERE NOT weak OR strong = 0")
 def ubiquitous_drop(t):
     """Words that are common in any field are dropped from a query as long as others remain."""
-    fields = {"documents": t("documents").select(F.col("doc_id").alias("k"), "text"), "conversations": t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")}
+    fields = {"documents": t("documents").select(F.col("doc_id").alias("k"), "text"), "conversations": t("conversations").select(F.struct("conv_id", "turn").alias("k"), "text")}
     shares = None
     for df in fields.values():
         n = df.agg(F.count("*").alias("n"))
@@ -253,15 +253,15 @@ def topic_table(t):
 _SENT = "s AS (SELECT doc_id, i AS pos, s FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda s: length(trim(s)) >= 12) AS x FROM documents)))"
 
 
-@query("brief_sentences", f"WITH {_SENT}, k AS (SELECT doc_id * 100000 + pos AS sid, s AS text FROM s), tok AS (SELECT DISTINCT sid, token FROM ({stems_sql('k', 'sid')})), q AS (SELECT DISTINCT item_id, token FROM ({stems_sql('benchmark', 'item_id')})), c AS (SELECT item_id, sid, sid // 100000 AS doc_id, count(*) AS n FROM q JOIN tok USING (token) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY n DESC, sid) AS one FROM c), f AS (SELECT item_id, doc_id, min(sid) AS first_hit FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, sid) AS rank FROM o WHERE one = 1) SELECT item_id, doc_id, sid, first_hit, n, CAST(rank AS INT) AS rank FROM r JOIN f USING (item_id, doc_id) WHERE rank <= 3")
+@query("brief_sentences", f"WITH {_SENT}, k AS (SELECT doc_id, pos, s AS text FROM s), tok AS (SELECT DISTINCT doc_id, pos, token FROM ({stems_sql('k', 'doc_id, pos')})), q AS (SELECT DISTINCT item_id, token FROM ({stems_sql('benchmark', 'item_id')})), c AS (SELECT item_id, doc_id, pos, count(*) AS n FROM q JOIN tok USING (token) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY n DESC, pos) AS one FROM c), f AS (SELECT item_id, doc_id, min(pos) AS first_hit FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id, pos) AS rank FROM o WHERE one = 1) SELECT item_id, doc_id, pos, first_hit, n, CAST(rank AS INT) AS rank FROM r JOIN f USING (item_id, doc_id) WHERE rank <= 3")
 def brief_sentences(t):
     """Of each passage the best sentence, of these the best three; and the passage's first sentence with a hit."""
     s = t("documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "s"))
-    tok = s.select("doc_id", (F.col("doc_id") * 100000 + F.col("p") + 1).alias("sid"), F.explode(F.array_distinct(T.tokens(F.col("s")))).alias("token"))
-    c = _tokens(t("benchmark"), "item_id").join(tok, "token").groupBy("item_id", "doc_id", "sid").agg(F.count("*").alias("n"))
-    best = c.groupBy("item_id", "doc_id").agg(F.max(F.struct("n", (-F.col("sid")).alias("neg"))).alias("b"), F.min("sid").alias("first_hit"))
-    best = best.select("item_id", "doc_id", (-F.col("b.neg")).alias("sid"), "first_hit", F.col("b.n").alias("n"))
-    return retrieve.best(best, "item_id", [F.desc("n"), F.col("sid")], 3)
+    tok = s.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.explode(F.array_distinct(T.tokens(F.col("s")))).alias("token"))
+    c = _tokens(t("benchmark"), "item_id").join(tok, "token").groupBy("item_id", "doc_id", "pos").agg(F.count("*").alias("n"))
+    best = c.groupBy("item_id", "doc_id").agg(F.max(F.struct("n", (-F.col("pos")).alias("neg"))).alias("b"), F.min("pos").alias("first_hit"))
+    best = best.select("item_id", "doc_id", (-F.col("b.neg")).alias("pos"), "first_hit", F.col("b.n").alias("n"))
+    return retrieve.best(best, "item_id", [F.desc("n"), F.col("doc_id")], 3)
 
 
 @query("aspect_lookup", "WITH RECURSIVE nodes AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 2 THEN p_partkey // 3 END AS parent, p_name AS name FROM part WHERE p_partkey > 0), up AS (SELECT id, parent, 1 AS depth FROM nodes WHERE name LIKE '% bolt' UNION ALL SELECT up.id, n.parent, depth + 1 FROM up JOIN nodes n ON n.id = up.parent), m AS (SELECT up.id, up.parent AS subject, depth FROM up JOIN nodes n ON n.id = up.parent WHERE n.name LIKE 'red %') SELECT id, first(subject ORDER BY depth) AS subject, CAST(min(depth) AS INT) AS depth FROM m GROUP BY id")
