@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ LENGTH, ROWS, END = 2048, 256, 0
 #: Documents in a batch of the index, and documents that are read back at once.
 INDEXED, DOCS = 4096, 4096
 #: Bytes of pieces with their ids that a worker keeps, twice at most, and bytes of text that it works on at once.
-CACHED, AT_ONCE = 64 << 20, 2 << 20
+CACHED, AT_ONCE = 96 << 20, 4 << 20
 MANIFEST = "shard int, path string, n_tokens long, n_docs long"
 
 
@@ -52,22 +53,22 @@ def token_ids(column: pa.Array, path: str, dtype):
     holds an added token, such as an end mark, is encoded by the library as a whole.
     """
     tokenizer, known, marks = encoder(path)
+    code = np.dtype(dtype).char
     for first, texts in text_runs(column, AT_ONCE, 20_000):
         marked = {k: x for k, x in enumerate(texts) if marks and marks.search(x)}
         distinct, index, per_text = pieces([b"" if k in marked else x for k, x in enumerate(texts)])
-        entries = [known[p] for p in distinct]
+        entries = known.many(distinct)
         new = [i for i, e in enumerate(entries) if e is None]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for i, e in zip(part, tokenizer.encode_batch_fast([distinct[i].decode() for i in part], add_special_tokens=False), strict=True):
-                entries[i] = known.put(distinct[i], np.array(e.ids, dtype).tobytes())
-        width = np.dtype(dtype).itemsize
-        sizes = np.array([len(e) // width for e in entries], np.int64)
-        pool, offset = np.frombuffer(b"".join(entries), dtype), np.cumsum(sizes) - sizes
-        n = sizes[index]
-        ends = np.cumsum(n)
-        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(offset[index] - (ends - n), n)]
-        ends_of = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
+                entries[i] = known.put(distinct[i], array(code, e.ids).tobytes())
+        ids, upto = np.zeros(0, dtype), np.zeros(1, np.int64)
+        if len(index):
+            _, offsets, values = pa.array(entries, pa.large_binary()).take(pa.array(index)).buffers()
+            upto = np.frombuffer(offsets, np.int64, len(index) + 1) // np.dtype(dtype).itemsize
+            ids = np.frombuffer(values, dtype, upto[-1])
+        ends_of = upto[np.concatenate([[0], np.cumsum(per_text)])]
         counts = np.diff(ends_of)
         if marked:
             parts = np.split(ids, ends_of[1:-1])

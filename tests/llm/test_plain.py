@@ -57,6 +57,28 @@ def test_token_ids_equal_the_library():
     assert [got[i] for i in range(len(all_texts))] == [e.ids for e in want]
 
 
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    pytest.importorskip("tokenizers")
+    from passagework.llm import tokenfile
+
+    fresh, path, asked = {}, bpe.vocabulary_path("byte_bpe_50k.json"), []
+    monkeypatch.setattr(tokenfile, "worker_cache", lambda: fresh)
+    real, known, marks = tokenfile.encoder(path)
+
+    class Counting:
+        def encode_batch_fast(self, some, **how):
+            asked.extend(some)
+            return real.encode_batch_fast(some, **how)
+
+    fresh["tokenizer", path] = Counting(), known, marks
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:23]]
+    column = pa.array(["", None, *(" " + " ".join(words[i : i + 500]) for i in range(0, len(words), 500)), ""])
+    runs = [[(first, ids.tobytes(), counts.tolist()) for first, ids, counts in tokenfile.token_ids(column, path, np.uint16)] for _ in range(2)]
+    assert runs[0] == runs[1] and len(asked) == len(set(asked)) == len(words)
+    assert [len(ids) for _, ids, _ in tokenfile.token_ids(pa.array(["", None]), path, np.uint16)] == [0]
+
+
 def test_warc_ranges_own_each_record_once():
     rng = random.Random(1)
     payloads = [bytes(rng.choice([0x1F, 0x8B, 8, 65]) for _ in range(rng.choice([0, 10, 5000]))) for _ in range(100)]
