@@ -1,6 +1,7 @@
 """What larger tables and odd values showed: small cases that the code before did not pass."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -32,3 +33,17 @@ def test_long_names_that_share_a_half_are_not_paired(spark):
     got = {tuple(r) for r in joins.fuzzy(df.withColumnRenamed("name", "a"), df.withColumnRenamed("name", "b"), F.col("a"), F.col("b"), 1, [F.col("a"), F.col("b")]).collect()}
     pairs = df.select(F.col("name").alias("a")).join(df.select(F.col("name").alias("b"))).withColumn("distance", F.levenshtein("a", "b")).filter("distance <= 1")
     assert got == {tuple(r) for r in pairs.collect()}
+
+
+def test_products_with_directions_are_a_step_of_their_own(spark):
+    """As dot() has them bit by bit, and not written out in the plan, where each use would work them out anew."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(7)]) for i in range(50)] + [(50, None), (51, [1.0]), (52, [None] * 7)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    directions = [[rng.gauss(0, 1) for _ in range(7)] for _ in range(4)]
+    made = df.select("id", dense.onto(F.col("v"), directions).alias("p"))
+    assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = df.select("id", F.array(*[dense.dot(F.col("v"), F.array(*map(F.lit, d))) for d in directions]).alias("p"))
+    got, want = ({r.id: r.p for r in x.collect()} for x in (made, want))
+    assert all(got[i] == want[i] for i in range(50))
+    assert made.filter(dense.usable(F.col("p"))).count() == 50
