@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..operators import joins, retrieve, rules
+from ..operators import joins, retrieve, rules, within
+from ..operators.shared import kept
 from .registry import query
 from .retrieval_queries import BM25, found_in
 from .text_queries import DIG, LATIN, LINE_TEXT_SQL, LINES_SQL, stems_sql, words_sql
@@ -206,8 +207,8 @@ def merged_quotes(t):
     """Quotations put together from two documents: a prefix and the rest, of three words at least, each in another
     one. Whole parts are found by their first three words and then checked."""
     w = t("documents").select("doc_id", F.split(T.latin(F.col("text")), " ").alias("ws"))
-    a = w.filter("size(ws) >= 5")
-    b = w.filter("size(ws) >= 5").select((F.col("doc_id") - 1).alias("doc_id"), F.col("ws").alias("wb"))
+    a = kept(w.select("doc_id", F.slice("ws", 1, 5).alias("ws")), "starts").filter("size(ws) = 5")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("ws").alias("wb"))
     q = a.join(b, "doc_id").select(F.col("doc_id").alias("qid"), F.concat(F.slice("ws", 1, 5), F.slice("wb", 1, 5)).alias("quote"))
     return joins.merged_quotes(q, w, "qid", "quote", "doc_id", "ws")
 
@@ -313,11 +314,13 @@ def quotation_audit(t):
     """Quotations out of texts, each looked up in all other ones; how many have it word by word."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     q = t("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("<p>([^<.]{12,})"), F.lit(1)))).alias("quote"))
-    q = q.withColumn("ws", F.split(plain(F.col("quote")), " ")).filter("size(ws) >= 3").withColumn("qid", F.concat_ws(":", "page_id", "quote"))
-    p = t("pages").select(F.col("page_id").alias("src"), F.split(plain(F.col("html")), " ").alias("ws"))
-    found = joins.holding(q.select("qid", "ws").withColumnRenamed("ws", "quoted"), p, "qid", "quoted", "src", "ws").select("qid", "src").distinct()
-    hits = q.select("qid", "page_id").join(found, "qid").filter("src <> page_id").groupBy("qid").agg(F.count("*").alias("n"))
-    return q.join(hits, "qid", "left").select("page_id", "quote", F.coalesce("n", F.lit(0)).cast("long").alias("sources"))
+    q = kept(q.withColumn("k", plain(F.col("quote"))).filter(F.size(F.split("k", " ")) >= 3), "quotations")
+    p = t("pages").select(F.col("page_id").alias("src"), plain(F.col("html")).alias("s"))
+    found = kept(within.holders(q.select("k"), p, "k", "src", "s"), "found")  # equal quotations are looked up once
+    own = found.withColumnRenamed("src", "page_id").withColumn("own", F.lit(1))
+    n = F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))
+    hits = q.join(found.groupBy("k").agg(F.count("*").alias("n")), "k", "left").join(own, ["k", "page_id"], "left")
+    return hits.select("page_id", "quote", n.cast("long").alias("sources"))
 
 
 @query("answer_cache", "WITH cached AS (SELECT DISTINCT sha256(p_name) AS key FROM part WHERE p_partkey % 2 = 0), a AS (SELECT p_name, sha256(p_name) AS key, count(*) AS n FROM part GROUP BY 1) SELECT p_name, a.n, c.key IS NOT NULL AS cached FROM a LEFT JOIN cached c ON c.key = a.key")

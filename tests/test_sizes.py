@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from passagework.operators import dense, joins
+from passagework.operators import dense, joins, within
 
 
 def test_projection_rounds_as_sql(spark):
@@ -47,3 +47,31 @@ def test_products_with_directions_are_a_step_of_their_own(spark):
     got, want = ({r.id: r.p for r in x.collect()} for x in (made, want))
     assert all(got[i] == want[i] for i in range(50))
     assert made.filter(dense.usable(F.col("p"))).count() == 50
+
+
+def test_quotations_that_many_share_are_not_paired(spark):
+    """Three hundred texts with one beginning: what goes on from the search grows with the texts, not with their pairs."""
+    docs = spark.createDataFrame([(i, f"we all say the same thing here {i} and then word{i} ends it") for i in range(300)], "id long, s string")
+    quotes = spark.createDataFrame([(i, "we all say the same thing here") for i in range(300)] + [(900, f"7 and then word7 {'z ' * 40}end"), (901, "word9 ends it"), (902, "ends it")], "q long, s string")
+    found = within.holders(quotes.select("s"), docs.withColumnRenamed("s", "t"), "s", "id", "t")
+    assert sorted(tuple(r) for r in found.groupBy("s").count().collect()) == [("we all say the same thing here", 300), ("word9 ends it", 1)]
+    cuts = quotes.filter("q < 300").withColumn("cuts", F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(7).cast("long").alias("n")))).select("q", "s", "cuts")
+    runs = within.numbered(cuts, "s")
+    assert runs.select("h1", "h2").distinct().count() == 1
+    assert within.met(runs, docs, "id", "s").count() == 300
+
+
+def test_merged_quotations_equal_a_plain_loop(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 14))] for _ in range(60)]
+    quotes = [[rng.choice(words) for _ in range(rng.randint(1, 9))] for _ in range(80)] + [t[:7] for t in texts] + [t[:4] + u[1:5] for t, u in zip(texts, texts[1:], strict=False)]
+    has = lambda t, q: any(t[k : k + len(q)] == q for k in range(len(t) - len(q) + 1))
+    want = {}
+    for i, q in enumerate(quotes):
+        halves = [[{k for k, t in enumerate(texts) if has(t, part)} for part in (q[:h], q[h:])] for h in range(3, len(q) - 2)]
+        merged = any(a and b and len(a | b) > 1 for a, b in halves)
+        want[i] = "exact" if len(q) >= 3 and any(has(t, q) for t in texts) else "merged" if merged else "notfound"
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, ws array<string>")
+    got = joins.merged_quotes(spark.createDataFrame(list(enumerate(quotes)), "q long, quote array<string>"), docs, "q", "quote", "id", "ws")
+    assert dict(got.collect()) == want and set(want.values()) == {"exact", "merged", "notfound"}
