@@ -75,3 +75,30 @@ def test_merged_quotations_equal_a_plain_loop(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, ws array<string>")
     got = joins.merged_quotes(spark.createDataFrame(list(enumerate(quotes)), "q long, quote array<string>"), docs, "q", "quote", "id", "ws")
     assert dict(got.collect()) == want and set(want.values()) == {"exact", "merged", "notfound"}
+
+
+def same_as_sql(spark, name, folder, **tables):
+    """A query on given tables against its SQL, and how many rows it has."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    import compare
+
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.coalesce(2).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet/*.parquet')")
+    df, rel = entry.queries()[name](spark, str(folder)), con.execute(entry.oracle_sql()[name])
+    heads, cols = [d[0] for d in rel.description], sorted(df.columns)
+    mine = sorted(repr(tuple(compare.norm(r[c]) for c in cols)) for r in df.collect())
+    assert mine == sorted(repr(tuple(compare.norm(r[heads.index(c)]) for c in cols)) for r in rel.fetchall())
+    return len(mine)
+
+
+def test_shared_paragraphs_are_counted_not_paired(spark, tmp_path):
+    shared = "<p>the same notice on every page</p>"
+    pages = spark.createDataFrame([(i, f"<p>own words number {i} here</p>{shared}<p>a b</p>" + (shared if i % 3 else "")) for i in range(200)], "page_id long, html string")
+    assert same_as_sql(spark, "quotation_audit", tmp_path, pages=pages) == 400
+    runs = spark.createDataFrame([("the same notice on every page",)] * 200, "k string")
+    docs = spark.createDataFrame([(i, f"x{i} the same notice on every page") for i in range(200)], "src long, s string")
+    assert within.holders(runs, docs, "k", "src", "s").count() == 200  # for 200 equal quotations in 200 texts
