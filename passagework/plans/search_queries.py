@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..operators import joins, retrieve, rules, within
+from ..operators import joins, retrieve, rules, scan, within
 from ..operators.shared import kept
 from .registry import query
 from .retrieval_queries import BM25, found_in
@@ -161,26 +161,28 @@ def section_rank(t):
     d = t("pages").select("page_id", F.posexplode(piece).alias("p", "s"))
     head = F.col("s").startswith("<h")
     y = d.withColumn("section", F.sum(head.cast("long")).over(Window.partitionBy("page_id").orderBy("p"))).filter("section > 0")
-    level = y.filter(head).groupBy("page_id", "section").agg(F.max(F.substring("s", 3, 1).cast("int")).alias("level"))
     split = lambda c: F.filter(F.split(T.latin(c), " "), lambda w: w != "")
-    words = y.select("page_id", "section", head.alias("head"), F.explode(split(F.regexp_replace("s", _INNER, " "))).alias("w")).groupBy("page_id", "section", "w").agg(F.bool_or("head").alias("head"))
+    words = lambda some: F.array_distinct(split(F.array_join(F.collect_list(F.when(some, F.regexp_replace("s", _INNER, " "))), " ")))
+    level = F.max(F.when(head, F.substring("s", 3, 1).cast("int"))).alias("level")
+    rows = kept(y.groupBy("page_id", "section").agg(level, words(F.lit(True)).alias("ts"), words(head).alias("hs")), "sections")
     title = F.array_distinct(split(F.regexp_extract("html", "<title>([^<]*)", 1)))
-    asked = t("pages").select(F.col("page_id").alias("query_id"), title.alias("ws")).select("query_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    met = asked.join(words, "w").filter("page_id <> query_id").groupBy("query_id", "page_id", "section", "n").agg(F.count("*").alias("hits"), F.count_if("head").alias("in_heading"))
-    need = F.when(F.col("n") <= 2, F.col("n")).otherwise(F.ceil(F.col("n") * 2 / 3))
-    kept = met.filter((F.col("hits") >= need) & ((F.col("n") > 1) | (F.col("in_heading") == 1))).withColumn("heads", F.when(F.col("in_heading") >= need, F.col("in_heading")).otherwise(0))
+    found = scan.sections(kept(t("pages").select(F.col("page_id").alias("query_id"), title.alias("ts")), "titles"), rows, 12)
+    if found is None:  # nothing is asked
+        found = rows.filter("false").select(F.col("page_id").alias("query_id"), "page_id", "section", F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("heads"), "level")
     order = [F.desc("heads"), F.col("level") < 3, F.desc("hits"), F.col("page_id"), F.col("section")]
-    return retrieve.best(kept.join(level, ["page_id", "section"]), "query_id", order, 12).select("query_id", "page_id", "section", "hits", "heads", "rank")
+    return retrieve.best(found, "query_id", order, 12).select("query_id", "page_id", "section", "hits", "heads", "rank")
 
 
 @query("four_list_fusion", f"""WITH {BM25}, l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank, 0 AS list_no FROM f UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, doc_id) - 1, 1 FROM f UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id DESC) - 1, 2 FROM f UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1, 3 FROM f),
 m AS (SELECT item_id, doc_id, min(rank * 1000 + list_no) AS place FROM l WHERE rank < 30 GROUP BY ALL) SELECT item_id, doc_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place, doc_id) AS rank FROM m) WHERE rank <= 36""")
 def four_list_fusion(t):
     """Four rankings interleaved, the first sight of a document counts, thirty-six at most."""
-    f = found_in(t)
+    orders = [[("score", False), ("key", True)], [("coverage", False), ("key", True)], [("hits", False), ("key", False)], [("key", True)]]
+    found = retrieve.listed(t("benchmark"), "item_id", F.col("text"), t("documents"), "doc_id", F.col("text"), orders, 30)
     lists = None
-    for no, order in enumerate(([F.desc("score"), F.col("doc_id")], [F.desc("coverage"), F.col("doc_id")], [F.desc("hits"), F.desc("doc_id")], [F.col("doc_id")])):
-        one = retrieve.best(f, "item_id", order, 30).select("item_id", "doc_id", (F.col("rank") - 1).alias("rank"), F.lit(no).alias("list_no"))
+    for no, order in enumerate(orders):
+        own = [(F.col if rising else F.desc)("doc_id" if c == "key" else c) for c, rising in order]
+        one = retrieve.best(found.filter(F.col("list_no") == no), "item_id", own, 30).select("item_id", "doc_id", (F.col("rank") - 1).alias("rank"), F.lit(no).alias("list_no"))
         lists = one if lists is None else lists.unionByName(one)
     return retrieve.round_robin(lists, "item_id", "doc_id", 36).select("item_id", "doc_id", "rank")
 
@@ -257,11 +259,11 @@ _SENT = "s AS (SELECT doc_id, i AS pos, s FROM (SELECT doc_id, unnest(x) AS s, g
 @query("brief_sentences", f"WITH {_SENT}, k AS (SELECT doc_id, pos, s AS text FROM s), tok AS (SELECT DISTINCT doc_id, pos, token FROM ({stems_sql('k', 'doc_id, pos')})), q AS (SELECT DISTINCT item_id, token FROM ({stems_sql('benchmark', 'item_id')})), c AS (SELECT item_id, doc_id, pos, count(*) AS n FROM q JOIN tok USING (token) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY n DESC, pos) AS one FROM c), f AS (SELECT item_id, doc_id, min(pos) AS first_hit FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id, pos) AS rank FROM o WHERE one = 1) SELECT item_id, doc_id, pos, first_hit, n, CAST(rank AS INT) AS rank FROM r JOIN f USING (item_id, doc_id) WHERE rank <= 3")
 def brief_sentences(t):
     """Of each passage the best sentence, of these the best three; and the passage's first sentence with a hit."""
-    s = t("documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "s"))
-    tok = s.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.explode(F.array_distinct(T.tokens(F.col("s")))).alias("token"))
-    c = _tokens(t("benchmark"), "item_id").join(tok, "token").groupBy("item_id", "doc_id", "pos").agg(F.count("*").alias("n"))
-    best = c.groupBy("item_id", "doc_id").agg(F.max(F.struct("n", (-F.col("pos")).alias("neg"))).alias("b"), F.min("pos").alias("first_hit"))
-    best = best.select("item_id", "doc_id", (-F.col("b.neg")).alias("pos"), "first_hit", F.col("b.n").alias("n"))
+    docs = t("documents").select(F.col("doc_id").cast("long"), F.transform(T.sentences(F.col("text")), lambda s: F.array_distinct(T.tokens(s))).alias("ss"))
+    q = t("benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("ts"))
+    best = scan.sentences(q, docs, "item_id", "doc_id", 3)
+    if best is None:  # nothing is asked
+        best = q.filter("false").select("item_id", *(F.lit(0).cast("long").alias(c) for c in ("doc_id", "pos", "first_hit", "n")))
     return retrieve.best(best, "item_id", [F.desc("n"), F.col("doc_id")], 3)
 
 

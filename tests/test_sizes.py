@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from passagework.operators import dense, joins, within
+from passagework.operators import dense, joins, scan, within
 
 
 def test_projection_rounds_as_sql(spark):
@@ -102,3 +102,16 @@ def test_shared_paragraphs_are_counted_not_paired(spark, tmp_path):
     runs = spark.createDataFrame([("the same notice on every page",)] * 200, "k string")
     docs = spark.createDataFrame([(i, f"x{i} the same notice on every page") for i in range(200)], "src long, s string")
     assert within.holders(runs, docs, "k", "src", "s").count() == 200  # for 200 equal quotations in 200 texts
+
+
+def test_titles_that_share_words_pass_on_their_best_sections(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(9)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    html = lambda: f"<title>{some(rng.randint(0, 4))}</title>" + "".join(f"<h{rng.randint(1, 4)}>{some(2)}</h1><p>{some(5)}</p>" for _ in range(rng.randint(0, 4)))
+    pages = spark.createDataFrame([(i, html()) for i in range(120)], "page_id long, html string")
+    assert same_as_sql(spark, "section_rank", tmp_path, pages=pages) > 500
+    rows = spark.range(0, 5000, 1, 2).select(F.col("id").alias("page_id"), F.lit(1).cast("long").alias("section"), F.lit(2).alias("level"), F.array(F.lit("a"), F.lit("b")).alias("ts"), F.array(F.lit("a")).alias("hs"))
+    titles = spark.createDataFrame([(7, ["a", "b"]), (8, ["a"]), (9, ["b"]), (10, [])], "query_id long, ts array<string>")
+    got = scan.sections(titles, rows, 12).collect()
+    assert len(got) == 2 * 2 * 12 and {r.query_id for r in got} == {7, 8}
