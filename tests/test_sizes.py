@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from passagework.operators import dense, joins, scan, within
+from passagework.operators import dense, joins, retrieve, scan, within
 
 
 def test_projection_rounds_as_sql(spark):
@@ -115,3 +115,18 @@ def test_titles_that_share_words_pass_on_their_best_sections(spark, tmp_path):
     titles = spark.createDataFrame([(7, ["a", "b"]), (8, ["a"]), (9, ["b"]), (10, [])], "query_id long, ts array<string>")
     got = scan.sections(titles, rows, 12).collect()
     assert len(got) == 2 * 2 * 12 and {r.query_id for r in got} == {7, 8}
+
+
+def _texts(spark, n):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda: ". ".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 4)))
+    docs = spark.createDataFrame([(i, text()) for i in range(n)] + [(n, None), (n + 1, "")], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, text()) for i in range(12)] + [(50, "nowhere"), (51, None)], "item_id long, text string")
+
+
+def test_lists_are_cut_before_hits_are_shuffled(spark, tmp_path):
+    docs, asked = _texts(spark, 400)
+    assert same_as_sql(spark, "four_list_fusion", tmp_path, documents=docs, benchmark=asked) == 12 * 36
+    found = retrieve.listed(asked, "item_id", F.col("text"), docs.coalesce(2), "doc_id", F.col("text"), [[("score", False), ("key", True)]], 5)
+    assert found.count() <= 2 * 5 * 12
