@@ -130,3 +130,11 @@ def test_lists_are_cut_before_hits_are_shuffled(spark, tmp_path):
     assert same_as_sql(spark, "four_list_fusion", tmp_path, documents=docs, benchmark=asked) == 12 * 36
     found = retrieve.listed(asked, "item_id", F.col("text"), docs.coalesce(2), "doc_id", F.col("text"), [[("score", False), ("key", True)]], 5)
     assert found.count() <= 2 * 5 * 12
+
+
+def test_brief_sentences_are_cut_before_hits_are_shuffled(spark, tmp_path):
+    docs, asked = _texts(spark, 300)
+    assert same_as_sql(spark, "brief_sentences", tmp_path, documents=docs, benchmark=asked) == 12 * 3
+    rows = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), F.array(F.array(F.lit("b")), F.array(F.lit("a"), F.lit("b"))).alias("ss"))
+    got = scan.sentences(spark.createDataFrame([(1, ["a", "b"])], "item_id long, ts array<string>"), rows, "item_id", "doc_id", 3).collect()
+    assert len(got) == 2 * 3 and {(r.pos, r.first_hit, r.n) for r in got} == {(2, 1, 2)}
