@@ -65,22 +65,35 @@ def search_all(queries: DataFrame, query_key: str, query_text: Column, docs: Dat
     return _summed(asked.join(_weighed(kept(tf, "postings"), listed.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))), "token"), query_key, key)
 
 
-def listed(queries: DataFrame, query_key: str, query_text: Column, docs: DataFrame, key: str, text: Column, orders: list[list[tuple[str, bool]]], k: int, **how) -> DataFrame:
-    """(list_no, query_key, key, score, coverage, hits): rows of search_all() that hold for each order, of these columns and
-    "key", each query's k first, and few others. Texts are scored where they lie, so hits are not shuffled; the words that
-    are asked are weighed on the driver, which has the queries in blocks."""
+def _weighed_texts(queries: DataFrame, query_key: str, query_text: Column, docs: DataFrame, key: str, text: Column, **how) -> tuple[DataFrame, DataFrame, scan.Weighed]:
+    """Queries (query_key, ts) and texts (key, len, ts), both written, and what BM25 needs of all texts."""
     texts = tokenised(docs, key, text, **how)
     asked = kept(queries.select(query_key, F.array_distinct(tokens(query_text, **how)).alias("ts")), "asked")
     stats = texts.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
     wanted = asked.select(F.explode("ts").alias("token")).distinct()
     df = texts.select(F.explode(F.array_distinct("ts")).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     idf = {r["token"]: math.log(1 + (stats["n"] - r["df"] + 0.5) / (r["df"] + 0.5)) for r in df.collect()}
-    found = scan.ranked_lists(asked, texts, idf, stats["mean"] or 0.0, query_key, key, orders, k, K1, B)
+    return asked, texts, scan.Weighed(idf, stats["mean"] or 0.0, K1, B)
+
+
+def listed(queries: DataFrame, query_key: str, query_text: Column, docs: DataFrame, key: str, text: Column, orders: list[list[tuple[str, bool]]], k: int, **how) -> DataFrame:
+    """(list_no, query_key, key, score, coverage, hits): rows of search_all() that hold for each order, of these columns and
+    "key", each query's k first, and few others. Texts are scored where they lie, so hits are not shuffled; the words that
+    are asked are weighed on the driver, which has the queries in blocks."""
+    asked, texts, w = _weighed_texts(queries, query_key, query_text, docs, key, text, **how)
+    found = scan.ranked_lists(asked, texts, w, query_key, key, orders, k)
     if found is not None:
         return found
     return asked.crossJoin(texts).filter("false").select(F.lit(0).cast("long").alias("list_no"), query_key, key, *(F.lit(0.0).alias(c) for c in ("score", "coverage")), F.lit(0).cast("long").alias("hits"))
 
 
+def relevant(queries: DataFrame, query_key: str, query_text: Column, docs: DataFrame, key: str, text: Column, share: float = 0.3, least: int = 5, **how) -> DataFrame:
+    """(query_key, key, score): what pruned() keeps of search_all(), in two passes over the texts where they lie."""
+    asked, texts, w = _weighed_texts(queries, query_key, query_text, docs, key, text, **how)
+    found = scan.relevant(asked, texts, w, query_key, key, share, least)
+    return asked.crossJoin(texts).filter("false").select(query_key, key, F.lit(0.0).alias("score")) if found is None else found
+
+
 def titles(asked: DataFrame, titles: DataFrame, query_key: str, key: str, least: float, precise: float, contained: float, rare: int, most: int) -> DataFrame:
     """(query_key, key, score, rank): titles (key, token) for queries (query_key, token), both distinct.
 

@@ -138,3 +138,13 @@ def test_brief_sentences_are_cut_before_hits_are_shuffled(spark, tmp_path):
     rows = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), F.array(F.array(F.lit("b")), F.array(F.lit("a"), F.lit("b"))).alias("ss"))
     got = scan.sentences(spark.createDataFrame([(1, ["a", "b"])], "item_id long, ts array<string>"), rows, "item_id", "doc_id", 3).collect()
     assert len(got) == 2 * 3 and {(r.pos, r.first_hit, r.n) for r in got} == {(2, 1, 2)}
+
+
+def test_cut_offs_and_ranks_without_an_index(spark, tmp_path):
+    """As of all hits; and no step keeps postings."""
+    docs, asked = _texts(spark, 300)
+    docs = docs.withColumn("source", F.concat(F.lit("src"), F.col("doc_id") % 3))
+    assert same_as_sql(spark, "group_rank", tmp_path, documents=docs, benchmark=asked.union(spark.createDataFrame([(60, "w1 w2"), (61, "w3")], "item_id long, text string"))) == 14 * 3
+    tables = {x.name for x in spark.catalog.listTables()}
+    assert same_as_sql(spark, "bm25_pruned", tmp_path / "b", documents=docs, benchmark=spark.createDataFrame([(60, "w1 w2"), (61, "w3"), (62, "w1 w2 w3 w4 w5 w6 w7 w8 nowhere"), (63, "w4 w5 w6 w7 w8"), (64, None)], "item_id long, text string")) > 50
+    assert {x.name for x in spark.catalog.listTables()} == tables
