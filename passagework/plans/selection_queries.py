@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import selection
 from .registry import query
-from .retrieval_queries import best_of
+from .retrieval_queries import scanned_best
 
 _K = "regexp_replace(lower(s), '[^\\p{L}\\p{N}]', '', 'g')"
 
@@ -29,7 +29,7 @@ def closed_list(t):
     """For each benchmark text its closed list (V1): of the eight best documents the first sentence of at most 400 letters
     as text (of four at most) and up to four more as notes, of the next four two sentences each as reports; for texts that
     ask for a ruling (their documents say so) three documents as answers, their first sentence being the question."""
-    best = best_of(t, 12).select("item_id", "doc_id", "rank", "coverage")
+    best = scanned_best(t, 12).select("item_id", "doc_id", "rank", "coverage")
     ruling = t("benchmark").select("item_id", F.col("text").rlike("(?i)\\b(not|never|must|der|la)\\b").alias("ruling"), F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
     docs = t("documents").select("doc_id", "source", F.slice(T.sentences(F.col("text")), 1, 9).alias("units"))
     rows = best.join(docs, "doc_id").join(ruling, "item_id").select("item_id", "doc_id", "rank", "source", "ruling", "asked", "coverage", F.posexplode("units").alias("n", "text"))
