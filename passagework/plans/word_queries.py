@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..operators import joins, retrieve
+from ..operators import forms, joins, retrieve
 from ..operators.shared import kept
 from .registry import query
 from .text_queries import DIG, LATIN, words_sql
@@ -87,11 +87,12 @@ f AS (SELECT w, unnest(list_distinct(list_filter([k, regexp_replace(k, '[aeiou]$
 SELECT form, count(DISTINCT x.doc_id) AS docs, count(DISTINCT f.w) AS words, min(x.doc_id) AS first_doc FROM f JOIN x ON x.w = f.w GROUP BY form""")
 def latin_forms(t):
     """Transliteration keys and forms of words, and the distinct passages of each form."""
-    x = t("documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text"), stemmed=False))).alias("w"))
-    f = x.select("doc_id", "w", F.explode(W.sound_forms(F.col("w"))).alias("form"))
-    per_doc = f.groupBy("form", "doc_id").agg(F.lit(1).alias("one"))
-    words = f.select("form", "w").distinct().groupBy("form").agg(F.count("*").alias("words"))
-    return per_doc.groupBy("form").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).join(words, "form")
+    docs = t("documents").select("doc_id", "text")
+    again = kept(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if not again.isEmpty():  # rows of one id are one passage
+        whole = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+        docs = docs.join(again, "doc_id", "left_anti").union(whole)
+    return forms.of_texts(docs.select("doc_id", F.array_distinct(T.tokens(F.col("text"), stemmed=False)).alias("ws")), "doc_id")
 
 
 _COUNTED = "CASE WHEN n = 0 THEN 'no orders' WHEN n = 1 THEN 'one order' WHEN n = 2 THEN 'a pair of orders' WHEN n <= 10 THEN translate(CAST(n AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' orders' ELSE translate(CAST(n AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' one order' END"

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from passagework.operators import dense, joins, retrieve, scan, within
+from passagework.functions import words as W
+from passagework.operators import dense, forms, joins, retrieve, scan, within
 
 
 def test_projection_rounds_as_sql(spark):
@@ -148,3 +149,12 @@ def test_cut_offs_and_ranks_without_an_index(spark, tmp_path):
     tables = {x.name for x in spark.catalog.listTables()}
     assert same_as_sql(spark, "bm25_pruned", tmp_path / "b", documents=docs, benchmark=spark.createDataFrame([(60, "w1 w2"), (61, "w3"), (62, "w1 w2 w3 w4 w5 w6 w7 w8 nowhere"), (63, "w4 w5 w6 w7 w8"), (64, None)], "item_id long, text string")) > 50
     assert {x.name for x in spark.catalog.listTables()} == tables
+
+
+def test_forms_of_words_where_texts_lie(spark, tmp_path):
+    """An id that comes twice is one passage, a row without an id none; forms are the JVM's."""
+    docs = spark.createDataFrame([(1, "book books boook aa1"), (2, "book bk bkk"), (2, "books teeth"), (None, "lonely book"), (4, None), (5, ""), (6, "11 ii a3 aei")], "doc_id long, text string")
+    assert same_as_sql(spark, "latin_forms", tmp_path, documents=docs) > 10
+    rng = random.Random(1)
+    words = spark.createDataFrame([("".join(rng.choice("aeioub1") for _ in range(rng.randint(1, 8))),) for _ in range(300)], "w string")
+    assert all(forms.sound_forms(r.w) == r.f for r in words.select("w", W.sound_forms(F.col("w")).alias("f")).collect())
